@@ -10,7 +10,6 @@ from ..functions.rules import GUARD_PATTERN, PII_PATTERNS, pii_types
 from ..operators.policy import check_policy, is_allowed, type_allowed, with_policy
 from ..operators.screening import screen_rows
 from ..operators.scorers import GuardRules, PiiRules
-from ..operators.similarity import LinearHead  # noqa: F401
 from ..plans.routing import parse_requests, route_requests, with_contents
 from ..session import spread
 from ..settings import models_table

@@ -15,30 +15,42 @@ from ..functions.texts import seeded_key
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list[Column | str], value: Column, bucket: Column) -> DataFrame:
-    """Add ``running`` (inclusive prefix sum) and ``running_min`` (its minimum so far).
+    """Prefix scan of ``value`` per key.
 
-    ``bucket`` must not decrease along ``order``.
+    Adds ``position`` (1-based row number), ``running`` (inclusive prefix sum),
+    ``running_min`` (minimum of the prefix sums so far) and ``running_min_before``
+    (the same without the current row, NULL on the first). ``bucket`` must not
+    decrease along ``order``.
     """
     cell = [*keys, "_bucket"]
-    inside = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = Window.partitionBy(*cell).orderBy(*order)
+    inside = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     local = (
         df.withColumn("_bucket", bucket)
         .withColumn("_value", value)
+        .withColumn("_row", F.row_number().over(ordered))
         .withColumn("_sum", F.sum("_value").over(inside))
         .withColumn("_low", F.min("_sum").over(inside))
+        .withColumn("_low_before", F.min("_sum").over(earlier))
+    )
+    totals = local.groupBy(*cell).agg(
+        F.count("*").alias("_rows"), F.sum("_value").alias("_total"), F.min("_sum").alias("_lowest")
     )
-    totals = local.groupBy(*cell).agg(F.sum("_value").alias("_total"), F.min("_sum").alias("_lowest"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        totals.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+        totals.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
         .withColumn("_past", F.min(F.col("_base") + F.col("_lowest")).over(before))
-        .select(*cell, "_base", "_past")
+        .select(*cell, "_start", "_base", "_past")
     )
     joined = local.join(offsets, cell)
     return (
-        joined.withColumn("running", F.col("_base") + F.col("_sum"))
+        joined.withColumn("position", F.col("_start") + F.col("_row"))
+        .withColumn("running", F.col("_base") + F.col("_sum"))
         .withColumn("running_min", F.least("_past", F.col("_base") + F.col("_low")))
-        .drop("_bucket", "_value", "_sum", "_low", "_base", "_past")
+        .withColumn("running_min_before", F.least("_past", F.col("_base") + F.col("_low_before")))
+        .drop("_bucket", "_value", "_row", "_sum", "_low", "_low_before", "_start", "_base", "_past")
     )
 
 

@@ -120,4 +120,4 @@ def inflight_load(events: DataFrame, model: str, order: list, delta: Column, buc
     """
     scanned = running_totals(events, [model], order, delta, bucket)
     load = F.col("running") - F.least(F.lit(0), F.col("running_min"))
-    return scanned.withColumn("load", load.cast("int")).drop("running", "running_min")
+    return scanned.withColumn("load", load.cast("int")).drop("position", "running", "running_min", "running_min_before")

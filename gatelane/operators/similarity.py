@@ -169,7 +169,7 @@ def _blocked(queries: DataFrame, entries: DataFrame, cell: list[str], kernel, ou
 
 def _prepare(df: DataFrame, ident: str, vector: str, on: list[str], ts: Column | None, extra: dict[str, Column]) -> DataFrame:
     cols = [F.col(ident).alias("_id"), F.col(vector).cast("array<double>").alias("_v")]
-    cols += [F.col(c) for c in on]
+    cols += [F.col(c).alias(f"_on_{c}") for c in on]
     cols += [(F.lit(0.0) if ts is None else ts.cast("double")).alias("_t")]
     cols += [c.alias(n) for n, c in extra.items()]
     return df.select(*cols).filter(F.col("_id").isNotNull() & F.col("_v").isNotNull())
@@ -194,7 +194,7 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
 
 def _cells(q: DataFrame, e: DataFrame, on: list[str], timed: bool, ttl: float | None, pivots: int, floor: float | None):
     """Add cell columns to both sides and name them."""
-    cell = list(on)
+    cell = [f"_on_{c}" for c in on]
     if timed and ttl:
         window = F.floor(F.col("_t") / ttl)
         e = e.withColumn("_w", window)
