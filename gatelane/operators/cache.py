@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import seconds
 from ..session import cut_lineage
 from ..settings import CacheOptions
 from .prefix import running_totals
@@ -63,7 +64,7 @@ def lookup(
     ready = entries.filter(F.col(response_ts).isNotNull())
     found = best_match(
         requests, ready, request_id, entry_id, vector, vector, [model],
-        F.col(request_ts).cast("double"), F.col(response_ts).cast("double"),
+        seconds(requests, request_ts), seconds(ready, response_ts),
         ttl=options.ttl_seconds if options.ttl_seconds > 0 and expire == "on_read" else None,
         min_score=options.threshold, prefer="newest", pivots=pivots, block_rows=block_rows,
     )
@@ -87,7 +88,7 @@ def fill(
         F.col(ts).alias("_ts"), F.lit(step).alias("_step"),
     )
     events = side(pending, pending_id, pending_ts, 1).unionByName(side(responses, response_id, response_ts, -1))
-    bucket = F.floor(F.col("_ts").cast("double") / bucket_seconds)
+    bucket = F.floor(seconds(events, "_ts") / bucket_seconds)
     scanned = running_totals(events, ["_q"], ["_ts", F.desc("_step"), "_id"], F.col("_step"), bucket)
     lost = F.least(F.lit(0), F.col("running_min"))
     n_responses = (F.col("position") - F.col("running")) / 2
@@ -116,7 +117,7 @@ def replay(
     """
     base = requests.select(
         F.col(ident).alias("_id"), F.col(model).alias("_model"), F.col(vector).alias("_vec"),
-        F.col(request_ts).cast("double").alias("_req"), F.col(response_ts).cast("double").alias("_resp"),
+        seconds(requests, request_ts).alias("_req"), seconds(requests, response_ts).alias("_resp"),
     )
     ttl = options.ttl_seconds if options.ttl_seconds > 0 else None
     open_rows = cut_lineage(base.withColumn("_state", F.lit(0)), "replay")  # 0 open, 1 inserted

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import seconds
+
 # --- Fixed values: series names and histogram bounds (seconds) ----------------
 REQUESTS = "llm_model_requests_total"
 TOKENS = "llm_model_tokens_total"
@@ -97,7 +99,7 @@ def sliding_rate(df: DataFrame, ts: str, keys: list[str], value: Column, window:
     """
     if window % slide:
         raise ValueError("window must be a multiple of slide")
-    pane = (F.floor(F.unix_seconds(ts) / slide) * slide).alias("_pane")
+    pane = (F.floor(seconds(df, ts) / slide) * slide).alias("_pane")
     panes = df.groupBy(pane, *keys).agg(F.sum(value).alias("_v"))
     return pane_rate(panes, "_pane", keys, "_v", window, slide)
 
