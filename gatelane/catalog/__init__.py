@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("routing", "vectors", "metering")
+MODULES = ("routing", "vectors", "metering", "evaluation")
 
 
 def _merged(name: str) -> dict:
