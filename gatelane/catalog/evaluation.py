@@ -88,12 +88,12 @@ SELECT doc_id, {sql_answer('t', texts.ANSWER_AD, 'A-D')} AS fixed, {sql_answer('
 
 @query
 def question_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lettered prompts from benchmark items: sentences as options, one placeholder among them."""
+    """Lettered prompts from benchmark items: paragraphs as options, one placeholder among them."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    options = F.concat(F.array(F.lit("first"), F.lit("N/A")), F.split("text", r"\.\s"))
+    options = F.concat(F.array(F.lit("first"), F.lit("N/A")), F.split("text", r"\.\n"))
     labels = F.array(*[F.lit(c) for c in "ABCD"])
     rows = items.select("item_id", "text", options.alias("o"))
-    lines = texts.lettered_options(F.slice("o", 1, 10))
+    lines = texts.lettered_options(F.col("o"))
     return rows.select(
         "item_id", texts.question_prompt(F.col("text"), lines, True).alias("cot"),
         texts.question_prompt(F.col("text"), texts.labelled_choices(labels, F.col("o"))).alias("four_choice"),
@@ -101,8 +101,8 @@ def question_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["question_prompts"] = f"""
-WITH o AS (SELECT item_id, text, list_concat(['first', 'N/A'], regexp_split_to_array(text, '\\.\\s')) AS o FROM benchmark),
-l AS (SELECT item_id, text, array_to_string(list_transform(list_filter(range(1, least(len(o), 10) + 1), lambda i: lower(o[i]) <> 'n/a'),
+WITH o AS (SELECT item_id, text, list_concat(['first', 'N/A'], regexp_split_to_array(text, '\\.\\n')) AS o FROM benchmark),
+l AS (SELECT item_id, text, array_to_string(list_transform(list_filter(range(1, len(o) + 1), lambda i: lower(o[i]) <> 'n/a'),
     lambda i: chr((64 + i)::INT) || ') ' || o[i] || chr(10)), '') AS opts,
   array_to_string(list_transform(range(1, least(len(o), 4) + 1), lambda i: chr((64 + i)::INT) || ') ' || o[i] || chr(10)), '') AS four FROM o)
 SELECT item_id, 'Question: ' || text || chr(10) || chr(10) || 'Options:' || chr(10) || opts || chr(10) || chr(10) || {sql_text(texts.SUFFIX_COT)} AS cot,

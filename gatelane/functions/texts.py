@@ -34,11 +34,12 @@ LETTERS = "ABCDEFGHIJ"
 def lettered_options(options: Column) -> Column:
     """One ``X) option`` line per option; placeholders are left out but keep their letter."""
     letters = F.array(*[F.lit(c) for c in LETTERS])
+    letter = lambda i: F.when(i < len(LETTERS), F.get(letters, i)).otherwise(
+        F.raise_error(F.lit(f"a question has at most {len(LETTERS)} options")).cast("string")
+    )
     lines = F.transform(
         options,
-        lambda text, i: F.when(
-            F.lower(text) != EMPTY_OPTION, F.concat(F.get(letters, i), F.lit(") "), text, F.lit("\n"))
-        ),
+        lambda text, i: F.when(F.lower(text) != EMPTY_OPTION, F.concat(letter(i), F.lit(") "), text, F.lit("\n"))),
     )
     return F.array_join(lines, "")
 
@@ -119,15 +120,17 @@ def mentions_known_name(text: Column) -> Column:
     return text.rlike("|".join(parts))
 
 
-def word_pii_labels(text: Column, known: Column | None = None) -> Column:
-    """0/1 per word. ``known`` is ``mentions_known_name`` computed once for the row."""
-    known = mentions_known_name(text) if known is None else known
-    return F.transform(
-        words(text),
-        lambda w: (
-            w.rlike(f"{EMAIL}|{PHONE}|{SSN}") | (known & w.rlike(r"^\p{Lu}") & (F.length(w) > 1))
-        ).cast("int"),
-    )
+def word_pii_labels(text: Column) -> Column:
+    """0/1 per word: personal-data patterns, and capitalised words once a known name occurs.
+
+    The name test reads the whole text, so it chooses between two rules once per row
+    instead of standing inside the rule for every word.
+    """
+    pattern = f"{EMAIL}|{PHONE}|{SSN}"
+    named = lambda w: (w.rlike(pattern) | (w.rlike(r"^\p{Lu}") & (F.length(w) > 1))).cast("int")
+    plain = lambda w: w.rlike(pattern).cast("int")
+    found = words(text)
+    return F.when(mentions_known_name(text), F.transform(found, named)).otherwise(F.transform(found, plain))
 
 
 def pad_labels(labels: Column, length: int) -> Column:
