@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("routing", "vectors", "metering", "evaluation", "corpus")
+MODULES = ("routing", "vectors", "metering", "evaluation", "corpus", "streams")
 
 
 def _merged(name: str) -> dict:
