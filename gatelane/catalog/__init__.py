@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("routing", "vectors", "metering", "evaluation", "corpus", "streams")
+MODULES = ("routing", "vectors", "metering", "evaluation", "corpus", "streams", "files", "training")
 
 
 def _merged(name: str) -> dict:

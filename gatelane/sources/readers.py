@@ -71,16 +71,22 @@ def read_evaluations(spark: SparkSession, path: str, pattern: str = "analysis.js
         .option("pathGlobFilter", pattern).json(path)
         .select("*", F.col("_metadata.file_path").alias("_file"))
     )
-    folder = F.url_decode(F.regexp_replace(F.element_at(F.split("_file", "/"), -2), "^dir=", ""))
-    named = raw.withColumn("_dir", folder)
+    decode = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    folder = decode(F.element_at(F.split("_file", "/"), -2))
+    # A partition folder carries its value escaped once more.
+    value = F.when(folder.startswith("dir="), decode(F.regexp_replace(folder, "^dir=", ""))).otherwise(folder)
+    named = raw.withColumn("_dir", value)
     model = texts.dir_model(F.col("_dir")) if faithful else F.regexp_replace("_dir", "_(cot|direct)$", "")
     rows = named.select(model.alias("model"), texts.dir_approach(F.col("_dir")).alias("approach"), F.explode("category_accuracy").alias("category", "accuracy"))
     return rows.select(texts.display_name(F.col("model"), F.col("approach")).alias("display_name"), "model", "approach", "category", "accuracy")
 
 
-def read_span_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """``(text, types)`` from a JSON array of texts with entity spans; missing spans count as none."""
-    raw = spark.read.schema(SPAN_SCHEMA).option("multiLine", True).json(path)
+def read_span_corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``(text, types)`` from a JSON array of texts with entity spans; missing spans count as none.
+
+    ``lines`` reads one JSON object per line, the form that splits over many tasks.
+    """
+    raw = spark.read.schema(SPAN_SCHEMA).option("multiLine", not lines).json(path)
     types = F.transform(F.coalesce("spans", F.array().cast("array<struct<entity_type:string>>")), lambda s: s["entity_type"])
     return raw.select(F.col("full_text").alias("text"), types.alias("types"))
 
