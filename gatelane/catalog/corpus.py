@@ -184,9 +184,10 @@ SELECT doc_id, 512::INT AS n_padded, coalesce(list_sum(list_slice(l, 1, 512)), 0
 @query
 def token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document compared with those of the next, position by position."""
-    words = documents(spark, sf_dir).select("doc_id", texts.words(F.col("text")).alias("w"))
-    following = words.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
-    compared = words.join(following, "doc_id").withColumn("c", reports.token_match(F.col("w"), F.col("v")))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
+    pairs = docs.join(following, "doc_id")
+    compared = pairs.withColumn("c", reports.token_match(texts.words(F.col("text")), texts.words(F.col("next"))))
     first = F.get("c.mismatches", F.lit(0))
     return compared.select(
         "doc_id", F.col("c.compared").alias("compared"), F.col("c.matches").alias("matches"),

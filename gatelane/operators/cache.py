@@ -90,16 +90,19 @@ def fill(
     events = side(pending, pending_id, pending_ts, 1).unionByName(side(responses, response_id, response_ts, -1))
     bucket = F.floor(seconds(events, "_ts") / bucket_seconds)
     scanned = running_totals(events, ["_q"], ["_ts", F.desc("_step"), "_id"], F.col("_step"), bucket)
-    lost = F.least(F.lit(0), F.col("running_min"))
-    n_responses = (F.col("position") - F.col("running")) / 2
-    queue = scanned.withColumn("_is_lost", (F.col("_step") < 0) & (F.col("running") < F.least(F.lit(0), F.coalesce("running_min_before", F.lit(0)))))
-    waiting = queue.filter("_step > 0").select(
-        "_q", ((F.col("position") + F.col("running")) / 2).cast("bigint").alias("_k"), F.col("_id").alias(pending_id)
+    opens = F.col("_step") > 0
+    low = F.least(F.lit(0), F.coalesce("running_min_before", F.lit(0)))
+    is_lost = ~opens & (F.col("running") < low)
+    n_pending = (F.col("position") + F.col("running")) / 2
+    n_served = (F.col("position") - F.col("running")) / 2 + F.least(F.lit(0), F.col("running_min"))
+    ranked = scanned.filter(~is_lost).select("_q", "_id", "_ts", opens.alias("_opens"), F.when(opens, n_pending).otherwise(n_served).cast("bigint").alias("_k"))
+    # The k-th entry and the k-th served response of a query meet in one group of two.
+    met = ranked.groupBy("_q", "_k").agg(
+        F.max(F.when(F.col("_opens"), F.col("_id"))).alias(pending_id),
+        F.max(F.when(~F.col("_opens"), F.col("_id"))).alias(response_id),
+        F.max(F.when(~F.col("_opens"), F.col("_ts"))).alias(response_ts),
     )
-    serving = queue.filter("_step < 0 and not _is_lost").select(
-        "_q", (n_responses + lost).cast("bigint").alias("_k"), F.col("_id").alias(response_id), F.col("_ts").alias(response_ts)
-    )
-    return waiting.join(serving, ["_q", "_k"]).drop("_q", "_k")
+    return met.filter(F.col(pending_id).isNotNull() & F.col(response_id).isNotNull()).drop("_q", "_k")
 
 
 def replay(

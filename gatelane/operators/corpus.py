@@ -85,10 +85,10 @@ def dominant_label(types: Column) -> Column:
 
 def dominant_label_rows(spans: DataFrame, doc: str, kind: str) -> DataFrame:
     """The same for spans stored one per row: counted in two partial aggregates."""
-    counts = spans.filter(F.col(kind).isNotNull()).groupBy(doc, kind).agg(F.count("*").alias("_n"))
-    best = counts.groupBy(doc).agg(F.min_by(kind, F.struct(-F.col("_n"), kind)).alias("_best"))
-    docs = spans.select(doc).distinct()
-    return docs.join(best, doc, "left").select(doc, F.coalesce("_best", F.lit(NO_PII)).alias("label"))
+    counts = spans.groupBy(doc, kind).agg(F.count("*").alias("_n"))
+    order = F.when(F.col(kind).isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col(kind).alias("k")))
+    best = counts.groupBy(doc).agg(F.min_by(kind, order).alias("_best"))
+    return best.select(doc, F.coalesce("_best", F.lit(NO_PII)).alias("label"))
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -133,7 +133,7 @@ def split(
     percents = [int(p) if p == int(p) else p for p in percents]
     keyed = df.withColumn("_stratum", F.lit("") if label is None else F.col(label))
     cuts = hash_cuts(keyed, "_stratum", ident, percents, seed, digits)
-    joined = keyed.join(cuts, "_stratum").withColumn("_key", seeded_key(seed, F.col(ident)))
+    joined = keyed.join(cuts, "_stratum", "left").withColumn("_key", seeded_key(seed, F.col(ident)))
     part = F.lit(names[-1])
     for i in reversed(range(len(percents))):
         part = F.when(F.col("_key") <= F.col(f"cut_{i}"), names[i]).otherwise(part)

@@ -74,9 +74,15 @@ def macro_average(accuracies: DataFrame, model: str = "display_name") -> DataFra
 
 
 def with_overall(accuracies: DataFrame, model: str = "display_name") -> DataFrame:
-    """Add one ``Overall`` row per model."""
-    total = macro_average(accuracies, model).withColumn("category", F.lit(OVERALL))
-    return accuracies.select(model, "category", "accuracy").unionByName(total)
+    """Add one ``Overall`` row per model.
+
+    A model's rows, one per category, are gathered together with their mean, so the
+    accuracies are computed once.
+    """
+    own = F.collect_list(F.struct("category", "accuracy"))
+    total = F.array(F.struct(F.lit(OVERALL).alias("category"), F.avg("accuracy").alias("accuracy")))
+    gathered = accuracies.groupBy(model).agg(F.concat(own, total).alias("rows"))
+    return gathered.select(model, F.explode("rows").alias("r")).select(model, "r.category", "r.accuracy")
 
 
 def accuracy_matrix(accuracies: DataFrame, categories: list[str], model: str = "display_name") -> DataFrame:

@@ -156,40 +156,42 @@ def counters(increments: DataFrame) -> DataFrame:
 
 
 def snapshot(totals: DataFrame) -> DataFrame:
-    """The readable form ``(name, labels MAP, value)``; bucket series become cumulative."""
+    """The readable form ``(name, labels MAP, value)``; bucket series become cumulative.
+
+    Plain and bucket series go through the same aggregate, so the totals behind them
+    are computed once. Completion buckets carry (model, index), routing buckets the
+    index alone.
+    """
     is_bucket = F.col("name").endswith("_bucket")
-    plain = totals.filter(~is_bucket)
-    # completion buckets carry (model, index), routing buckets carry the index alone
-    raw = totals.filter(is_bucket).select(
-        "name", F.when(F.col("label_2").isNotNull(), F.col("label_1")).alias("model"),
-        F.coalesce("label_2", "label_1").cast("int").alias("i"), "value",
+    rows = totals.select(
+        "name", "value", is_bucket.alias("is_bucket"),
+        F.when(is_bucket & F.col("label_2").isNull(), None).otherwise(F.col("label_1")).alias("a"),
+        F.when(~is_bucket, F.col("label_2")).alias("b"),
+        F.when(is_bucket, F.coalesce("label_2", "label_1").cast("int")).alias("i"),
     )
     counts = F.array(*[F.sum(F.when(F.col("i") == k, F.col("value")).otherwise(0.0)) for k in range(len(BUCKETS) + 1)])
-    keyed = raw.groupBy("name", "model").agg(counts.alias("c"))
-    les = F.array(*[F.lit(str(b)) for b in BUCKETS], F.lit("+Inf"))
-    cumulative = keyed.select("name", "model", "c", F.posexplode(les).alias("k", "le")).select(
-        "name", F.map_filter(F.create_map(F.lit("model"), "model", F.lit("le"), "le"), lambda k, v: v.isNotNull()).alias("labels"),
-        F.aggregate(F.slice("c", 1, F.col("k") + 1), F.lit(0.0), lambda a, x: a + x).alias("value"),
-    )
+    keyed = rows.groupBy("name", "is_bucket", "a", "b").agg(F.sum("value").alias("value"), counts.alias("c"))
     names = {REROUTES: ("source_model", "target_model"), PII_VIOLATIONS: ("model", "pii_type"), CATEGORIES: ("category", "-")}
-    first = F.coalesce(*[F.when(F.col("name") == n, F.lit(p[0])) for n, p in names.items()], F.lit("model"))
-    second = F.coalesce(*[F.when(F.col("name") == n, F.lit(p[1])) for n, p in names.items()], F.lit("-"))
-    labels = F.map_filter(F.create_map(first, "label_1", second, "label_2"), lambda k, v: v.isNotNull())
-    return plain.select("name", labels.alias("labels"), "value").unionByName(cumulative)
+    pick = lambda part, other: F.coalesce(*[F.when(F.col("name") == n, F.lit(p[part])) for n, p in names.items()], F.lit(other))
+    given = lambda *pairs: F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
+    les = F.array(*[F.lit(str(b)) for b in BUCKETS], F.lit("+Inf"))
+    upto = lambda k: F.aggregate(F.slice("c", 1, k + 1), F.lit(0.0), lambda acc, x: acc + x)
+    buckets = F.transform(les, lambda le, k: F.struct(given(F.lit("model"), F.col("a"), F.lit("le"), le).alias("labels"), upto(k).alias("value")))
+    single = F.array(F.struct(given(pick(0, "model"), F.col("a"), pick(1, "-"), F.col("b")).alias("labels"), F.col("value").alias("value")))
+    return keyed.select("name", F.explode(F.when(F.col("is_bucket"), buckets).otherwise(single)).alias("s")).select("name", "s.labels", "s.value")
 
 
 def pair_responses(requests: DataFrame, responses: DataFrame, request_id: str) -> DataFrame:
     """Left join of requests to responses on the request id.
 
-    Requests without an id never pair. They are kept apart so that they do not all
-    meet on one key.
+    Requests without an id never pair. They get a row number as second join key, so
+    that they do not all meet on one key.
     """
-    with_id = requests.filter(F.coalesce(F.col(request_id), F.lit("")) != "")
-    without = requests.filter(F.coalesce(F.col(request_id), F.lit("")) == "")
-    paired = with_id.join(responses, request_id, "left")
-    extra = [c for c in responses.columns if c != request_id]
-    types = dict(responses.dtypes)
-    padded = without.select(*requests.columns, *[F.lit(None).cast(types[c]).alias(c) for c in extra])
-    return paired.select(*requests.columns, *extra).unionByName(padded)
-
-
+    has_id = F.coalesce(F.col(request_id), F.lit("")) != ""
+    left = requests.withColumn("_k", F.coalesce(F.col(request_id), F.lit(""))).withColumn(
+        "_n", F.when(has_id, F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
+    )
+    right = (
+        responses.filter(has_id).withColumnRenamed(request_id, "_k").withColumn("_n", F.lit(0).cast("bigint"))
+    )
+    return left.join(right, ["_k", "_n"], "left").drop("_k", "_n")

@@ -58,8 +58,8 @@ def hash_cuts(df: DataFrame, label: str, ident: str, percents: list[int], seed:
     """Per label, the seeded key of the last row at or below each percentage.
 
     Counts per hash prefix find the prefix in which a cut falls; only the rows of
-    that prefix are ranked. Columns: label, ``cut_0`` ... ``cut_{n-1}`` (empty string
-    when the cut takes no row).
+    that prefix are ranked. Columns: label, ``cut_0`` ... ``cut_{n-1}``; a cut that
+    takes no row is empty, and a label without any cut row is absent.
     """
     keyed = df.select(label, seeded_key(seed, F.col(ident)).alias("_key")).withColumn(
         "_bucket", F.substring("_key", 1, digits)
@@ -84,6 +84,4 @@ def hash_cuts(df: DataFrame, label: str, ident: str, percents: list[int], seed:
         F.coalesce(F.max(F.when(F.col("_w._i") == i, F.col("_key"))), F.lit("")).alias(f"cut_{i}")
         for i in range(len(percents))
     ]
-    found = hits.groupBy(label).agg(*cuts)
-    labels = counts.select(label).distinct()
-    return labels.join(found, label, "left").na.fill("", [f"cut_{i}" for i in range(len(percents))])
+    return hits.groupBy(label).agg(*cuts)

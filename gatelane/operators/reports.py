@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chat import bind
+
 
 def accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     hit = (F.col(truth) == F.col(predicted)).cast("double")
@@ -28,16 +30,18 @@ def confusion_matrix(counts: DataFrame, labels: list) -> DataFrame:
 
 
 def label_scores(counts: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per label; an empty denominator gives zero."""
-    as_truth = counts.select(
-        F.col("truth").alias("label"), F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0).alias("tp"),
-        F.col("n").alias("support"), F.lit(0).cast("bigint").alias("claimed"),
-    )
-    as_claim = counts.select(
-        F.col("predicted").alias("label"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("support"),
-        F.col("n").alias("claimed"),
+    """Precision, recall, F1 and support per label; an empty denominator gives zero.
+
+    Every count is booked for its true and for its predicted label in the same pass,
+    so the data behind ``counts`` is read once.
+    """
+    zero = F.lit(0).cast("bigint")
+    same = F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(zero)
+    booked = F.array(
+        F.struct(F.col("truth").alias("label"), same.alias("tp"), F.col("n").alias("support"), zero.alias("claimed")),
+        F.struct(F.col("predicted").alias("label"), zero.alias("tp"), zero.alias("support"), F.col("n").alias("claimed")),
     )
-    sums = as_truth.unionByName(as_claim).groupBy("label").agg(
+    sums = counts.select(F.inline(booked)).groupBy("label").agg(
         F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("claimed").alias("claimed")
     )
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -48,19 +52,20 @@ def label_scores(counts: DataFrame) -> DataFrame:
 
 
 def classification_report(counts: DataFrame) -> DataFrame:
-    """Label rows plus ``accuracy``, ``macro avg`` and ``weighted avg``."""
-    scores = label_scores(counts)
+    """Label rows plus ``accuracy``, ``macro avg`` and ``weighted avg``.
+
+    The label rows, one per class, are held next to their totals in one row, so that
+    both come from the same computation.
+    """
     names = ["precision", "recall", "f1"]
+    scores = label_scores(counts)
+    fields = [F.col("label").cast("string").alias("label"), *[F.col(n) for n in names], F.col("support")]
     weighted = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")), F.lit(0.0))
     right = F.coalesce(F.try_divide(F.sum("tp"), F.sum("support")), F.lit(0.0))
-    totals = scores.agg(
-        F.array(
-            F.struct(F.lit("accuracy").alias("label"), *[right.alias(n) for n in names], F.sum("support").alias("support")),
-            F.struct(F.lit("macro avg").alias("label"), *[F.avg(n).alias(n) for n in names], F.sum("support").alias("support")),
-            F.struct(F.lit("weighted avg").alias("label"), *[weighted(n).alias(n) for n in names], F.sum("support").alias("support")),
-        ).alias("rows")
-    ).select(F.inline("rows"))
-    return scores.select(F.col("label").cast("string").alias("label"), *names, "support").unionByName(totals)
+    total = lambda label, value: F.struct(F.lit(label).alias("label"), *[value(n).alias(n) for n in names], F.sum("support").alias("support"))
+    totals = F.array(total("accuracy", lambda n: right), total("macro avg", F.avg), total("weighted avg", weighted))
+    rows = scores.agg(F.concat(F.collect_list(F.struct(*fields)), totals).alias("rows"))
+    return rows.select(F.explode("rows").alias("r")).select("r.*").filter(F.col("support").isNotNull())
 
 
 def weighted_f1(counts: DataFrame) -> DataFrame:
@@ -70,12 +75,12 @@ def weighted_f1(counts: DataFrame) -> DataFrame:
 def position_counts(df: DataFrame, truth: str, predicted: str, skip: int) -> DataFrame:
     """Confusion counts over array positions; positions whose truth is ``skip`` are left out.
 
-    Positions are counted inside each row first, so one row per distinct pair and
-    document is shuffled at most, whatever the length of the arrays.
+    Every task collapses its positions to one row per distinct pair before the shuffle.
     """
-    pairs = F.filter(F.arrays_zip(F.col(truth).alias("t"), F.col(predicted).alias("p")), lambda z: z["t"] != skip)
-    flat = df.select(F.explode(pairs).alias("z")).select(F.col("z.t").alias("truth"), F.col("z.p").alias("predicted"))
-    return confusion(flat, "truth", "predicted")
+    # The outer form spares the plan an inferred filter that would compute the arrays again.
+    pairs = df.select(F.explode_outer(F.arrays_zip(F.col(truth).alias("t"), F.col(predicted).alias("p"))).alias("z"))
+    flat = pairs.select(F.col("z.t").alias("truth"), F.col("z.p").alias("predicted"))
+    return confusion(flat.filter(F.col("truth") != skip), "truth", "predicted")
 
 
 def token_match(left: Column, right: Column, show: int = 5) -> Column:
@@ -83,17 +88,22 @@ def token_match(left: Column, right: Column, show: int = 5) -> Column:
 
     ``struct<compared, matches, match_pct, mismatches>``; the comparison stays in the row.
     """
-    shorter = F.least(F.size(left), F.size(right))
-    a, b = F.slice(left, 1, shorter), F.slice(right, 1, shorter)
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda s: s))
-    apart = F.filter(
-        F.transform(a, lambda x, i: F.struct(i.alias("pos"), x.alias("left"), F.get(b, i).alias("right"))),
-        lambda s: s["left"] != s["right"],
-    )
-    pct = F.when(shorter > 0, same / shorter * 100).otherwise(0.0)
-    return F.struct(
-        shorter.alias("compared"), same.alias("matches"), pct.alias("match_pct"), F.slice(apart, 1, show).alias("mismatches")
-    )
+    def shared(sides: Column) -> Column:
+        shorter = F.least(F.size(sides["l"]), F.size(sides["r"]))
+        return F.zip_with(
+            F.slice(sides["l"], 1, shorter), F.slice(sides["r"], 1, shorter), lambda x, y: F.struct(x.alias("left"), y.alias("right"))
+        )
+
+    def compare(z: Column) -> Column:
+        same = F.size(F.filter(z, lambda p: p["left"] == p["right"]))
+        placed = F.transform(z, lambda p, i: F.struct(i.alias("pos"), p["left"].alias("left"), p["right"].alias("right")))
+        apart = F.filter(placed, lambda p: p["left"] != p["right"])
+        pct = F.when(F.size(z) > 0, same / F.size(z) * 100).otherwise(0.0)
+        return F.struct(
+            F.size(z).alias("compared"), same.alias("matches"), pct.alias("match_pct"), F.slice(apart, 1, show).alias("mismatches")
+        )
+
+    return bind(F.struct(left.alias("l"), right.alias("r")), lambda s: bind(shared(s), compare))
 
 
 def token_match_rows(left: DataFrame, right: DataFrame, position: str = "pos", token: str = "token") -> DataFrame:

@@ -74,23 +74,19 @@ def screen_rows(scored: DataFrame, request: str, position: str, config: RouterCo
     """
     pii = pii_decision(F.col("pii"), PII_LABELS, config.pii_threshold)
     guard = guard_decision(F.col("guard"), JAILBREAK_LABELS, config.guard_threshold)
-    rows = scored.filter(F.col("content") != "").select(
-        request, F.col(position).alias("_pos"), pii.alias("_pii"), guard.alias("_guard")
-    )
-    per_type = rows.filter(F.col("_pii") != NO_PII).groupBy(request, "_pii").agg(F.min("_pos").alias("_pos"))
-    # At most one entry per label of the vocabulary.
-    types = per_type.groupBy(request).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_pii"))), lambda s: s["_pii"]).alias("detected")
-    )
-    flags = rows.filter(F.col("_guard.flag")).groupBy(request).agg(
-        F.min_by(F.struct(F.col("_pos").alias("index"), "_guard.type", "_guard.confidence"), "_pos").alias("jailbreak")
-    )
-    requests = scored.select(request).distinct()
-    return (
-        requests.join(types, request, "left")
-        .join(flags, request, "left")
-        .withColumn("detected", F.coalesce("detected", F.array().cast("array<string>")))
+    filled = F.col("content") != ""
+    rows = scored.select(
+        request, F.col(position).alias("_pos"), F.when(filled, pii).alias("_pii"), F.when(filled, guard).alias("_guard")
     )
+    # First position per label of the vocabulary, and the first flagged content: one pass.
+    labels = [label for label in PII_LABELS if label != NO_PII]
+    seen = [F.min(F.when(F.col("_pii") == label, F.col("_pos"))).alias(f"_first_{i}") for i, label in enumerate(labels)]
+    flagged = F.when(F.col("_guard.flag"), F.col("_pos"))
+    first = F.min_by(F.struct(F.col("_pos").alias("index"), "_guard.type", "_guard.confidence"), flagged)
+    found = rows.groupBy(request).agg(*seen, first.alias("jailbreak"))
+    firsts = F.array(*[F.struct(F.col(f"_first_{i}").alias("pos"), F.lit(label).alias("label")) for i, label in enumerate(labels)])
+    ordered = F.array_sort(F.filter(firsts, lambda s: s["pos"].isNotNull()))
+    return found.select(request, F.transform(ordered, lambda s: s["label"]).alias("detected"), "jailbreak")
 
 
 def screen_requests(requests: DataFrame, contents: str, pii: Scorer, guard: Scorer, config: RouterConfig) -> DataFrame:

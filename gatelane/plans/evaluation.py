@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..operators import evaluation as ev
+from ..session import cut_lineage
 from ..sources import readers, sinks
 
 
@@ -45,7 +46,9 @@ def evaluate(
     columns = [ident, F.col(answer).alias("correct_answer"), *[c for c in ("category",) if c in chosen.columns]]
     joined = responses.join(chosen.select(*columns), ident)
     graded = ev.grade(joined, "response", "correct_answer", "success", letters)
-    results = graded.withColumn("display_name", texts.display_name(F.col("model"), F.col("approach")))
+    named = graded.withColumn("display_name", texts.display_name(F.col("model"), F.col("approach")))
+    # Graded once and written: summary, accuracies and the detailed sink all read it.
+    results = cut_lineage(named, "graded")
     by_category = results if "category" in results.columns else results.withColumn("category", F.lit("all"))
     return Evaluation(
         results,

@@ -15,6 +15,7 @@ from ..functions import texts
 from ..operators import corpus, reports
 from ..operators.similarity import centroids
 from ..session import cut_lineage
+from ..sources.sinks import side_by_side
 
 PARTS = ("train", "validation", "test")
 
@@ -33,10 +34,11 @@ def prepare_corpus(
 
     ``stratify=False`` is the way out when some label is too thin for every part.
     """
-    kept = corpus.drop_rare(df, label, min_rows)
-    parts = corpus.split(kept, ident, label if stratify else None, ratios, names, seed)
-    labels = corpus.label_index(kept, label)
-    return Corpus(parts.join(labels, label), labels)
+    # Label counts are class-sized; written once, they give the rare filter and the index.
+    counts = cut_lineage(df.groupBy(label).agg(F.count("*").alias("_n")), "label-counts")
+    labels = corpus.label_index(counts.filter(F.col("_n") >= min_rows), label)
+    kept = df.join(labels, label)
+    return Corpus(corpus.split(kept, ident, label if stratify else None, ratios, names, seed), labels)
 
 
 def text_pipeline(text: str, label: str, features: int = 1 << 14, iterations: int = 20, weight: str | None = None) -> Pipeline:
@@ -115,7 +117,8 @@ class DualModel:
 def word_rows(df: DataFrame, ident: str, text: str, labels: str) -> DataFrame:
     """One row per word with its label and a shape description the word model can learn from."""
     pairs = F.arrays_zip(texts.words(F.col(text)).alias("word"), F.col(labels).alias("flag"))
-    rows = df.select(ident, F.posexplode(pairs).alias("pos", "z")).select(ident, "pos", F.col("z.word").alias("word"), F.col("z.flag").alias("flag"))
+    # The outer form spares the plan an inferred filter that would split the text again.
+    rows = df.select(ident, F.posexplode_outer(pairs).alias("pos", "z")).filter("pos is not null").select(ident, "pos", F.col("z.word").alias("word"), F.col("z.flag").alias("flag"))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("word", r"\p{Lu}", "A"), r"\p{Ll}", "a"), r"\d", "0")
     return rows.withColumn("tokens", F.concat_ws(" ", "word", shape, F.regexp_replace(shape, r"(.)\1+", "$1")))
 
@@ -143,6 +146,5 @@ def dual_scores(model: DualModel, df: DataFrame, ident: str, text: str, category
     scored = predict(model.words, counted)
     loss = scored.agg((F.sum(log_loss(F.col("probability"), F.col("flag")) * F.col("n")) / F.sum("n")).alias("pii_loss"))
     f1 = reports.weighted_f1(reports.confusion(scored, "flag", "predicted_id", F.col("n"))).select(F.col("weighted_f1").alias("pii_f1"))
-    # Three one-row results, put side by side.
-    joined = docs.join(F.broadcast(loss)).join(F.broadcast(f1))
+    joined = side_by_side(docs, loss, f1)
     return joined.withColumn("total_loss", weights[0] * F.col("category_loss") + weights[1] * F.col("pii_loss"))

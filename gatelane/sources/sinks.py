@@ -29,6 +29,14 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
 
 
+def side_by_side(*one_row_tables: DataFrame) -> DataFrame:
+    """Put one-row tables next to each other, by a union and one aggregate instead of joins."""
+    union = one_row_tables[0]
+    for other in one_row_tables[1:]:
+        union = union.unionByName(other, allowMissingColumns=True)
+    return union.agg(*[F.first(c, ignorenulls=True).alias(c) for c in union.columns])
+
+
 def save_results(results: DataFrame, path: str) -> None:
     """Detailed results as CSV, one folder per model and approach."""
     _flat(results).write.mode("overwrite").partitionBy("model", "approach").option("header", True).csv(path)
@@ -108,7 +116,7 @@ def save_report(report: DataFrame, matrix: DataFrame, accuracy: DataFrame, path:
     """Accuracy, report and confusion counts as one nested JSON row; all parts are class-sized."""
     rows = report.agg(F.collect_list(F.struct(*report.columns)).alias("classification_report"))
     cells = matrix.agg(F.collect_list(F.struct(*matrix.columns)).alias("confusion"))
-    accuracy.join(F.broadcast(rows)).join(F.broadcast(cells)).write.mode("overwrite").json(path)
+    side_by_side(accuracy, rows, cells).write.mode("overwrite").json(path)
 
 
 def save_centroids(centroids: DataFrame, path: str) -> None:
