@@ -133,7 +133,12 @@ def split(
     percents = [int(p) if p == int(p) else p for p in percents]
     keyed = df.withColumn("_stratum", F.lit("") if label is None else F.col(label))
     cuts = hash_cuts(keyed, "_stratum", ident, percents, seed, digits)
-    joined = keyed.join(cuts, "_stratum", "left").withColumn("_key", seeded_key(seed, F.col(ident)))
+    if label is None:  # a single stratum has one row of cuts: constants of the plan
+        row = cuts.first()
+        joined = keyed.withColumns({f"cut_{i}": F.lit(row[f"cut_{i}"] if row else "") for i in range(len(percents))})
+    else:
+        joined = keyed.join(cuts, "_stratum", "left")
+    joined = joined.withColumn("_key", seeded_key(seed, F.col(ident)))
     part = F.lit(names[-1])
     for i in reversed(range(len(percents))):
         part = F.when(F.col("_key") <= F.col(f"cut_{i}"), names[i]).otherwise(part)

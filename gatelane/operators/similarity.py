@@ -138,19 +138,28 @@ def _query_cells(vector: Column, pivots: np.ndarray, radius: np.ndarray, floor:
 
 def _blocked(queries: DataFrame, entries: DataFrame, cell: list[str], kernel, out: pa.Schema, block_rows: int) -> DataFrame:
     """Run ``kernel`` on every pair of blocks that share a cell."""
-    def counts(df: DataFrame, name: str) -> DataFrame:
-        blocks = F.ceil(F.count("*") / block_rows).cast("int")
-        return df.groupBy(*cell).agg(blocks.alias(name))
-
-    sizes = counts(queries, "_nq").join(counts(entries, "_ne"), cell)
+    def blocks(rows: Column) -> Column:
+        return F.greatest(F.ceil(rows / block_rows), F.lit(1)).cast("int")
+
+    def sized(df: DataFrame) -> DataFrame:
+        """Number of query and entry blocks in the row's cell."""
+        if not cell:  # one cell: its two counts are constants of the plan
+            return df.withColumn("_nq", blocks(F.lit(totals[0]))).withColumn("_ne", blocks(F.lit(totals[1])))
+        return df.join(sizes, cell)
+
+    if cell:
+        count = lambda df, name: df.groupBy(*cell).agg(blocks(F.count("*")).alias(name))
+        sizes = count(queries, "_nq").join(count(entries, "_ne"), cell)
+    else:
+        totals = queries.count(), entries.count()
     left = (
-        queries.join(sizes, cell)
+        sized(queries)
         .withColumn("_bq", F.pmod(F.xxhash64("_id"), F.col("_nq")).cast("int"))
         .withColumn("_be", F.explode(F.sequence(F.lit(0), F.col("_ne") - 1)))
         .drop("_nq", "_ne")
     )
     right = (
-        entries.join(sizes, cell)
+        sized(entries)
         .withColumn("_be", F.pmod(F.xxhash64("_id"), F.col("_ne")).cast("int"))
         .withColumn("_bq", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
         .drop("_nq", "_ne")
@@ -211,9 +220,6 @@ def _cells(q: DataFrame, e: DataFrame, on: list[str], timed: bool, ttl: float |
             unconditional = not on and not timed
             q = q.withColumn("_cell", F.explode(_query_cells(F.col("_v"), matrix, radius, -1.0 if floor is None else floor, unconditional)))
             cell.append("_cell")
-    if not cell:
-        q, e = q.withColumn("_all", F.lit(0)), e.withColumn("_all", F.lit(0))
-        cell = ["_all"]
     return q, e, cell
 
 
