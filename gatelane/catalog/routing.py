@@ -10,9 +10,9 @@ from ..functions.rules import GUARD_PATTERN, PII_PATTERNS, pii_types
 from ..operators.policy import check_policy, is_allowed, type_allowed, with_policy
 from ..operators.screening import screen_rows
 from ..operators.scorers import GuardRules, PiiRules
-from ..plans.routing import parse_requests, route_requests, with_contents
+from ..plans.routing import CacheSource, parse_requests, route_requests, with_contents
 from ..session import spread
-from ..settings import models_table
+from ..settings import CacheOptions, models_table
 from .common import (
     SQL_CATEGORY_LABELS, SQL_HEAD, SQL_MODEL, SQL_POLICY, SQL_SCORES, centroid_head, conversation_requests,
     document_requests, fixture_config, request_body, requested_model, sql_list, sql_text, table,
@@ -155,6 +155,33 @@ SELECT doc_id, 200::INT AS status, CASE WHEN outcome = 'pii_blocked' THEN 'true'
 FROM routed WHERE outcome IN ('pii_blocked', 'jailbreak_blocked')"""
 
 
+@query
+def route_with_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship with a cache: every document is answered ten seconds after it came."""
+    requests = document_requests(spark, sf_dir)
+    entries = requests.select(
+        F.col("doc_id").alias("entry_id"), requested_model(F.col("doc_id")).alias("model"), "embedding",
+        (F.col("doc_id") + 10).alias("response_ts"), F.concat(F.lit("answer "), "doc_id").alias("response_body"),
+    )
+    routed = route_requests(
+        requests.withColumn("ts", F.col("doc_id")), fixture_config(), centroid_head(spark, sf_dir), category_input="embedding",
+        created=F.lit(CREATED), cache_source=CacheSource(entries, CacheOptions(0.4, 0, 600), "doc_id", "ts"),
+    )
+    return routed.select("doc_id", "model", "outcome", "served_model", "cached_body", F.col("reply.body").isNotNull().alias("ended"))
+
+
+SQL["route_with_cache"] = f"""WITH {SQL_ROUTED},
+v AS (SELECT doc_id, model, embedding::DOUBLE[] AS e FROM request JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
+s AS (SELECT q.doc_id, c.doc_id AS entry, round(list_dot_product(q.e, c.e), 9) AS s FROM v q JOIN v c
+  ON q.model = c.model AND c.doc_id + 10 <= q.doc_id AND q.doc_id - (c.doc_id + 10) < 600),
+hits AS (SELECT s.doc_id, max_by(entry, (s, entry)) AS entry FROM s JOIN documents d ON d.doc_id = s.doc_id AND d.text <> '' WHERE s >= 0.4 GROUP BY s.doc_id)
+SELECT r.doc_id, r.model, CASE WHEN outcome <> 'jailbreak_blocked' AND entry IS NOT NULL THEN 'cache_hit' ELSE outcome END AS outcome,
+  CASE WHEN outcome = 'jailbreak_blocked' OR entry IS NULL THEN served_model END AS served_model,
+  CASE WHEN outcome <> 'jailbreak_blocked' THEN 'answer ' || entry END AS cached_body,
+  outcome IN ('jailbreak_blocked', 'pii_blocked') OR entry IS NOT NULL AS ended
+FROM routed r LEFT JOIN hits h USING (doc_id)"""
+
+
 # ------------------------------------------------------------------ request parts
 @query
 def split_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

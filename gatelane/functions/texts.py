@@ -114,6 +114,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
+def word_windows(text: Column, size: int) -> Column:
+    """The whole text as consecutive pieces of at most ``size`` words, for scorers with short inputs."""
+    pieces = lambda w: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / size).cast("int"), F.lit(1)) - 1),
+        lambda i: F.array_join(F.slice(w, i * size + 1, size), " "),
+    )
+    return F.get(F.transform(F.array(words(text)), pieces), F.lit(0))
+
+
 def mentions_known_name(text: Column) -> Column:
     """Any part of a known name occurs anywhere in the text."""
     parts = sorted({part for name in KNOWN_NAMES for part in name.split()})

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chat
+from ..operators import cache
 from ..operators.policy import denied_types, policies, policy_literal
 from ..operators.scorers import GuardRules, PiiRules, Scorer
 from ..operators.screening import category_decision, screen_requests
 from ..operators.selection import best_allowed, best_candidate, candidate_table, load_aware_scores, ttft_table
-from ..settings import AUTO_MODEL, CATEGORY_LABELS, RouterConfig, models_table, scores_table
+from ..session import cut_lineage
+from ..settings import AUTO_MODEL, CATEGORY_LABELS, CacheOptions, RouterConfig, models_table, scores_table
 
 OUTCOMES = ("invalid", "jailbreak_blocked", "cache_hit", "routed", "passed", "pii_blocked")
 
@@ -140,6 +144,38 @@ def with_replies(decided: DataFrame, created: Column) -> DataFrame:
     return decided.withColumn("reply", reply).withColumn("rewritten_body", rewritten)
 
 
+@dataclass
+class CacheSource:
+    """Where cached answers come from, and the columns that tie requests to them.
+
+    ``entries`` has ``entry_id, model, <vector>, response_ts, response_body``.
+    """
+
+    entries: DataFrame
+    options: CacheOptions
+    request_id: str
+    request_ts: str
+    vector: str = "embedding"
+    expire: str = "on_read"
+
+
+def answer_from_cache(requests: DataFrame, source: CacheSource) -> DataFrame:
+    """Add ``cached_body`` to screened requests; NULL for a miss.
+
+    Only requests that reach the cache are searched: valid, not blocked by the prompt
+    guard, and with a user text. The search itself moves ids and vectors, no texts.
+    """
+    reaching = requests.filter(F.col("ok") & F.col("jailbreak").isNull() & (F.col("user_content") != ""))
+    entries = source.entries.withColumnRenamed(source.vector, "_entry_vector")
+    found = cache.lookup(
+        reaching.select(source.request_id, "model", source.request_ts, F.col(source.vector).alias("_entry_vector")), entries,
+        source.options, source.request_id, "entry_id", "model", "_entry_vector", source.request_ts, "response_ts", source.expire,
+    )
+    answers = entries.select(F.col("entry_id").alias("match_id"), F.col("response_body").alias("cached_body"))
+    hits = found.filter("hit").select(source.request_id, "match_id").join(answers, "match_id").drop("match_id")
+    return requests.join(hits, source.request_id, "left")
+
+
 def route_requests(
     raw: DataFrame,
     config: RouterConfig,
@@ -150,11 +186,19 @@ def route_requests(
     body: str = "body",
     created: Column | None = None,
     labels: list[str] | None = None,
+    cache_source: CacheSource | None = None,
     **dims: DataFrame,
 ) -> DataFrame:
-    """Parse, screen, classify, decide and reply, for a table or a stream of request bodies."""
+    """Parse, screen, look up, classify, decide and reply.
+
+    Without ``cache_source`` every step is a projection or a lookup in a dimension, so
+    the same plan runs on a table or a stream; streams use ``streaming.state`` as cache.
+    """
     parsed = parse_requests(raw, body)
     screened = screen_requests(parsed, "contents", pii_scorer or PiiRules(), guard_scorer or GuardRules(), config)
+    if cache_source is not None:
+        # Screened once and written: the search and the decision both read it.
+        screened = answer_from_cache(cut_lineage(screened, "screened"), cache_source)
     scored = screened.withColumn("_scored", category_scorer.score(F.col(category_input)))
     # Evaluate the model once per row, then only read its result.
     category = category_decision(F.col("_scored"), labels or CATEGORY_LABELS, config.category_threshold)

@@ -61,6 +61,11 @@ def test_padding(spark):
     assert (row.p, row.c, row.m) == ([1, 0, 1, 0, 0], [1, 0], [1, 0, -100])
 
 
+def test_word_windows(spark):
+    df = spark.createDataFrame([("a b  c d\ne",), ("",)], "t string")
+    assert [r.w for r in df.select(texts.word_windows(F.col("t"), 2).alias("w")).collect()] == [["a b", "c d", "e"], [""]]
+
+
 def test_generator(spark):
     none = corpus.generate_corpus(spark.range(300), "id", probability=0.0)
     assert none.filter("has_pii").count() == 0
