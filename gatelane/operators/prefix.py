@@ -8,6 +8,9 @@ across buckets, and the result is joined back.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,15 +45,21 @@ def running_totals(df: DataFrame, keys: list[str], order: list[Column | str], va
         totals.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
         .withColumn("_past", F.min(F.col("_base") + F.col("_lowest")).over(before))
-        .select(*cell, "_start", "_base", "_past")
+        .select(*[F.col(c).alias(f"_cell_{i}") for i, c in enumerate(cell)], "_start", "_base", "_past")
     )
-    joined = local.join(offsets, cell)
+    # Null-safe: rows without a key form a group of their own. It also keeps both uses of
+    # the scan free of inferred filters, so that its shuffle can be shared.
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_cell_{i}")) for i, c in enumerate(cell)])
+    joined = local.join(offsets, same)
     return (
         joined.withColumn("position", F.col("_start") + F.col("_row"))
         .withColumn("running", F.col("_base") + F.col("_sum"))
         .withColumn("running_min", F.least("_past", F.col("_base") + F.col("_low")))
         .withColumn("running_min_before", F.least("_past", F.col("_base") + F.col("_low_before")))
-        .drop("_bucket", "_value", "_row", "_sum", "_low", "_low_before", "_start", "_base", "_past")
+        .drop(
+            "_bucket", "_value", "_row", "_sum", "_low", "_low_before", "_start", "_base", "_past",
+            *[f"_cell_{i}" for i in range(len(cell))],
+        )
     )
 
 
