@@ -14,6 +14,7 @@ from ..streaming import runs, state
 from .common import centroid_head, fixture_config, message, request_body, requested_model, table
 from .metering import SQL as METER_SQL
 from .routing import CREATED, SQL_ROUTED
+from .vectors import sql_replay
 
 QUERIES, SQL = {}, {}
 
@@ -161,6 +162,12 @@ def streaming_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("replica", "model", "request_id", "hit", "match_id", F.round("score", 6).alias("score"))
 
 
+SQL["streaming_cache"] = f"""WITH RECURSIVE {sql_replay("(({t}.label % 2) * 10 + {t}.label % 3)")}
+SELECT 'replica-' || (v.label % 2) AS replica, 'model-' || (v.label % 3) AS model, lpad(v.vec_id::VARCHAR, 12, '0') AS request_id,
+  h.m IS NOT NULL AS hit, lpad(h.m::VARCHAR, 12, '0') AS match_id, round(h.s, 6) AS score
+FROM embeddings v LEFT JOIN hits h ON h.q = v.vec_id"""
+
+
 @query
 def streaming_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In-flight load as keyed state."""

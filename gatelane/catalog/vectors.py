@@ -275,6 +275,24 @@ def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("vec_id", "model", "inserted", "hit", "match_id", F.round("score", 6).alias("score"))
 
 
+def sql_replay(key: str) -> str:
+    """One-by-one replay as a recursion over the log: ``pairs``, ``last`` (inserted ids) and ``hits``."""
+    return f"""
+pairs AS (SELECT q.vec_id AS q, e.vec_id AS e, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS s
+  FROM embeddings q JOIN embeddings e ON {key.format(t='q')} = {key.format(t='e')} AND e.vec_id < q.vec_id),
+near AS (SELECT v.vec_id, list(p.e) FILTER (p.s >= 0.3) AS near FROM embeddings v LEFT JOIN pairs p ON p.q = v.vec_id GROUP BY v.vec_id),
+steps AS (SELECT -1::BIGINT AS i, []::BIGINT[] AS ins
+  UNION ALL SELECT n.vec_id, CASE WHEN len(list_intersect(steps.ins, coalesce(n.near, []))) > 0 THEN steps.ins ELSE list_append(steps.ins, n.vec_id) END
+  FROM steps JOIN near n ON n.vec_id = steps.i + 1),
+last AS (SELECT unnest(ins) AS id FROM steps WHERE i = (SELECT max(i) FROM steps)),
+hits AS (SELECT q, max_by(e, (s, e)) AS m, max(s) AS s FROM pairs JOIN last ON last.id = pairs.e WHERE s >= 0.3 GROUP BY q)"""
+
+
+SQL["cache_replay"] = f"""WITH RECURSIVE {sql_replay("({t}.label % 3)")}
+SELECT v.vec_id, 'model-' || (v.label % 3) AS model, l.id IS NOT NULL AS inserted, l.id IS NULL AS hit, h.m AS match_id, round(h.s, 6) AS score
+FROM embeddings v LEFT JOIN last l ON l.id = v.vec_id LEFT JOIN hits h ON h.q = v.vec_id"""
+
+
 # ------------------------------------------------------------------ selection
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embeddings(spark, sf_dir).select("vec_id", centroid_head(spark, sf_dir).score(F.col("embedding")).alias("s"))
