@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import answer_letter, answer_letter_four, base_model, is_correct, seeded_key
+from .prefix import hash_cuts
 
 AUTO = "auto"
+RANKED_SAMPLE = 1000  # the engine pre-selects ranks per task up to this many rows
 OVERALL = "Overall"
 
 
@@ -29,15 +31,23 @@ def filter_categories(questions: DataFrame, wanted: list[str] | None, category:
 def sample_per_group(df: DataFrame, group: str, ident: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` seeded rows per group; smaller groups stay whole.
 
-    The rank filter lets every task pre-select its own first ``n`` rows per group,
-    so a hot group does not travel.
+    For small ``n`` the rank filter lets every task pre-select its own first ``n`` rows
+    per group, so a hot group does not travel. For larger ``n`` the key of the n-th row is
+    searched for and rows are kept by comparison; the result is the same.
     """
+    if n > RANKED_SAMPLE:
+        cuts = hash_cuts(df, group, ident, [n], seed, counts_given=True)
+        kept = df.join(cuts, group).filter(seeded_key(seed, F.col(ident)) <= F.col("cut_0"))
+        return kept.drop("cut_0").select(df.columns)
     order = Window.partitionBy(group).orderBy(seeded_key(seed, F.col(ident)))
     return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
 
 
 def sample_overall(df: DataFrame, ident: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` seeded rows, as a distributed top-k over the seeded key."""
+    """``n`` seeded rows: a distributed top-k over the seeded key, or its n-th key for larger ``n``."""
+    if n > RANKED_SAMPLE:
+        row = hash_cuts(df.withColumn("_one", F.lit("")), "_one", ident, [n], seed, counts_given=True).first()
+        return df.filter(seeded_key(seed, F.col(ident)) <= F.lit(row["cut_0"] if row else ""))
     return df.orderBy(seeded_key(seed, F.col(ident))).limit(n)
 
 

@@ -63,9 +63,12 @@ def running_totals(df: DataFrame, keys: list[str], order: list[Column | str], va
     )
 
 
-def hash_cuts(df: DataFrame, label: str, ident: str, percents: list[int], seed: int, digits: int = 3) -> DataFrame:
+def hash_cuts(df: DataFrame, label: str, ident: str, percents: list[float], seed: int, digits: int = 3, counts_given: bool = False) -> DataFrame:
     """Per label, the seeded key of the last row at or below each percentage.
 
+    With ``counts_given`` the list holds row counts instead; a label with fewer rows is
+    cut after its last row.
+
     Counts per hash prefix find the prefix in which a cut falls; only the rows of
     that prefix are ranked. Columns: label, ``cut_0`` ... ``cut_{n-1}``; a cut that
     takes no row is empty, and a label without any cut row is absent.
@@ -78,7 +81,8 @@ def hash_cuts(df: DataFrame, label: str, ident: str, percents: list[int], seed:
     placed = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn(
         "_all", F.sum("_n").over(Window.partitionBy(label))
     )
-    targets = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col("_all") * p / 100).alias("t")) for i, p in enumerate(percents)])
+    place = (lambda p: F.least(F.col("_all"), F.lit(p))) if counts_given else (lambda p: F.floor(F.col("_all") * p / 100))
+    targets = F.array(*[F.struct(F.lit(i).alias("i"), place(p).cast("bigint").alias("t")) for i, p in enumerate(percents)])
     needed = (
         placed.withColumn("_c", F.explode(targets))
         .filter((F.col("_c.t") > F.col("_upto") - F.col("_n")) & (F.col("_c.t") <= F.col("_upto")))

@@ -94,6 +94,15 @@ def test_sampling(spark):
     assert plan_text.count("WindowGroupLimit") == 2
 
 
+def test_large_samples_are_the_same_rows(spark, monkeypatch):
+    df = spark.range(600).withColumn("c", F.when(F.col("id") < 500, "hot").otherwise("few"))
+    small = sorted(r.id for r in ev.sample_per_group(df, "c", "id", 120).collect())
+    overall = sorted(r.id for r in ev.sample_overall(df, "id", 77).collect())
+    monkeypatch.setattr(ev, "RANKED_SAMPLE", 10)
+    assert sorted(r.id for r in ev.sample_per_group(df, "c", "id", 120).collect()) == small and len(small) == 220
+    assert sorted(r.id for r in ev.sample_overall(df, "id", 77).collect()) == overall and len(overall) == 77
+
+
 def test_unknown_categories(spark):
     questions = spark.createDataFrame(QUESTIONS, readers.MMLU_SCHEMA)
     with pytest.raises(ValueError, match="c0, c1, c2"):
