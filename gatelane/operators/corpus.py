@@ -137,7 +137,8 @@ def split(
         row = cuts.first()
         joined = keyed.withColumns({f"cut_{i}": F.lit(row[f"cut_{i}"] if row else "") for i in range(len(percents))})
     else:
-        joined = keyed.join(cuts, "_stratum", "left")
+        named = cuts.withColumnRenamed("_stratum", "_of")
+        joined = keyed.join(named, F.col("_stratum").eqNullSafe(F.col("_of")), "left").drop("_of")
     joined = joined.withColumn("_key", seeded_key(seed, F.col(ident)))
     part = F.lit(names[-1])
     for i in reversed(range(len(percents))):

@@ -36,9 +36,9 @@ def sample_per_group(df: DataFrame, group: str, ident: str, n: int, seed: int =
     searched for and rows are kept by comparison; the result is the same.
     """
     if n > RANKED_SAMPLE:
-        cuts = hash_cuts(df, group, ident, [n], seed, counts_given=True)
-        kept = df.join(cuts, group).filter(seeded_key(seed, F.col(ident)) <= F.col("cut_0"))
-        return kept.drop("cut_0").select(df.columns)
+        cuts = hash_cuts(df, group, ident, [n], seed, counts_given=True).withColumnRenamed(group, "_of")
+        kept = df.join(cuts, F.col(group).eqNullSafe(F.col("_of")))
+        return kept.filter(seeded_key(seed, F.col(ident)) <= F.col("cut_0")).select(df.columns)
     order = Window.partitionBy(group).orderBy(seeded_key(seed, F.col(ident)))
     return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
 

@@ -89,7 +89,10 @@ def hash_cuts(df: DataFrame, label: str, ident: str, percents: list[float], seed
         .select(label, "_bucket", F.col("_c.i").alias("_i"), (F.col("_c.t") - F.col("_upto") + F.col("_n")).alias("_rn"))
     )
     wanted = needed.groupBy(label, "_bucket").agg(F.collect_list(F.struct("_i", "_rn")).alias("_wanted"))
-    ranked = keyed.join(wanted, [label, "_bucket"]).withColumn(
+    named = wanted.withColumnRenamed(label, "_of").withColumnRenamed("_bucket", "_at")
+    # Null-safe on the label: rows without one form a stratum too.
+    inside = F.col(label).eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_at"))
+    ranked = keyed.join(named, inside).drop("_of", "_at").withColumn(
         "_pos", F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_key"))
     )
     hits = ranked.withColumn("_w", F.explode("_wanted")).filter(F.col("_w._rn") == F.col("_pos"))

@@ -30,6 +30,12 @@ def test_split_shares_and_partitions(spark):
         corpus.split(df, "id", "label", (0.5, 0.2, 0.2))
 
 
+def test_missing_labels_are_a_stratum(spark):
+    df = spark.range(200).withColumn("label", F.when(F.col("id") % 2 == 0, "a"))
+    rows = corpus.split(df, "id", "label").groupBy("label", "split").agg(F.count("*").alias("n")).collect()
+    assert {(r.label, r.split): r.n for r in rows}[None, "train"] == 70 and sum(r.n for r in rows) == 200
+
+
 def test_tiny_labels_survive_the_split(spark):
     df = spark.createDataFrame([(1, "x"), (2, "y"), (3, "y")], "id long, label string")
     rows = corpus.split(df, "id", "label").collect()
