@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, simhash, url_reputation
+from . import bpe, mixture, sharding, simhash, url_reputation
 from .common import table
 
 RULES = [
@@ -27,6 +27,11 @@ def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixture_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture.mix_by_source(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -36,5 +41,33 @@ def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op3_bpe_forced_boundaries, op7_hypergeometric_shards, op10_simhash_blocks)}
-SQL: dict[str, str] = {}
+SQL_MIXTURE = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::INT] AS weight FROM per),
+-- sources from the tightest limit on; those before the first that is not above it stay at the limit
+ranked AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / weight, source) AS rn FROM weighed),
+levels AS (
+  SELECT *, ((SELECT sum(size) FROM sized) - coalesce(sum(3 * source_size) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(weight) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked),
+free AS (SELECT min(rn) AS rn, arg_min(level, rn) AS level FROM levels WHERE weight * level <= 3 * source_size),
+goals AS (
+  SELECT l.source, l.source_size, CASE WHEN l.rn >= f.rn THEN l.weight * f.level ELSE 3.0::DOUBLE * l.source_size END AS target
+  FROM levels l, free f),
+plans AS (
+  SELECT *, floor(target)::BIGINT // greatest(source_size, 1) AS whole, floor(target)::BIGINT % greatest(source_size, 1) AS rest FROM goals),
+ordered AS (
+  SELECT s.*, p.source_size, p.target, p.whole, p.rest,
+    sum(size) OVER (PARTITION BY s.source ORDER BY md5('5:' || doc_id::VARCHAR), doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running
+  FROM sized s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+  (size * (whole + CASE WHEN rest > 0 AND 2 * running - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM ordered"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_reputation, op3_bpe_forced_boundaries, op5_mixture_flow, op7_hypergeometric_shards, op10_simhash_blocks)
+}
+SQL: dict[str, str] = {"op5_mixture_flow": SQL_MIXTURE}
