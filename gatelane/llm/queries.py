@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixture, sharding, simhash, url_reputation
+from . import bpe, mixture, quality, sharding, simhash, toxicity, url_reputation
 from .common import table
 
 RULES = [
@@ -27,6 +27,11 @@ def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_mixture_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixture.mix_by_source(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -36,6 +41,10 @@ def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.likelihood_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), "component_id")
@@ -68,6 +77,9 @@ FROM ordered"""
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_reputation, op3_bpe_forced_boundaries, op5_mixture_flow, op7_hypergeometric_shards, op10_simhash_blocks)
+    for f in (
+        op1_url_reputation, op3_bpe_forced_boundaries, op4_toxicity_cnn, op5_mixture_flow, op7_hypergeometric_shards,
+        op8_quality_ratio, op10_simhash_blocks,
+    )
 }
 SQL: dict[str, str] = {"op5_mixture_flow": SQL_MIXTURE}
