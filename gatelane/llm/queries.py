@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixture, quality, sharding, simhash, toxicity, url_reputation
+from . import bpe, mixture, quality, sharding, simhash, toxicity, url_reputation, warc
 from .common import table
 
 RULES = [
@@ -20,6 +20,10 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES)
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
     return texts.select(
@@ -75,11 +79,20 @@ SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN rest > 0 AND 2 * running - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ordered"""
 
+SQL_WARC = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f"""
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_reputation, op3_bpe_forced_boundaries, op4_toxicity_cnn, op5_mixture_flow, op7_hypergeometric_shards,
+        op1_url_reputation, op2_warc_index, op3_bpe_forced_boundaries, op4_toxicity_cnn, op5_mixture_flow, op7_hypergeometric_shards,
         op8_quality_ratio, op10_simhash_blocks,
     )
 }
-SQL: dict[str, str] = {"op5_mixture_flow": SQL_MIXTURE}
+SQL: dict[str, str] = {"op2_warc_index": SQL_WARC, "op5_mixture_flow": SQL_MIXTURE}
