@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
+
+
+def store_of(root: str):
+    """File system and path of a folder named by uri or plain path."""
+    from pyarrow import fs
+
+    if re.match(r"[a-z][a-z0-9+.-]*:/", root):
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", root))
+    return fs.LocalFileSystem(), root
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing unfinished reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            store, path = store_of(files[0].rsplit("/", 1)[0])
+            store.delete_dir(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixture, quality, sharding, simhash, toxicity, url_reputation, warc
+from . import bpe, mixture, quality, sharding, simhash, suffix_index, toxicity, url_reputation, warc
 from .common import table
 
 RULES = [
@@ -49,6 +49,14 @@ def op8_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.likelihood_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_index.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), "component_id")
@@ -92,7 +100,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_reputation, op2_warc_index, op3_bpe_forced_boundaries, op4_toxicity_cnn, op5_mixture_flow, op7_hypergeometric_shards,
-        op8_quality_ratio, op10_simhash_blocks,
+        op8_quality_ratio, op9_suffix_family, op10_simhash_blocks,
     )
 }
 SQL: dict[str, str] = {"op2_warc_index": SQL_WARC, "op5_mixture_flow": SQL_MIXTURE}

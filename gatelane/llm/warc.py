@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import written
+from .common import store_of, written
 from .url_reputation import host_of
 
 LEAST_REVISIT = 100  # bytes from which an equal payload is stored once
@@ -41,13 +41,7 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _ENTRY = "page_id {kind}, capture string, file string, offset bigint, length bigint"
 
 
-@lru_cache(maxsize=4)
-def _store(root: str):
-    from pyarrow import fs
-
-    if re.match(r"[a-z][a-z0-9+.-]*:/", root):
-        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", root))
-    return fs.LocalFileSystem(), root
+_store = lru_cache(maxsize=4)(store_of)
 
 
 def _open(root: str, name: str, write: bool = False):
