@@ -121,7 +121,8 @@ def likelihood_filter(docs: DataFrame, labels: DataFrame, ident: str = "doc_id",
     is never trusted. Repeated rows stay. Other columns are not read.
     """
     trusted = labels.filter(F.col(mark) == 1).select(F.col(ident).alias("_ident")).distinct().withColumn("_own", F.lit(True))
-    marked = docs.select(ident, text).join(trusted, F.col(ident) == F.col("_ident"), "left")
+    # One plan at every size: the labels grow with the documents, so neither side is broadcast.
+    marked = docs.select(ident, text).join(trusted.hint("merge"), F.col(ident) == F.col("_ident"), "left")
     weights = docs.sparkSession.sparkContext.broadcast(ratios(bucket_counts(marked, "_own", text)))
     kind = docs.schema[ident].dataType.simpleString()
 
