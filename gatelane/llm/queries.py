@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixture, quality, sharding, simhash, suffix_index, toxicity, url_reputation, warc
+from . import bpe, embedding_graph, mixture, quality, sharding, simhash, suffix_index, toxicity, url_reputation, warc
 from .common import table
 
 RULES = [
@@ -41,6 +41,10 @@ def op5_mixture_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -99,7 +103,7 @@ FROM f"""
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_reputation, op2_warc_index, op3_bpe_forced_boundaries, op4_toxicity_cnn, op5_mixture_flow, op7_hypergeometric_shards,
+        op1_url_reputation, op2_warc_index, op3_bpe_forced_boundaries, op4_toxicity_cnn, op5_mixture_flow, op6_embedding_graph, op7_hypergeometric_shards,
         op8_quality_ratio, op9_suffix_family, op10_simhash_blocks,
     )
 }
