@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import suffix_core as core
@@ -33,13 +33,14 @@ BAND = 16
 BATCHES = 4
 
 
+def _names(ident: str, text: str) -> tuple[Column, Column]:
+    """Two hashes name a document; rows equal in identifier and text share a name, and an answer."""
+    return F.xxhash64(F.lit(1), F.col(ident)), F.xxhash64(F.lit(2), F.coalesce(F.col(text), F.lit("")), F.col(ident))
+
+
 def _keyed(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """``doc_id, d1, d2, body``: two hashes name a document; rows equal in identifier and text share a name, and an answer."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(
-        F.col(ident).alias("doc_id"), F.xxhash64(F.lit(1), F.col(ident)).alias("d1"),
-        F.xxhash64(F.lit(2), body, F.col(ident)).alias("d2"), body.cast("binary").alias("body"),
-    )
+    one, two = _names(ident, text)
+    return docs.select(one.alias("d1"), two.alias("d2"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
 
 
 def anchors(keyed: DataFrame) -> DataFrame:
@@ -204,6 +205,34 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", batches:
     return whole.unionByName(single).unionByName(inside)
 
 
+def _with_parts(docs: DataFrame, ident: str, text: str, batches: int) -> DataFrame:
+    """``docs`` with ``_parts``, the sorted list of repeated stretches of each (null: none)."""
+    found = repeats(docs, ident, text, batches).distinct()
+    # At most the stretches of one document in a list; a table of its own, so that the join can split hot keys.
+    per_doc = written(
+        found.groupBy("d1", "d2").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("_parts")), "parts"
+    ).withColumnsRenamed({"d1": "_d1", "d2": "_d2"})
+    one, two = _names(ident, text)
+    return docs.withColumns({"_one": one, "_two": two}).join(
+        per_doc, (F.col("_one") == F.col("_d1")) & (F.col("_two") == F.col("_d2")), "left"
+    ).drop("_one", "_two", "_d1", "_d2")
+
+
+def _merged(parts: list[dict] | None) -> list[list[int]]:
+    out: list[list[int]] = []
+    for part in parts or ():
+        if out and part["begin"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], part["end"])
+        else:
+            out.append([part["begin"], part["end"]])
+    return out
+
+
+def _rest(body: bytes, spans: list[list[int]]) -> bytes:
+    edges = [0, *(e for span in spans for e in span), len(body)]
+    return b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
 def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
     """Per row the identifier, ``n_bytes``, ``spans`` (removed runs as begin and end) and ``kept`` (remaining bytes).
 
@@ -212,30 +241,49 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", b
     ``SPAN`` bytes stay as they are. Rows equal in identifier and text are documents of
     their own, hence copies of each other. Other columns are not read.
     """
-    found = repeats(docs, ident, text, batches).distinct()
-    per_doc = found.groupBy("d1", "d2").agg(F.collect_list(F.struct("begin", "end")).alias("parts"))  # bounded by one document
     kind = docs.schema[ident].dataType.simpleString()
-    named = _keyed(docs, ident, text)
+    kinds = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches):
         for batch in batches:
             sizes, spans, kept = [], [], []
             for body, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                merged: list[list[int]] = []
-                for begin, end in sorted((p["begin"], p["end"]) for p in parts or ()):
-                    if merged and begin <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], end)
-                    else:
-                        merged.append([begin, end])
-                edges = [0, *(e for m in merged for e in m), len(body)]
+                merged = _merged(parts)
                 sizes.append(len(body))
                 spans.append([{"begin": b, "end": e} for b, e in merged])
-                kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            kinds = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+                kept.append(_rest(body, merged))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kinds), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kinds), pa.array(kept, pa.binary())],
+                ["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    return named.join(per_doc, ["d1", "d2"], "left").select("doc_id", "body", "parts").mapInArrow(
+    rows = _with_parts(docs.select(ident, text), ident, text, batches)
+    return rows.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"), "_parts").mapInArrow(
         cut, f"doc_id {kind}, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary"
     )
+
+
+def cut_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: str = "n_chars", batches: int = BATCHES) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the texts, and ``length`` (if there is such a column) counted anew.
+
+    A character of which only some bytes were cut goes whole. Texts without repeats,
+    null ones included, stay as they are.
+    """
+    names, schema = docs.columns, docs.schema
+    at, number = names.index(text), names.index(length) if length in names else None
+
+    def cut(batches):
+        for batch in batches:
+            columns = list(batch.columns[: len(names)])
+            bodies, counts = columns[at].to_pylist(), columns[number].to_pylist() if number is not None else None
+            for i, parts in enumerate(batch.column(len(names)).to_pylist()):
+                if parts:
+                    bodies[i] = _rest(bodies[i].encode(), _merged(parts)).decode("utf-8", "ignore")
+                    if counts is not None:
+                        counts[i] = len(bodies[i])
+            columns[at] = pa.array(bodies, columns[at].type)
+            if counts is not None:
+                columns[number] = pa.array(counts, columns[number].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return _with_parts(docs, ident, text, batches).select(*names, "_parts").mapInArrow(cut, schema)
