@@ -1,26 +1,65 @@
-"""A training corpus in stages. Each stage gets what the one before kept, written as Parquet and read again."""
+"""A training corpus in five stages.
+
+Each stage works on all that the one before kept, written as Parquet and read again. The
+first four return the columns of their input; the last one the tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelane.llm import bpe, simhash
-from gatelane.llm.common import table, written
+from gatelane.llm import bpe, mixture, simhash, suffix_index, toxicity
+from gatelane.llm.common import prepare, table, written
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, calls toxic go."""
+    prepare(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.filter_clean(docs, model)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates stays: that with the smallest identifier.
+
+    Rows without identifier come last in that order. Of rows equal in identifier and text one stays.
+    """
+    prepare(spark)
+    unit = F.xxhash64("doc_id", "text")
+    who = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("ident"), unit.alias("unit"))
+    placed = simhash.near_duplicates(docs.select(who.alias("who"), "text"), "who")
+    kept = placed.filter("doc_id = component_id").select(F.col("doc_id.unit").alias("_unit")).distinct()
+    rows = docs.withColumn("_unit", unit).dropDuplicates(["_unit"])
+    # Both sides grow with the documents: one plan at every size.
+    return rows.join(kept.hint("merge"), "_unit", "left_semi").select(docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that repeat are cut out of the texts; ``n_chars`` follows. Characters cut in two go."""
+    prepare(spark)
+    return suffix_index.cut_texts(docs)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates stays: that with the smallest identifier."""
-    kept = simhash.near_duplicates(docs).select("doc_id", "component_id").filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; those without a word are not taken."""
+    prepare(spark)
+    return mixture.take(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` of every document left."""
+    """``doc_id, n_tokens, ids`` of every row left."""
+    prepare(spark)
     return bpe.encode(docs)
 
 
-STAGES = [("simhash", near_copies), ("bpe", tokens)]
+STAGES = [
+    ("toxicity", clean),
+    ("simhash", distinct),
+    ("suffix_repeats", without_repeats),
+    ("mixture", mixed),
+    ("bpe", tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
