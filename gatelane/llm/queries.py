@@ -91,6 +91,45 @@ SELECT doc_id, size, source_size, target,
   (size * (whole + CASE WHEN rest > 0 AND 2 * running - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ordered"""
 
+_LAST = "array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
+_SUFFIXES = ", ".join(f"'{s}'" for s in url_reputation.TWO_LABEL_SUFFIXES)
+_STRENGTH = """
+  SELECT CASE WHEN seen IS NULL OR whole <= chance OR seen <= chance THEN 10000.0::DOUBLE
+    ELSE least(greatest(1 / ((seen - chance) / (whole - chance)) - 1, 1.0::DOUBLE), 10000.0::DOUBLE) END AS k
+  FROM (SELECT sum(n * (good / n - m) * (good / n - m)) AS seen, sum(m * (1 - m)) AS chance, sum(n * m * (1 - m)) AS whole
+        FROM (SELECT good::DOUBLE AS good, n::DOUBLE AS n, m FROM {source}) WHERE n > 0)"""
+SQL_URLS = f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules(rule, rhost, rpath, action) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+ruled AS (
+  SELECT p.page_id, p.host, p.path, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+  FROM parts p LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL),
+hosts AS (
+  SELECT host, coalesce(sum(quality) FILTER (quality IN (0, 1)), 0) AS good, count(quality) FILTER (quality IN (0, 1)) AS n
+  FROM parts LEFT JOIN labels ON doc_id = page_id GROUP BY host),
+named AS (
+  SELECT *, CASE WHEN regexp_matches(host, '^\\d+(\\.\\d+){{3}}$') THEN host WHEN {_LAST.format(n=2)} IN ({_SUFFIXES}) THEN {_LAST.format(n=3)}
+      ELSE {_LAST.format(n=2)} END AS domain,
+    CASE WHEN regexp_matches(host, '^\\d+(\\.\\d+){{3}}$') THEN '' WHEN {_LAST.format(n=2)} IN ({_SUFFIXES}) THEN {_LAST.format(n=2)}
+      ELSE {_LAST.format(n=1)} END AS suffix FROM hosts),
+base AS (SELECT CASE WHEN sum(n) > 0 THEN sum(good) / sum(n) ELSE 0.5 END AS base FROM hosts),
+s0 AS (SELECT suffix, sum(good) AS good, sum(n) AS n, any_value(base) AS m FROM named, base GROUP BY suffix),
+ks AS ({_STRENGTH.format(source="s0")}),
+s1 AS (SELECT suffix, (good + k * m) / (n + k) AS mean FROM s0, ks),
+d0 AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n, any_value(mean) AS m FROM named JOIN s1 USING (suffix) GROUP BY domain, suffix),
+kd AS ({_STRENGTH.format(source="d0")}),
+d1 AS (SELECT domain, suffix, (good + k * m) / (n + k) AS m FROM d0, kd),
+h0 AS (SELECT host, good, n, m FROM named JOIN d1 USING (domain, suffix)),
+kh AS ({_STRENGTH.format(source="h0")}),
+h1 AS (SELECT host, (good + k * m) / (n + k) AS mean, n + k AS weight FROM h0, kh)
+SELECT page_id, host, path, rule,
+  coalesce(action, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) < 0.6 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled JOIN h1 USING (host)"""
 SQL_WARC = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -107,4 +146,4 @@ QUERIES = {
         op8_quality_ratio, op9_suffix_family, op10_simhash_blocks,
     )
 }
-SQL: dict[str, str] = {"op2_warc_index": SQL_WARC, "op5_mixture_flow": SQL_MIXTURE}
+SQL: dict[str, str] = {"op1_url_reputation": SQL_URLS, "op2_warc_index": SQL_WARC, "op5_mixture_flow": SQL_MIXTURE}
