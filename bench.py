@@ -15,7 +15,7 @@ from gatelane.session import build_session
 
 HEADLINE = [
     "route_documents", "routing_outcomes", "request_roundtrip", "pii_types_per_doc", "policy_check", "screen_conversations",
-    "softmax_head", "nearest_centroid", "best_match_all", "cache_lookup", "cache_lookup_ttl", "cache_fill", "cache_replay",
+    "softmax_head", "nearest_centroid", "best_match_all", "cache_lookup", "cache_lookup_ttl", "cache_fill", "cache_lookup_capped",
     "best_model_per_request", "tokens_by_model", "latency_histogram", "latency_p95", "token_rate_5m", "inflight_load",
     "request_response_pairs", "gateway_counter_snapshot", "graded_replies", "eval_summary", "accuracy_matrix", "ranked_scores",
     "sample_per_category", "stratified_split", "prepare_corpus", "word_pii_labels", "token_match", "labelled_corpus",

@@ -271,7 +271,7 @@ SQL["classifier_accuracy"] = f"WITH {SQL_PREDICTIONS} SELECT round(avg((truth =
 @query
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = reports.confusion(_predictions(spark, sf_dir), "truth", "predicted")
-    return reports.confusion_matrix(counts, ["q0", "q1", "q2"])
+    return reports.confusion_matrix(counts)
 
 
 SQL["confusion_matrix"] = f"""WITH {SQL_PREDICTIONS}

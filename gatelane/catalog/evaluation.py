@@ -12,7 +12,7 @@ from .common import sql_list, sql_text, table
 
 QUERIES, SQL = {}, {}
 EVAL_MODELS = ["phi4", "gemma3:27b", "org/mistral-small3.1", "auto"]
-SOURCES = [f"src{i}" for i in range(20)]
+SOURCES = [f"src{i}" for i in range(20)]  # columns of the check SQL; the query takes them from the data
 
 
 def query(fn):
@@ -161,7 +161,7 @@ UNION ALL SELECT display_name, 'Overall', round(avg(accuracy), 6) FROM acc GROUP
 @query
 def accuracy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model by category matrix."""
-    wide = ev.accuracy_matrix(accuracies(spark, sf_dir), SOURCES)
+    wide = ev.accuracy_matrix(accuracies(spark, sf_dir))
     return wide.select("display_name", *[F.round(c, 6).alias(c) for c in wide.columns[1:]])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
@@ -13,6 +13,7 @@ from ..streaming import metrics as SM
 from ..streaming import runs, state
 from .common import centroid_head, fixture_config, message, request_body, requested_model, table
 from .metering import SQL as METER_SQL
+from .metering import SQL_BOUNDS
 from .routing import CREATED, SQL_ROUTED
 from .vectors import sql_replay
 
@@ -144,12 +145,11 @@ def _with_rocksdb(spark: SparkSession) -> SparkSession:
     return spark
 
 
-@query
-def streaming_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Semantic cache as keyed state: every vector asks, and is answered half a second later."""
+def _cache_answers(spark: SparkSession, sf_dir: str, replica: Column, max_entries: int, name: str) -> DataFrame:
+    """Every vector asks, and is answered half a second later."""
     vectors = stream(_with_rocksdb(spark), sf_dir, "embeddings")
     base = vectors.select(
-        F.concat(F.lit("replica-"), F.col("label") % 2).alias("replica"), F.concat(F.lit("model-"), F.col("label") % 3).alias("model"),
+        replica.alias("replica"), F.concat(F.lit("model-"), F.col("label") % 3).alias("model"),
         F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("request_id"), F.col("embedding").cast("array<double>").alias("vector"),
         F.col("vec_id").cast("double").alias("ts"),
     )
@@ -158,7 +158,13 @@ def streaming_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         "replica", "model", "k.kind", "request_id", (F.col("ts") + F.col("k.d")).alias("ts"),
         F.concat(F.lit("prompt "), "request_id").alias("query"), "vector", F.concat(F.lit("answer "), "request_id").alias("body"),
     )
-    done = runs.collect_append(state.cache_stream(events, CacheOptions(0.3, 1000, 0)), "streaming-cache")
+    return runs.collect_append(state.cache_stream(events, CacheOptions(0.3, max_entries, 0)), name)
+
+
+@query
+def streaming_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semantic cache as keyed state, two replicas."""
+    done = _cache_answers(spark, sf_dir, F.concat(F.lit("replica-"), F.col("label") % 2), 1000, "streaming-cache")
     return done.select("replica", "model", "request_id", "hit", "match_id", F.round("score", 6).alias("score"))
 
 
@@ -168,6 +174,66 @@ SELECT 'replica-' || (v.label % 2) AS replica, 'model-' || (v.label % 3) AS mode
 FROM embeddings v LEFT JOIN hits h ON h.q = v.vec_id"""
 
 
+@query
+def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One replica's log through the keyed cache: what is inserted, what hits which entry."""
+    done = _cache_answers(spark, sf_dir, F.lit("replica-0"), 0, "cache-replay")
+    return done.select(
+        F.col("request_id").cast("bigint").alias("vec_id"), "model", (~F.col("hit")).alias("inserted"), "hit",
+        F.col("match_id").cast("bigint").alias("match_id"), F.round("score", 6).alias("score"),
+    )
+
+
+SQL["cache_replay"] = f"""WITH RECURSIVE {sql_replay("({t}.label % 3)")}
+SELECT v.vec_id, 'model-' || (v.label % 3) AS model, l.id IS NOT NULL AS inserted, l.id IS NULL AS hit, h.m AS match_id, round(h.s, 6) AS score
+FROM embeddings v LEFT JOIN last l ON l.id = v.vec_id LEFT JOIN hits h ON h.q = v.vec_id"""
+
+
+@query
+def streaming_p95_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """95th percentile per model over sliding five-minute windows, one window per minute, from streamed bucket panes."""
+    panes = SM.pane_buckets(_event_stream(spark, sf_dir), "ts", ["event_type"], F.col("value") / 60, 60, "1 day")
+    done = runs.collect_updates(panes, ["pane", "event_type", "bucket"], "streaming-p95-5m")
+    rates = M.pane_rate(done, "pane", ["event_type", "bucket"], "n", 300, 60)
+    counts = rates.select("window_start", "event_type", F.col("bucket").alias("le_idx"), F.round(F.col("rate") * 300).cast("bigint").alias("n"))
+    every = F.array(*[F.sum(F.when(F.col("le_idx") <= i, F.col("n")).otherwise(0)) for i in range(len(M.BUCKETS) + 1)])
+    hist = counts.groupBy("window_start", "event_type").agg(every.alias("c"), F.sum("n").alias("total"))
+    long = hist.select("window_start", "event_type", "total", F.posexplode("c").alias("le_idx", "bucket_count"))
+    return M.histogram_quantile(long, ["window_start", "event_type"], 0.95).select("window_start", "event_type", F.round("quantile", 6).alias("p95"))
+
+
+SQL["streaming_p95_5m"] = f"""WITH b(i, le, x) AS (VALUES {SQL_BOUNDS}),
+e AS (SELECT event_type, value, (floor(epoch(ts) / 60) * 60)::BIGINT - o * 60 AS window_start FROM events, range(0, 5) r(o)),
+h AS (SELECT event_type, window_start, i, x, count(*) FILTER (value / 60 <= x) AS c, count(*) AS t FROM e, b GROUP BY ALL),
+w AS (SELECT *, coalesce(lag(c) OVER o, 0) AS pc, coalesce(lag(x) OVER o, 0.0) AS px FROM h WINDOW o AS (PARTITION BY event_type, window_start ORDER BY i)),
+f AS (SELECT *, row_number() OVER (PARTITION BY event_type, window_start ORDER BY i) AS rn FROM w WHERE c >= 0.95::DOUBLE * t)
+SELECT window_start, event_type, round(CASE WHEN i = {len(M.BUCKETS)} THEN {M.BUCKETS[-1]} ELSE px + (x - px) * (0.95::DOUBLE * t - pc) / (c - pc) END, 6) AS p95 FROM f WHERE rn = 1"""
+
+
+@query
+def streaming_unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All user turns with their answer, if there is one; those without are told once both watermarks are past their wait."""
+    turns = stream(spark, sf_dir, "conversations")
+    at = F.timestamp_seconds(F.lit(CREATED) + F.col("conv_id") * 60 + F.col("turn"))
+    requests = turns.filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "conv_id", "turn", at.alias("request_ts"))
+    responses = stream(spark, sf_dir, "conversations").filter("role = 'assistant' AND conv_id % 4 != 0").select(
+        F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("request_id"), at.alias("response_ts")
+    )
+    paired = SM.pair_stream(requests, responses, "request_id", "request_ts", "response_ts", "1 minute", "1 minute")
+    done = runs.collect_append(paired, "streaming-unanswered")
+    return done.select("conv_id", "turn", "no_response")
+
+
+# A row waits a minute for its answer; the watermark is a minute behind the slower of both sides.
+SQL["streaming_unanswered"] = f"""
+WITH t AS (SELECT *, {CREATED} + conv_id * 60 + turn AS at FROM conversations),
+q AS (SELECT * FROM t WHERE role = 'user'), r AS (SELECT * FROM t WHERE role = 'assistant' AND conv_id % 4 <> 0),
+mark AS (SELECT least((SELECT max(at) FROM q), (SELECT max(at) FROM r)) - 60 AS mark)
+SELECT q.conv_id, q.turn, r.conv_id IS NULL AS no_response
+FROM q CROSS JOIN mark LEFT JOIN r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1
+WHERE r.conv_id IS NOT NULL OR q.at + 60 < mark.mark"""
+
+
 @query
 def streaming_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In-flight load as keyed state."""

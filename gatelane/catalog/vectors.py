@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import cache, selection
 from ..operators.screening import category_decision, pii_decision, with_label
-from ..operators.similarity import best_match, centroids, pair_similarity
+from ..operators.similarity import NearestCentroid, best_match, centroids, pair_similarity, root_pivots
 from ..settings import (
     CATEGORY_LABELS, PII_LABELS, CacheOptions, default_config, labels_table, models_table, scores_table,
 )
@@ -123,14 +123,12 @@ LEFT JOIN labels_pii p ON p.idx = h.class + 10"""
 
 @query
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Most similar label centroid for every vector, as a best-match search."""
+    """Most similar label centroid for every vector; the ten centroids travel to the rows."""
     rows = embeddings(spark, sf_dir).select("vec_id", "embedding", "label")
     means = centroids(rows, "label", "embedding", "vec_id", 5)
-    unit = means.select(F.col("label").cast("bigint").alias("label_id"), V.l2_normalize(F.col("centroid")).alias("centroid"))
-    found = best_match(rows, unit, "vec_id", "label_id", "embedding", "centroid")
-    return rows.select("vec_id", "label").join(found, "vec_id").select(
-        "vec_id", "label", F.col("match_id").cast("int").alias("predicted"), F.round("score", 6).alias("similarity")
-    )
+    nearest = NearestCentroid(means.select("label", V.l2_normalize(F.col("centroid")).alias("centroid")))
+    found = rows.select("vec_id", "label", nearest.match(F.col("embedding")).alias("n")).filter("n IS NOT NULL")
+    return found.select("vec_id", "label", F.col("n.label").alias("predicted"), F.round("n.similarity", 6).alias("similarity"))
 
 
 SQL["nearest_centroid"] = f"""WITH {SQL_HEAD}
@@ -154,7 +152,7 @@ SELECT round(avg((label = predicted)::INT), 6) AS accuracy, count(*) AS n FROM n
 
 @query
 def best_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Most similar other vector of the whole table, first on ties; cells laid out by pivots."""
+    """Most similar other vector of the whole table, first on ties."""
     rows = embeddings(spark, sf_dir).select("vec_id", "embedding")
     found = best_match(rows, rows, "vec_id", "vec_id", exclude_self=True)
     return found.select("vec_id", "match_id", F.round("score", 6).alias("score"))
@@ -166,6 +164,21 @@ WITH p AS (SELECT a.vec_id, b.vec_id AS m, round(list_dot_product(a.embedding::D
 SELECT vec_id, max_by(m, (s, -m)) AS match_id, round(max(s), 6) AS score FROM p GROUP BY vec_id"""
 
 
+@query
+def best_match_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most similar other vector at 0.5 or more: identifiers are text, cells are laid out by pivots."""
+    rows = embeddings(spark, sf_dir).select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("name"), "embedding")
+    found = best_match(rows, rows, "name", "name", exclude_self=True, min_score=0.5, pivots=root_pivots(rows))
+    return found.select("name", "match_id", F.round("score", 6).alias("score"))
+
+
+SQL["best_match_pivots"] = """
+WITH p AS (SELECT a.vec_id, b.vec_id AS m, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT lpad(vec_id::VARCHAR, 12, '0') AS name, lpad(max_by(m, (round(s, 9), -m))::VARCHAR, 12, '0') AS match_id, round(max(round(s, 9)), 6) AS score
+FROM p WHERE s >= 0.5 GROUP BY vec_id"""
+
+
 @query
 def pair_similarity_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of each vector and its successor; the last pair fails and scores -1."""
@@ -267,12 +280,21 @@ SELECT count(*) FILTER ((SELECT count(*) FROM embeddings) - CASE WHEN vec_id % 8
 
 
 @query
-def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole log decided in order: what is inserted, what hits which entry."""
-    requests, _ = _cache_sides(spark, sf_dir)
-    timed = requests.withColumn("response_ts", F.col("ts"))
-    done = cache.replay(timed, CacheOptions(0.3, 0, 0), "vec_id", "model", "embedding", "ts", "response_ts")
-    return done.select("vec_id", "model", "inserted", "hit", "match_id", F.round("score", 6).alias("score"))
+def cache_lookup_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache hits when only the hundred entries answered last are kept."""
+    requests, entries = _cache_sides(spark, sf_dir)
+    found = cache.lookup(requests, entries, CacheOptions(0.3, 100, 0), "vec_id", "vec_id", "model", "embedding", "ts", "response_ts")
+    return found.select("vec_id", "model", "hit", "match_id", F.round("score", 6).alias("score"))
+
+
+SQL["cache_lookup_capped"] = """
+WITH entries AS (SELECT vec_id, label % 3 AS m, embedding, vec_id + 10 AS at, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings WHERE vec_id % 8 <> 7),
+requests AS (SELECT v.vec_id, v.label % 3 AS m, v.embedding, (SELECT count(*) FROM entries e WHERE e.at <= v.vec_id) AS seen FROM embeddings v),
+pairs AS (SELECT r.vec_id AS q, e.vec_id AS e, list_dot_product(r.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d
+  FROM requests r JOIN entries e ON r.m = e.m AND e.place <= r.seen AND e.place > r.seen - 100),
+best AS (SELECT q, max_by(e, (round(d, 9), e)) AS m, max(round(d, 9)) AS s FROM pairs WHERE d >= 0.3 GROUP BY q)
+SELECT vec_id, 'model-' || (label % 3) AS model, b.m IS NOT NULL AS hit, b.m AS match_id, round(b.s, 6) AS score
+FROM embeddings LEFT JOIN best b ON b.q = vec_id"""
 
 
 def sql_replay(key: str) -> str:
@@ -288,11 +310,6 @@ last AS (SELECT unnest(ins) AS id FROM steps WHERE i = (SELECT max(i) FROM steps
 hits AS (SELECT q, max_by(e, (s, e)) AS m, max(s) AS s FROM pairs JOIN last ON last.id = pairs.e WHERE s >= 0.3 GROUP BY q)"""
 
 
-SQL["cache_replay"] = f"""WITH RECURSIVE {sql_replay("({t}.label % 3)")}
-SELECT v.vec_id, 'model-' || (v.label % 3) AS model, l.id IS NOT NULL AS inserted, l.id IS NULL AS hit, h.m AS match_id, round(h.s, 6) AS score
-FROM embeddings v LEFT JOIN last l ON l.id = v.vec_id LEFT JOIN hits h ON h.q = v.vec_id"""
-
-
 # ------------------------------------------------------------------ selection
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embeddings(spark, sf_dir).select("vec_id", centroid_head(spark, sf_dir).score(F.col("embedding")).alias("s"))

@@ -1,8 +1,7 @@
-"""Semantic cache as table operations: lookup, fill, retention and replay.
+"""Semantic cache as table operations: lookup, fill and retention.
 
-``lookup`` answers requests from a given table of entries. ``replay`` decides the
-entries too: requests arrive in order, a miss becomes an entry, a hit does not.
-The two differ, because in a replay the cache content depends on earlier decisions.
+``lookup`` answers requests from a given table of entries. The cache whose content depends
+on its own earlier decisions is the keyed stream in ``streaming.state``.
 """
 
 from __future__ import annotations
@@ -11,10 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import seconds
-from ..session import cut_lineage
 from ..settings import CacheOptions
 from .prefix import running_totals
-from .similarity import BLOCK_ROWS, best_match, neighbour_flags
+from .similarity import BLOCK_ROWS, best_match
 
 
 def unexpired(entries: DataFrame, ts: Column, now: Column, ttl: int) -> DataFrame:
@@ -57,20 +55,42 @@ def lookup(
     An entry counts once its response is there (``response_ts`` not after the
     request) and only for the same requested model. ``expire="on_write"`` serves
     entries past their ttl, as a cache does that only cleans up when it writes;
-    the default does not. Equal scores go to the newest entry.
+    the default does not. With ``max_entries`` a request sees only that many entries, of
+    all models: those answered last before it (of equal times, those with the higher id).
+    Equal scores go to the newest entry.
     """
     if not options.enabled:
-        return requests.withColumn("hit", F.lit(False)).withColumn("match_id", F.lit(None).cast("bigint")).withColumn("score", F.lit(None).cast("double"))
-    ready = entries.filter(F.col(response_ts).isNotNull())
+        kind = entries.schema[entry_id].dataType.simpleString()
+        return requests.withColumn("hit", F.lit(False)).withColumn("match_id", F.lit(None).cast(kind)).withColumn("score", F.lit(None).cast("double"))
+    ready, asking, places = entries.filter(F.col(response_ts).isNotNull()), requests, {}
+    if options.max_entries > 0:
+        asking, ready = _places(requests, ready, request_id, entry_id, request_ts, response_ts)
+        places = {"latest": options.max_entries, "query_place": F.col("_place"), "entry_place": F.col("_place")}
     found = best_match(
-        requests, ready, request_id, entry_id, vector, vector, [model],
-        seconds(requests, request_ts), seconds(ready, response_ts),
+        asking, ready, request_id, entry_id, vector, vector, [model],
+        seconds(asking, request_ts), seconds(ready, response_ts),
         ttl=options.ttl_seconds if options.ttl_seconds > 0 and expire == "on_read" else None,
-        min_score=options.threshold, prefer="newest", pivots=pivots, block_rows=block_rows,
+        min_score=options.threshold, prefer="newest", pivots=pivots, block_rows=block_rows, **places,
     )
     return requests.join(found, request_id, "left").withColumn("hit", F.col("match_id").isNotNull())
 
 
+def _places(requests: DataFrame, entries: DataFrame, request_id: str, entry_id: str, request_ts: str, response_ts: str, bucket_seconds: int = 60):
+    """Both sides with ``_place``: an entry's number in time order, and the number of entries up to a request."""
+    side = lambda df, ident, ts, step: df.select(
+        F.lit(step).alias("_step"), F.col(ident).cast("string").alias("_name"), F.col(ident).alias("_of"), seconds(df, ts).cast("double").alias("_at")
+    )
+    marks = side(entries, entry_id, response_ts, 1).select("_step", "_name", "_at", F.col("_of").alias("_tie")).unionByName(
+        side(requests, request_id, request_ts, 0).select("_step", "_name", "_at", F.lit(None).cast(entries.schema[entry_id].dataType).alias("_tie"))
+    ).withColumn("_all", F.lit(0))
+    scanned = running_totals(marks, ["_all"], ["_at", F.desc("_step"), "_tie", "_name"], F.col("_step"), F.floor(F.col("_at") / bucket_seconds))
+    numbered = scanned.select("_step", "_name", F.col("running").alias("_place"))
+    give = lambda df, ident, step: df.join(
+        numbered.filter(F.col("_step") == step).drop("_step"), F.col(ident).cast("string") == F.col("_name")
+    ).drop("_name")
+    return give(requests, request_id, 0), give(entries, entry_id, 1)
+
+
 def fill(
     pending: DataFrame, responses: DataFrame, query: str, pending_id: str, response_id: str,
     pending_ts: str, response_ts: str, bucket_seconds: int = 3600,
@@ -103,50 +123,3 @@ def fill(
         F.max(F.when(~F.col("_opens"), F.col("_ts"))).alias(response_ts),
     )
     return met.filter(F.col(pending_id).isNotNull() & F.col(response_id).isNotNull()).drop("_q", "_k")
-
-
-def replay(
-    requests: DataFrame, options: CacheOptions, ident: str, model: str, vector: str, request_ts: str, response_ts: str,
-    block_rows: int = BLOCK_ROWS, max_rounds: int = 1000,
-) -> DataFrame:
-    """Decide every request of a log in order: ``inserted`` entries and hits on them.
-
-    A request is a hit if an entry inserted before it matches, else it is inserted.
-    Each round settles, in parallel, all requests whose earlier matching requests are
-    settled: one near an inserted entry is a hit, one with no open or inserted
-    neighbour before it is inserted. The result equals the one-by-one replay, and a
-    group of copies of any size is settled in two rounds. No size limit applies
-    here; ``lookup`` after ``keep_newest`` covers a bounded cache.
-    """
-    base = requests.select(
-        F.col(ident).alias("_id"), F.col(model).alias("_model"), F.col(vector).alias("_vec"),
-        seconds(requests, request_ts).alias("_req"), seconds(requests, response_ts).alias("_resp"),
-    )
-    ttl = options.ttl_seconds if options.ttl_seconds > 0 else None
-    open_rows = cut_lineage(base.withColumn("_state", F.lit(0)), "replay")  # 0 open, 1 inserted
-    inserted, rounds = open_rows.filter("_state = 1"), 0
-    while not open_rows.isEmpty():
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"replay did not settle in {max_rounds} rounds")
-        flags = neighbour_flags(
-            open_rows, open_rows.unionByName(inserted), "_id", "_vec", ["_model"], F.col("_req"), F.col("_resp"),
-            F.col("_state") == 1, options.threshold, ttl, block_rows,
-        )
-        judged = cut_lineage(
-            open_rows.join(flags, "_id", "left").withColumn(
-                "_state",
-                F.when(F.coalesce("near_settled", F.lit(False)), 2).when(F.coalesce("near_open", F.lit(False)), 0).otherwise(1),
-            ).drop("near_settled", "near_open"),
-            "replay",
-        )
-        inserted = cut_lineage(inserted.unionByName(judged.filter("_state = 1")), "replay")
-        open_rows = judged.filter("_state = 0")
-    entries = inserted.select(F.col("_id").alias("_entry"), "_model", "_vec", F.col("_resp"))
-    found = best_match(
-        base, entries, "_id", "_entry", "_vec", "_vec", ["_model"], F.col("_req"), F.col("_resp"),
-        ttl=ttl, min_score=options.threshold, prefer="newest", strict=True, block_rows=block_rows,
-    ).withColumnRenamed("_id", ident)
-    marks = inserted.select(F.col("_id").alias(ident), F.lit(True).alias("inserted"))
-    joined = requests.join(marks, ident, "left").join(found, ident, "left")
-    return joined.withColumn("inserted", F.coalesce("inserted", F.lit(False))).withColumn("hit", ~F.col("inserted"))

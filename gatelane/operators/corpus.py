@@ -96,13 +96,13 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_rare(df: DataFrame, label: str, min_rows: int = MIN_CLASS_ROWS) -> DataFrame:
-    """Drop labels with too few rows.
+    """Drop labels with too few rows; a missing label is a label like others.
 
     Labels are counted with partial aggregates and the few rare ones removed by an
     anti join; the rows themselves are not shuffled by label.
     """
-    rare = df.groupBy(label).agg(F.count("*").alias("_n")).filter(F.col("_n") < min_rows).select(label)
-    return df.join(rare, label, "left_anti")
+    rare = df.groupBy(label).agg(F.count("*").alias("_n")).filter(F.col("_n") < min_rows).select(F.col(label).alias("_rare"))
+    return df.join(rare, F.col(label).eqNullSafe(F.col("_rare")), "left_anti")
 
 
 def label_index(df: DataFrame, label: str) -> DataFrame:

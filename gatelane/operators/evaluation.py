@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import answer_letter, answer_letter_four, base_model, is_correct, seeded_key
-from .prefix import hash_cuts
 
 AUTO = "auto"
-RANKED_SAMPLE = 1000  # the engine pre-selects ranks per task up to this many rows
 OVERALL = "Overall"
 
 
@@ -24,31 +22,35 @@ def filter_categories(questions: DataFrame, wanted: list[str] | None, category:
     kept = questions.filter(F.col(category).isin(*wanted))
     if kept.isEmpty():
         valid = ", ".join(r[0] for r in distinct_categories(questions, category).collect())
-        raise ValueError(f"No data found for specified categories. Valid categories are: {valid}")
+        raise ValueError(f"none of the wanted categories occurs; the table has: {valid}")
     return kept
 
 
-def sample_per_group(df: DataFrame, group: str, ident: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` seeded rows per group; smaller groups stay whole.
+def sample_per_group(df: DataFrame, group: str, ident: str, n: int, seed: int = 42, digits: int = 3) -> DataFrame:
+    """``n`` seeded rows per group, exactly; smaller groups stay whole.
 
-    For small ``n`` the rank filter lets every task pre-select its own first ``n`` rows
-    per group, so a hot group does not travel. For larger ``n`` the key of the n-th row is
-    searched for and rows are kept by comparison; the result is the same.
+    Rows are ordered by the seeded key of their identifier (a null one counts as empty), then
+    by a hash of the whole row, so repeated identifiers have a fixed order too. Counts per key prefix
+    tell which prefixes lie wholly inside the sample; only the prefix that holds the
+    n-th row is ranked, so a hot group is spread over its prefixes.
     """
-    if n > RANKED_SAMPLE:
-        cuts = hash_cuts(df, group, ident, [n], seed, counts_given=True).withColumnRenamed(group, "_of")
-        kept = df.join(cuts, F.col(group).eqNullSafe(F.col("_of")))
-        return kept.filter(seeded_key(seed, F.col(ident)) <= F.col("cut_0")).select(df.columns)
-    order = Window.partitionBy(group).orderBy(seeded_key(seed, F.col(ident)))
-    return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
+    key = seeded_key(seed, F.coalesce(F.col(ident).cast("string"), F.lit("")))
+    keyed = df.withColumns({"_key": key, "_bucket": F.substring(key, 1, digits), "_all": F.xxhash64(*df.columns)})
+    counts = keyed.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    reach = counts.withColumn("_upto", upto).filter(F.col("_upto") - F.col("_n") < n).select(
+        F.col(group).alias("_of"), F.col("_bucket").alias("_at"), "_upto", (F.lit(n) - F.col("_upto") + F.col("_n")).alias("_left")
+    )
+    near = keyed.join(reach, F.col(group).eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_at")))
+    inside = near.filter(F.col("_upto") <= n).select(df.columns)
+    order = Window.partitionBy(group, "_bucket").orderBy("_key", "_all")
+    edge = near.filter(F.col("_upto") > n).withColumn("_rank", F.row_number().over(order)).filter("_rank <= _left")
+    return inside.unionByName(edge.select(df.columns))
 
 
 def sample_overall(df: DataFrame, ident: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` seeded rows: a distributed top-k over the seeded key, or its n-th key for larger ``n``."""
-    if n > RANKED_SAMPLE:
-        row = hash_cuts(df.withColumn("_one", F.lit("")), "_one", ident, [n], seed, counts_given=True).first()
-        return df.filter(seeded_key(seed, F.col(ident)) <= F.lit(row["cut_0"] if row else ""))
-    return df.orderBy(seeded_key(seed, F.col(ident))).limit(n)
+    """``n`` seeded rows of the whole table, by the same rule."""
+    return sample_per_group(df.withColumn("_one", F.lit("")), "_one", ident, n, seed).drop("_one")
 
 
 def grade(replies: DataFrame, reply: str, answer: str, success: str, letters: int = 10, faithful: bool = False) -> DataFrame:
@@ -95,10 +97,16 @@ def with_overall(accuracies: DataFrame, model: str = "display_name") -> DataFram
     return gathered.select(model, F.explode("rows").alias("r")).select(model, "r.category", "r.accuracy")
 
 
-def accuracy_matrix(accuracies: DataFrame, categories: list[str], model: str = "display_name") -> DataFrame:
-    """Model by category matrix: sorted rows and columns, ``Overall`` last, missing cells zero."""
-    columns = [*sorted(c for c in categories if c != OVERALL), OVERALL]
-    wide = with_overall(accuracies, model).groupBy(model).pivot("category", columns).agg(F.first("accuracy"))
+def accuracy_matrix(accuracies: DataFrame, categories: list[str] | None = None, model: str = "display_name") -> DataFrame:
+    """Model by category matrix: sorted rows and columns, ``Overall`` last, missing cells zero.
+
+    Columns are the categories found in the data, and those of ``categories`` besides. A
+    null category has the column ``null``.
+    """
+    named = accuracies.withColumn("category", F.coalesce("category", F.lit("null")))
+    found = {r[0] for r in named.select("category").distinct().collect()}  # one row per category
+    columns = [*sorted((found | set(categories or ())) - {OVERALL}), OVERALL]
+    wide = with_overall(named, model).groupBy(model).pivot("category", columns).agg(F.first("accuracy"))
     return wide.na.fill(0.0, columns).orderBy(model)
 
 

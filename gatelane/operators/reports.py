@@ -19,14 +19,22 @@ def confusion(df: DataFrame, truth: str, predicted: str, weight: Column | None =
     return df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(n.alias("n"))
 
 
-def confusion_matrix(counts: DataFrame, labels: list) -> DataFrame:
-    """Square matrix with sorted labels, truth on the rows, zero where nothing fell."""
-    ordered = sorted(labels)
-    spine = F.explode(F.array(*[F.lit(x) for x in ordered])).alias("truth")
-    cells = [F.sum(F.when(F.col("predicted") == x, F.col("n")).otherwise(0)).alias(str(x)) for x in ordered]
-    filled = counts.groupBy("truth").agg(*cells)
-    rows = counts.sparkSession.range(1).select(spine)
-    return rows.join(filled, "truth", "left").na.fill(0).orderBy("truth")
+def confusion_matrix(counts: DataFrame, labels: list | None = None) -> DataFrame:
+    """Square matrix with sorted labels, truth on the rows, zero where nothing fell.
+
+    Rows and columns are the labels found on either side, and those of ``labels`` besides; a
+    null label comes last, as the column ``null``. ``counts`` has a row per pair of labels.
+    """
+    both = counts.select(F.explode(F.array("truth", "predicted")).alias("x")).distinct()
+    found = {r[0] for r in both.collect()} | set(labels or ())
+    ordered = [*sorted(x for x in found if x is not None), *([None] if None in found else [])]
+    same = lambda x: F.col("predicted").isNull() if x is None else F.col("predicted") == x
+    cells = [F.sum(F.when(same(x), F.col("n")).otherwise(0)).alias("null" if x is None else str(x)) for x in ordered]
+    filled = counts.groupBy(F.col("truth").alias("_truth")).agg(*cells)
+    kind = counts.schema["truth"].dataType.simpleString()
+    spine = counts.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ordered)], f"_place int, truth {kind}")
+    rows = spine.join(filled, F.col("truth").eqNullSafe(F.col("_truth")), "left").orderBy("_place")
+    return rows.select("truth", *[F.coalesce(F.col(f"`{name}`"), F.lit(0)).alias(name) for name in filled.columns[1:]])
 
 
 def label_scores(counts: DataFrame) -> DataFrame:

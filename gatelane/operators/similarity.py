@@ -17,17 +17,16 @@ Cells are chosen so that a query meets only entries that can still matter:
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
 MAX_CLASSES = 4096
-SQL_TYPES = {pa.int64(): "bigint", pa.float64(): "double", pa.bool_(): "boolean"}
-MATCH = pa.schema([("_id", pa.int64()), ("_m", pa.int64()), ("_s", pa.float64()), ("_mt", pa.float64())])
-FLAGS = pa.schema([("_id", pa.int64()), ("_a", pa.bool_()), ("_b", pa.bool_())])
 SCORE_DIGITS = 9  # equal vectors must tie whatever the shape of their block
 
 
@@ -106,7 +105,7 @@ def centroids(df: DataFrame, label: str, vector: str, order: str | None = None,
 # --------------------------------------------------------------------------- blocks
 def _pivot_matrix(entries: DataFrame, pivots: int) -> np.ndarray:
     """A bounded, hash-ordered choice of entry vectors, used only to lay out cells."""
-    rows = entries.select("_v").orderBy(F.xxhash64("_id"), "_id").take(min(pivots, MAX_PIVOTS))
+    rows = entries.select("_v").orderBy(F.xxhash64("_id"), "_id").limit(pivots).collect()
     return np.array([r[0] for r in rows], dtype=np.float64)
 
 
@@ -136,7 +135,7 @@ def _query_cells(vector: Column, pivots: np.ndarray, radius: np.ndarray, floor:
     return cells(vector)
 
 
-def _blocked(queries: DataFrame, entries: DataFrame, cell: list[str], kernel, out: pa.Schema, block_rows: int) -> DataFrame:
+def _blocked(queries: DataFrame, entries: DataFrame, cell: list[str], kernel, out: str, block_rows: int) -> DataFrame:
     """Run ``kernel`` on every pair of blocks that share a cell."""
     def blocks(rows: Column) -> Column:
         return F.greatest(F.ceil(rows / block_rows), F.lit(1)).cast("int")
@@ -167,41 +166,32 @@ def _blocked(queries: DataFrame, entries: DataFrame, cell: list[str], kernel, ou
     group = [*cell, "_bq", "_be"]
 
     def run(q: pa.Table, e: pa.Table) -> pa.Table:
-        if not q.num_rows or not e.num_rows:
-            return out.empty_table()
-        scores = np.round(as_matrix(q["_v"]) @ as_matrix(e["_v"]).T, SCORE_DIGITS)
+        scores = as_matrix(q["_v"]) @ as_matrix(e["_v"]).T if q.num_rows and e.num_rows else np.zeros((q.num_rows, e.num_rows))
         return kernel(q, e, scores)
 
-    ddl = ", ".join(f"{f.name} {SQL_TYPES[f.type]}" for f in out)
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(run, ddl)
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(run, out)
 
 
 def _prepare(df: DataFrame, ident: str, vector: str, on: list[str], ts: Column | None, extra: dict[str, Column]) -> DataFrame:
     cols = [F.col(ident).alias("_id"), F.col(vector).cast("array<double>").alias("_v")]
     cols += [F.col(c).alias(f"_on_{c}") for c in on]
     cols += [(F.lit(0.0) if ts is None else ts.cast("double")).alias("_t")]
+    cols += [] if "_p" in extra else [F.lit(0).cast("bigint").alias("_p")]
     cols += [c.alias(n) for n, c in extra.items()]
     return df.select(*cols).filter(F.col("_id").isNotNull() & F.col("_v").isNotNull())
 
 
-def _times_ok(q_t, e_t, q_id, e_id, timed: bool, ttl: float | None, strict: bool):
-    """Which entries a query may see; ``strict`` breaks time ties by id."""
-    if not timed:
-        return None
+def _times_ok(q_t, e_t, ttl: float | None):
+    """Which entries a query may see."""
     age = q_t[:, None] - e_t[None, :]
-    ok = age >= 0
-    if strict:
-        ok &= (age > 0) | (e_id[None, :] < q_id[:, None])
-    if ttl:
-        ok &= age < ttl
-    return ok
+    return (age >= 0) & (age < ttl) if ttl else age >= 0
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
     return table[name].to_numpy()
 
 
-def _cells(q: DataFrame, e: DataFrame, on: list[str], timed: bool, ttl: float | None, pivots: int, floor: float | None):
+def _cells(q: DataFrame, e: DataFrame, on: list[str], timed: bool, ttl: float | None, pivots: int, floor: float | None, own_counts: bool):
     """Add cell columns to both sides and name them."""
     cell = [f"_on_{c}" for c in on]
     if timed and ttl:
@@ -214,15 +204,21 @@ def _cells(q: DataFrame, e: DataFrame, on: list[str], timed: bool, ttl: float |
         if len(matrix):
             e = _with_entry_cell(e, matrix)
             radius = np.full(len(matrix), -1.0)
-            for row in e.groupBy("_cell").agg(F.max("_angle").alias("r")).collect():  # at most MAX_PIVOTS rows
+            for row in e.groupBy("_cell").agg(F.max("_angle").alias("r")).collect():  # one row per pivot
                 radius[row["_cell"]] = row["r"]
             e = e.drop("_n", "_angle")
-            unconditional = not on and not timed
+            # Every pivot is a candidate of every query, unless keys, times or the query itself rule it out.
+            unconditional = not on and not timed and own_counts
             q = q.withColumn("_cell", F.explode(_query_cells(F.col("_v"), matrix, radius, -1.0 if floor is None else floor, unconditional)))
             cell.append("_cell")
     return q, e, cell
 
 
+def root_pivots(rows: DataFrame) -> int:
+    """A number of pivots that grows with the square root of the rows, so that cells do too."""
+    return math.isqrt(max(rows.count() - 1, 0)) + 1
+
+
 def best_match(
     queries: DataFrame,
     entries: DataFrame,
@@ -236,80 +232,92 @@ def best_match(
     ttl: float | None = None,
     min_score: float | None = None,
     prefer: str = "first",
-    strict: bool = False,
     exclude_self: bool = False,
     pivots: int = 0,
     block_rows: int = BLOCK_ROWS,
+    latest: int = 0,
+    query_place: Column | None = None,
+    entry_place: Column | None = None,
 ) -> DataFrame:
     """Best entry per query by dot product: ``(query id, match_id, score)``.
 
-    ``prefer`` breaks ties: ``first`` takes the lowest entry id, ``newest`` the
-    latest entry time and then the highest id. Queries without any candidate at
-    or above ``min_score`` do not appear. Times are seconds. Pivots need unit vectors.
+    Identifiers are of any type with an order. ``prefer`` breaks ties: ``first`` takes the
+    lowest entry id, ``newest`` the latest entry time and then the highest id. Scores tie when
+    they agree to nine digits; ``min_score`` is compared with the exact score. Queries
+    without any candidate at or above it do not appear. Times are seconds. Pivots need
+    unit vectors and change nothing but the layout (``root_pivots`` fits large tables).
+    With ``latest`` a query sees only entries whose ``entry_place`` is among the
+    ``latest`` last ones up to its own ``query_place``.
     """
     on, timed = on or [], query_time is not None
-    q = _prepare(queries, query_id, query_vector, on, query_time, {})
-    e = _prepare(entries, entry_id, entry_vector, on, entry_time, {})
-    q, e, cell = _cells(q, e, on, timed, ttl, pivots, min_score)
+    place = lambda c: {} if c is None else {"_p": c.cast("bigint")}
+    q = _prepare(queries, query_id, query_vector, on, query_time, place(query_place))
+    e = _prepare(entries, entry_id, entry_vector, on, entry_time, place(entry_place))
+    out = f"_id {q.schema['_id'].dataType.simpleString()}, _m {e.schema['_id'].dataType.simpleString()}, _s double, _mt double"
+    q, e, cell = _cells(q, e, on, timed, ttl, pivots, min_score, not exclude_self and not latest)
     newest = prefer == "newest"
 
-    def kernel(qt: pa.Table, et: pa.Table, scores: np.ndarray) -> pa.Table:
-        q_id, e_id, q_t, e_t = _column(qt, "_id"), _column(et, "_id"), _column(qt, "_t"), _column(et, "_t")
-        ok = _times_ok(q_t, e_t, q_id, e_id, timed, ttl, strict)
-        if ok is not None:
-            scores = np.where(ok, scores, -np.inf)
-        if exclude_self:
-            scores = np.where(q_id[:, None] == e_id[None, :], -np.inf, scores)
+    def kernel(qt: pa.Table, et: pa.Table, exact: np.ndarray) -> pa.Table:
+        q_t, e_t = _column(qt, "_t"), _column(et, "_t")
+        scores = np.round(exact, SCORE_DIGITS)
+        if timed:
+            scores = np.where(_times_ok(q_t, e_t, ttl), scores, -np.inf)
+        if latest:
+            scores = np.where(_column(qt, "_p")[:, None] - _column(et, "_p")[None, :] < latest, scores, -np.inf)
+        if exclude_self and scores.size:
+            mine = pc.index_in(qt["_id"], value_set=et["_id"].combine_chunks()).fill_null(-1).to_numpy()
+            scores[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -np.inf
         if min_score is not None:
-            scores = np.where(scores >= min_score, scores, -np.inf)
-        rank = np.lexsort((-e_id, -e_t)) if newest else np.argsort(e_id, kind="stable")
-        best = rank[scores[:, rank].argmax(axis=1)]
-        top = scores[np.arange(len(q_id)), best]
-        keep = top > -np.inf
-        return pa.table([q_id[keep], e_id[best[keep]], top[keep], e_t[best[keep]]], schema=MATCH)
-
-    found = _blocked(q, e, cell, kernel, MATCH, block_rows)
-    order = F.struct("_s", "_mt", "_m") if newest else F.struct("_s", (-F.col("_m")).alias("_k"))
-    best = found.groupBy("_id").agg(F.max_by(F.struct("_m", "_s"), order).alias("_b"))
-    return best.select(
+            scores = np.where(exact >= min_score, scores, -np.inf)
+        by = [("_t", "descending"), ("_id", "descending")] if newest else [("_id", "ascending")]
+        rank = pc.sort_indices(et, sort_keys=by).to_numpy()
+        if not scores.size:
+            best, top, keep = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        else:
+            best = rank[scores[:, rank].argmax(axis=1)]
+            top = scores[np.arange(len(best)), best]
+            keep = np.flatnonzero(top > -np.inf)
+        chosen = pa.array(best[keep])
+        return pa.table({"_id": qt["_id"].take(pa.array(keep)), "_m": et["_id"].take(chosen), "_s": top[keep], "_mt": e_t[best[keep]]})
+
+    found = _blocked(q, e, cell, kernel, out, block_rows)
+    pair = F.struct("_m", "_s")
+    best = F.max_by(pair, F.struct("_s", "_mt", "_m")) if newest else F.min_by(pair, F.struct(-F.col("_s"), F.col("_m")))
+    return found.groupBy("_id").agg(best.alias("_b")).select(
         F.col("_id").alias(query_id), F.col("_b._m").alias("match_id"), F.col("_b._s").alias("score")
     )
 
 
-def neighbour_flags(
-    queries: DataFrame,
-    entries: DataFrame,
-    ident: str,
-    vector: str,
-    on: list[str],
-    query_time: Column,
-    entry_time: Column,
-    settled: Column,
-    min_score: float,
-    ttl: float | None,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Per query: is a visible entry at or above ``min_score`` settled, or still open?
+class NearestCentroid:
+    """Most similar of a small set of named vectors; they travel with the closure, no row is moved.
 
-    Returns ``(id, near_settled, near_open)`` for queries with at least one such entry.
+    Refused above ``MAX_CLASSES`` vectors; use ``best_match`` for larger sets.
     """
-    q = _prepare(queries, ident, vector, on, query_time, {})
-    e = _prepare(entries, ident, vector, on, entry_time, {"_settled": settled})
-    q, e, cell = _cells(q, e, on, True, ttl, 0, min_score)
-
-    def kernel(qt: pa.Table, et: pa.Table, scores: np.ndarray) -> pa.Table:
-        q_id, e_id = _column(qt, "_id"), _column(et, "_id")
-        ok = _times_ok(_column(qt, "_t"), _column(et, "_t"), q_id, e_id, True, ttl, True)
-        near = (scores >= min_score) & ok & (q_id[:, None] != e_id[None, :])
-        done = et["_settled"].to_numpy()
-        settled_near, open_near = near[:, done].any(axis=1), near[:, ~done].any(axis=1)
-        keep = settled_near | open_near
-        return pa.table([q_id[keep], settled_near[keep], open_near[keep]], schema=FLAGS)
-
-    found = _blocked(q, e, cell, kernel, FLAGS, block_rows)
-    return found.groupBy("_id").agg(
-        F.bool_or("_a").alias("near_settled"), F.bool_or("_b").alias("near_open")
-    ).withColumnRenamed("_id", ident)
+
+    def __init__(self, named: DataFrame, label: str = "label", vector: str = "centroid"):
+        rows = named.select(label, vector).orderBy(label).take(MAX_CLASSES + 1)
+        if len(rows) > MAX_CLASSES:
+            raise ValueError(f"at most {MAX_CLASSES} vectors travel with a closure; use best_match instead")
+        self.labels, self.matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
+        self.kind = named.schema[label].dataType.simpleString()
+
+    def match(self, vector: Column) -> Column:
+        """``struct<label, similarity>``, the lowest label on ties; NULL for a NULL vector or without any centroid."""
+        labels, matrix = self.labels, self.matrix
+
+        @F.arrow_udf("struct<place:int,similarity:double>")
+        def nearest(v: pa.Array) -> pa.Array:
+            valid = ~np.asarray(v.is_null()) & bool(labels)
+            place, top = np.zeros(len(v), np.int32), np.zeros(len(v))
+            if valid.any():
+                scores = np.round(as_matrix(v.drop_null()) @ matrix.T, SCORE_DIGITS)
+                best = scores.argmax(axis=1)
+                place[valid], top[valid] = best, scores[np.arange(len(best)), best]
+            return pa.StructArray.from_arrays([pa.array(place), pa.array(top)], ["place", "similarity"], mask=pa.array(~valid))
+
+        found = nearest(vector)
+        names = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast(f"array<{self.kind}>")
+        return F.when(found.isNotNull(), F.struct(F.get(names, found["place"]).alias("label"), found["similarity"].alias("similarity")))
 
 
 def pair_similarity(pairs: DataFrame, vectors: DataFrame, left: str, right: str, ident: str, vector: str) -> DataFrame:

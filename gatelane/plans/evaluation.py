@@ -71,7 +71,7 @@ def build_routing_table(spark, results_path: str, pattern: str = "analysis.json"
     return ev.ranked_scores(accuracies, faithful=faithful), ev.default_model(accuracies, faithful=faithful)
 
 
-def accuracy_matrix(spark, results_path: str, categories: list[str], pattern: str = "analysis.json") -> DataFrame:
+def accuracy_matrix(spark, results_path: str, categories: list[str] | None = None, pattern: str = "analysis.json") -> DataFrame:
     """Model by category matrix with short display names, from stored analyses."""
     accuracies = readers.read_evaluations(spark, results_path, pattern)
     wide = ev.accuracy_matrix(accuracies, categories)

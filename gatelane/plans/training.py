@@ -37,7 +37,9 @@ def prepare_corpus(
     # Label counts are class-sized; written once, they give the rare filter and the index.
     counts = cut_lineage(df.groupBy(label).agg(F.count("*").alias("_n")), "label-counts")
     labels = corpus.label_index(counts.filter(F.col("_n") >= min_rows), label)
-    kept = df.join(labels, label)
+    # Null-safe: rows without a label form a class of their own, as in the split.
+    named = labels.withColumnRenamed(label, "_named")
+    kept = df.join(named, F.col(label).eqNullSafe(F.col("_named"))).drop("_named")
     return Corpus(corpus.split(kept, ident, label if stratify else None, ratios, names, seed), labels)
 
 

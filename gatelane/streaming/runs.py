@@ -14,11 +14,14 @@ STATE_CONF = "spark.sql.streaming.stateStore.providerClass"
 
 
 def table_stream(spark: SparkSession, path: str, name: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
-    """A stream over one parquet table of a folder, with the table's own schema."""
-    schema = spark.read.parquet(f"{path}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-    reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    """A stream over one parquet table, stored as a file or as a folder of files, with the table's own schema."""
+    table = f"{path}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(table).schema).option("maxFilesPerTrigger", files_per_trigger)
+    place = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(table)
+    # A stream reads folders; of the file's folder only the file itself is taken.
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(path)
 
 
 def append_to(df: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

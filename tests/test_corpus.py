@@ -172,3 +172,14 @@ def test_train_and_report(spark, tmp_path):
     assert training.predict(again, prepared.rows).count() == 80
     sinks.save_report(report, counts, named.agg(F.count("*").alias("n")), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 1
+
+
+def test_missing_labels_are_a_label(spark):
+    from gatelane.operators import corpus as C
+    from gatelane.plans.training import prepare_corpus
+
+    df = spark.range(43).select("id", F.when(F.col("id") < 20, "a").when(F.col("id") < 23, None).otherwise("b").alias("label"))
+    assert C.drop_rare(df, "label", 5).count() == 40
+    half = spark.range(40).select("id", F.when(F.col("id") % 2 == 0, "a").alias("label"))
+    done = prepare_corpus(half, "id", min_rows=5)
+    assert done.rows.count() == 40 and done.labels.count() == 2

@@ -90,17 +90,29 @@ def test_sampling(spark):
     one, eight = [sorted(r.id for r in ev.sample_per_group(df.repartition(n), "c", "id", 5).collect()) for n in (1, 8)]
     assert one == eight and len(one) == 13
     assert len(ev.sample_overall(df, "id", 50).collect()) == 50 and ev.sample_overall(df, "id", 5000).count() == 1000
-    plan_text = ev.sample_per_group(df, "c", "id", 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan_text.count("WindowGroupLimit") == 2
 
 
-def test_large_samples_are_the_same_rows(spark, monkeypatch):
-    df = spark.range(600).withColumn("c", F.when(F.col("id") < 500, "hot").otherwise("few"))
-    small = sorted(r.id for r in ev.sample_per_group(df, "c", "id", 120).collect())
-    overall = sorted(r.id for r in ev.sample_overall(df, "id", 77).collect())
-    monkeypatch.setattr(ev, "RANKED_SAMPLE", 10)
-    assert sorted(r.id for r in ev.sample_per_group(df, "c", "id", 120).collect()) == small and len(small) == 220
-    assert sorted(r.id for r in ev.sample_overall(df, "id", 77).collect()) == overall and len(overall) == 77
+@pytest.mark.parametrize("n", [10, 999, 1000, 1001, 2500])
+def test_samples_with_null_and_repeated_ids(spark, n):
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 700).alias("ident"), (F.col("id") % 5).alias("x"),
+        F.when(F.col("id") < 2800, "hot").alias("c"),
+    )
+    assert ev.sample_overall(df, "ident", n).count() == n
+    per = {r.c: r["count"] for r in ev.sample_per_group(df, "c", "ident", n).groupBy("c").count().collect()}
+    assert per == {"hot": min(n, 2800), None: min(n, 200)}
+    one, two = [sorted(map(tuple, ev.sample_overall(df.repartition(k), "ident", n).collect()), key=repr) for k in (1, 7)]
+    assert one == two
+
+
+def test_unlisted_and_missing_labels_stay(spark):
+    acc = spark.createDataFrame([("m", "x", 1.0), ("m", "y", 0.0), ("m", None, 0.5)], "display_name string, category string, accuracy double")
+    row = ev.accuracy_matrix(acc, ["x", "z"]).first().asDict()
+    assert row == {"display_name": "m", "null": 0.5, "x": 1.0, "y": 0.0, "z": 0.0, "Overall": 0.5}
+    pairs = spark.createDataFrame([("a", "a"), ("a", "z"), ("z", "b"), ("z", "z"), (None, "a"), ("a", None)], "t string, p string")
+    matrix = reports.confusion_matrix(reports.confusion(pairs, "t", "p"), ["a", "b"])
+    assert matrix.columns == ["truth", "a", "b", "z", "null"]
+    assert [tuple(r) for r in matrix.collect()] == [("a", 1, 0, 1, 1), ("b", 0, 0, 0, 0), ("z", 0, 1, 1, 0), (None, 1, 0, 0, 0)]
 
 
 def test_unknown_categories(spark):

@@ -46,30 +46,91 @@ def test_threshold_with_pivots_is_exact(spark):
     assert sorted(plain) == sorted(cells) and 0 < len(plain)
 
 
-def brute_replay(v, model, ts, threshold, ttl):
-    inserted, out = [], []
-    for i in np.lexsort((np.arange(len(v)), ts)):
-        live = [j for j in inserted if model[j] == model[i] and (not ttl or ts[i] - ts[j] < ttl)]
-        near = [(round(float(v[i] @ v[j]), 9), ts[j], j) for j in live]
+@pytest.mark.parametrize("pivots", [4, 30, 120])
+@pytest.mark.parametrize("names", [False, True])
+def test_pivots_without_the_query_itself(spark, pivots, names):
+    v = unit_rows(120, 8, 6)
+    df = table(spark, v)
+    if names:
+        df = df.withColumn("id", F.lpad(F.col("id").cast("string"), 5, "0"))
+    found = best_match(df, df, "id", "id", "v", "v", exclude_self=True, pivots=pivots, block_rows=16)
+    scores = np.round(v @ v.T, 9)
+    np.fill_diagonal(scores, -2)
+    assert {int(r.id): int(r.match_id) for r in found.collect()} == {i: int(s.argmax()) for i, s in enumerate(scores)}
+
+
+def test_threshold_is_compared_with_the_exact_score(spark):
+    q, e = table(spark, [[1.0, 0.0]]), table(spark, [[0.2999999996, 0.0]])
+    assert best_match(q, e, "id", "id", "v", "v", min_score=0.3).count() == 0
+
+
+def test_cells_shrink_with_the_table(spark):
+    """Rows that meet grow clearly slower than the square of the table when near ones are asked for."""
+    from gatelane.operators.similarity import _cells, _prepare, root_pivots
+
+    met = []
+    for n in (400, 1600):
+        df = table(spark, unit_rows(n, 4, 7))
+        rows = _prepare(df, "id", "v", [], None, {})
+        q, e, cell = _cells(rows, rows, [], False, None, root_pivots(df), 0.98, False)
+        asked, held = q.groupBy(*cell).agg(F.count("*").alias("a")), e.groupBy(*cell).agg(F.count("*").alias("b"))
+        met.append(asked.join(held, cell).agg(F.sum(F.col("a") * F.col("b"))).first()[0])
+    print("pairs that meet", met)
+    assert met[0] < 400**2 / 2 and met[1] / met[0] < 12
+
+
+def brute_lookup(requests, entries, threshold, latest):
+    order = sorted((t, i) for i, (_, _, t) in enumerate(entries))
+    out = []
+    for i, (v, model, now) in enumerate(requests):
+        seen = [j for t, j in order if t <= now][-latest:]
+        near = [(round(float(v @ entries[j][0]), 9), entries[j][2], j) for j in seen if entries[j][1] == model]
         near = [x for x in near if x[0] >= threshold]
-        if near:
-            out.append((int(i), False, max(near)[2]))
-        else:
-            inserted.append(i)
-            out.append((int(i), True, None))
-    return sorted(out, key=lambda r: r[0])
+        out.append(max(near)[2] if near else None)
+    return out
 
 
-@pytest.mark.parametrize("ttl", [0, 40])
-def test_replay_equals_one_by_one(spark, ttl):
+@pytest.mark.parametrize("latest", [1, 7, 500])
+def test_lookup_sees_the_latest_entries(spark, latest):
     v = unit_rows(160, 5, 5, 9)
-    v[40:120] = v[40]  # a group of copies holds half of the rows
     model = np.array(["a" if i % 3 else "b" for i in range(160)])
     ts = np.array([float(i // 2) for i in range(160)])
-    df = table(spark, v, model=model, ts=ts, resp=ts)
-    done = cache.replay(df, CacheOptions(0.9, 0, ttl), "id", "model", "v", "ts", "resp", block_rows=16).orderBy("id").collect()
-    got = [(r.id, r.inserted, None if pd.isna(r.match_id) else int(r.match_id)) for r in done]
-    assert got == brute_replay(v, model, ts, 0.9, ttl)
+    df = table(spark, v, model=model, ts=ts, resp=ts + 3)
+    done = cache.lookup(df, df, CacheOptions(0.9, latest, 0), "id", "id", "model", "v", "ts", "resp", block_rows=16).orderBy("id").collect()
+    want = brute_lookup([(v[i], model[i], ts[i]) for i in range(160)], [(v[i], model[i], ts[i] + 3) for i in range(160)], 0.9, latest)
+    assert [None if r.match_id is None else int(r.match_id) for r in done] == want
+
+
+@pytest.mark.parametrize("name", ["conversations", "events"])
+def test_streams_read_files_and_folders(spark, tmp_path, name):
+    source = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    source.repartition(5).write.parquet(str(tmp_path / "many" / f"{name}.parquet"))
+    source.coalesce(1).write.parquet(str(tmp_path / "many" / f"{name}_old.parquet"))
+    counts = []
+    for folder in ("/root/testdata/sf0.001", str(tmp_path / "many")):
+        read = runs.collect_append(runs.table_stream(spark, folder, name), "stream-test")
+        counts.append((read.count(), read.distinct().count()))
+    assert counts[0] == counts[1] == (source.count(), source.distinct().count())
+
+
+STREAMS = ["streaming_route", "streaming_counters", "streaming_category_totals", "streaming_token_rate", "streaming_reroute_rate",
+           "streaming_p95", "streaming_pairing", "streaming_cache", "streaming_load"]
+
+
+@pytest.fixture(scope="module")
+def folder_tables(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("folders")
+    for name in ("documents", "events", "embeddings", "conversations"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3).write.parquet(f"{root}/{name}.parquet")
+    return str(root)
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_streaming_queries_on_folder_tables(spark, folder_tables, name):
+    from gatelane.catalog import all_queries
+
+    rows = [sorted(map(tuple, all_queries()[name](spark, d).collect()), key=repr) for d in ("/root/testdata/sf0.001", folder_tables)]
+    assert rows[0] and rows[0] == rows[1]
 
 
 def test_lookup_rules(spark):
