@@ -152,7 +152,7 @@ def inflight_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open requests per model after every event, never below zero."""
     rows = events(spark, sf_dir).select("event_id", "ts", F.concat(F.lit("model-"), F.col("user_id") % 3).alias("model"), "event_type")
     delta = F.when(F.col("event_type").isin("purchase", "signup"), 1).otherwise(-1)
-    scanned = load_scan(rows, "model", ["ts", "event_id"], delta, F.date_trunc("day", "ts"))
+    scanned = load_scan(rows, "model", ["ts", "event_id"], delta, F.date_trunc("day", "ts"), F.date_trunc("minute", "ts"))
     return scanned.select("event_id", "model", "load")
 
 

@@ -226,12 +226,12 @@ def streaming_unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # A row waits a minute for its answer; the watermark is a minute behind the slower of both sides.
 SQL["streaming_unanswered"] = f"""
-WITH t AS (SELECT *, {CREATED} + conv_id * 60 + turn AS at FROM conversations),
+WITH t AS (SELECT *, {CREATED} + conv_id * 60 + turn AS sec FROM conversations),
 q AS (SELECT * FROM t WHERE role = 'user'), r AS (SELECT * FROM t WHERE role = 'assistant' AND conv_id % 4 <> 0),
-mark AS (SELECT least((SELECT max(at) FROM q), (SELECT max(at) FROM r)) - 60 AS mark)
+mark AS (SELECT least((SELECT max(sec) FROM q), (SELECT max(sec) FROM r)) - 60 AS mark)
 SELECT q.conv_id, q.turn, r.conv_id IS NULL AS no_response
 FROM q CROSS JOIN mark LEFT JOIN r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1
-WHERE r.conv_id IS NOT NULL OR q.at + 60 < mark.mark"""
+WHERE r.conv_id IS NOT NULL OR q.sec + 60 < mark.mark"""
 
 
 @query

@@ -109,7 +109,7 @@ def fill(
     )
     events = side(pending, pending_id, pending_ts, 1).unionByName(side(responses, response_id, response_ts, -1))
     bucket = F.floor(seconds(events, "_ts") / bucket_seconds)
-    scanned = running_totals(events, ["_q"], ["_ts", F.desc("_step"), "_id"], F.col("_step"), bucket)
+    scanned = running_totals(events, ["_q"], ["_ts", F.desc("_step"), "_id"], F.col("_step"), bucket, F.floor(seconds(events, "_ts")))
     opens = F.col("_step") > 0
     low = F.least(F.lit(0), F.coalesce("running_min_before", F.lit(0)))
     is_lost = ~opens & (F.col("running") < low)

@@ -17,20 +17,38 @@ from pyspark.sql import functions as F
 from ..functions.texts import seeded_key
 
 
-def running_totals(df: DataFrame, keys: list[str], order: list[Column | str], value: Column, bucket: Column) -> DataFrame:
+CELL_ROWS = 20_000  # rows of one key and bucket from which the finer bucket is used
+
+
+def _sized(df: DataFrame, keys: list[str], bucket: Column, fine: Column, cell_rows: int) -> DataFrame:
+    """``_bucket``: the bucket, and within those that hold more than ``cell_rows`` rows of a key the finer one."""
+    coarse = df.withColumn("_coarse", bucket)
+    cell = [*keys, "_coarse"]
+    large = coarse.groupBy(*cell).agg(F.count("*").alias("_size")).filter(F.col("_size") > cell_rows)
+    large = large.select(*[F.col(c).alias(f"_large_{i}") for i, c in enumerate(cell)], F.lit(True).alias("_large"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_large_{i}")) for i, c in enumerate(cell)])
+    split = F.struct(F.col("_coarse").alias("coarse"), F.when(F.col("_large"), fine).alias("fine"))
+    return coarse.join(large, same, "left").withColumn("_bucket", split).drop("_coarse", "_large", *[f"_large_{i}" for i in range(len(cell))])
+
+
+def running_totals(
+    df: DataFrame, keys: list[str], order: list[Column | str], value: Column, bucket: Column,
+    fine: Column | None = None, cell_rows: int = CELL_ROWS,
+) -> DataFrame:
     """Prefix scan of ``value`` per key.
 
     Adds ``position`` (1-based row number), ``running`` (inclusive prefix sum),
     ``running_min`` (minimum of the prefix sums so far) and ``running_min_before``
     (the same without the current row, NULL on the first). ``bucket`` must not
-    decrease along ``order``.
+    decrease along ``order``; nor may ``fine`` within a bucket, which takes its place
+    where one key has more than ``cell_rows`` rows in one bucket.
     """
     cell = [*keys, "_bucket"]
     ordered = Window.partitionBy(*cell).orderBy(*order)
     inside = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     local = (
-        df.withColumn("_bucket", bucket)
+        (df.withColumn("_bucket", bucket) if fine is None else _sized(df, keys, bucket, fine, cell_rows))
         .withColumn("_value", value)
         .withColumn("_row", F.row_number().over(ordered))
         .withColumn("_sum", F.sum("_value").over(inside))

@@ -112,12 +112,13 @@ def best_allowed(candidates: Column, detected: Column) -> Column:
     return F.coalesce(F.get(able, F.lit(0))["model"], F.get(listed, F.lit(0))["model"])
 
 
-def inflight_load(events: DataFrame, model: str, order: list, delta: Column, bucket: Column) -> DataFrame:
+def inflight_load(events: DataFrame, model: str, order: list, delta: Column, bucket: Column, fine: Column | None = None) -> DataFrame:
     """Add ``load``: the running count of open requests per model, never below zero.
 
     A decrement at zero has no effect, so the count is the running sum lifted by
-    the deepest point it would have reached below zero.
+    the deepest point it would have reached below zero. ``fine`` cuts buckets that
+    hold very many events of one model.
     """
-    scanned = running_totals(events, [model], order, delta, bucket)
+    scanned = running_totals(events, [model], order, delta, bucket, fine)
     load = F.col("running") - F.least(F.lit(0), F.col("running_min"))
     return scanned.withColumn("load", load.cast("int")).drop("position", "running", "running_min", "running_min_before")

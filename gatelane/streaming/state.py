@@ -21,6 +21,8 @@ ENTRY = "request_id string, query string, vector array<double>, body string, ts
 CACHE_OUT = "replica string, model string, request_id string, ts double, hit boolean, match_id string, score double, body string"
 LOAD_OUT = "replica string, model string, event_id bigint, load int"
 SCORE_DIGITS = 9
+OUT_ROWS = 10_000  # answers handed on at once
+OUT_COLUMNS = ["replica", "model", "request_id", "ts", "hit", "match_id", "score", "body"]
 
 
 def in_order(rows: Iterator[pd.DataFrame], by: list[str]):
@@ -32,6 +34,69 @@ def in_order(rows: Iterator[pd.DataFrame], by: list[str]):
     return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable").itertuples(index=False)
 
 
+class Memory:
+    """Entries of one key with their vectors in one matrix that grows by doubling."""
+
+    def __init__(self, entries: list[tuple]):
+        self.rows: list[tuple] = list(entries)
+        self.matrix = np.array([e[2] for e in self.rows], dtype=np.float64) if self.rows else None
+        self.ready = np.array([e[3] is not None for e in self.rows], bool)
+        self.times = np.array([e[4] for e in self.rows], np.float64)
+        self.waiting = {e[0]: i for i, e in reversed(list(enumerate(self.rows))) if e[3] is None}
+
+    def best(self, vector: np.ndarray, since: float, threshold: float):
+        """The answered entry nearest to ``vector`` among those younger than ``since``; the newest on ties."""
+        n = len(self.rows)
+        if not n:
+            return None
+        scores = np.round(self.matrix[:n] @ vector, SCORE_DIGITS)
+        scores[~(self.ready[:n] & (self.times[:n] > since))] = -np.inf
+        top = scores.max()
+        if top == -np.inf or top < threshold:
+            return None
+        found = max(np.flatnonzero(scores == top).tolist(), key=lambda i: (self.times[i], self.rows[i][0]))
+        return self.rows[found], float(top)
+
+    def add(self, entry: tuple) -> None:
+        n = len(self.rows)
+        if self.matrix is None:
+            self.matrix = np.zeros((16, len(entry[2])))
+        if n >= len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        if n >= len(self.ready):
+            more = max(16, n)
+            self.ready = np.concatenate([self.ready, np.zeros(more, bool)])
+            self.times = np.concatenate([self.times, np.zeros(more)])
+        self.matrix[n], self.ready[n], self.times[n] = entry[2], entry[3] is not None, entry[4]
+        self.rows.append(entry)
+        if entry[3] is None:
+            self.waiting.setdefault(entry[0], n)
+
+    def answer(self, request_id: str, body: str, ts: float) -> None:
+        place = self.waiting.pop(request_id, None)
+        if place is not None and self.times[place] > -np.inf:
+            e = self.rows[place]
+            self.rows[place] = (e[0], e[1], e[2], body, ts)
+            self.ready[place], self.times[place] = True, ts
+
+    def keep(self, since: float, most: int) -> None:
+        """Forget entries not younger than ``since``, then all but the ``most`` newest (0: all stay).
+
+        Forgotten ones get a time before all others; their rows go once they are the half.
+        """
+        times = self.times[: len(self.rows)]
+        old = np.flatnonzero((times <= since) & (times > -np.inf))
+        times[old] = -np.inf
+        alive = np.flatnonzero(times > -np.inf)
+        if 0 < most < len(alive):
+            times[alive[np.argsort(times[alive], kind="stable")[:-most]]] = -np.inf
+        if 2 * np.count_nonzero(times > -np.inf) < len(self.rows):
+            self.__init__(self.alive())
+
+    def alive(self) -> list[tuple]:
+        return [e for e, t in zip(self.rows, self.times) if t > -np.inf]
+
+
 class CacheProcessor(StatefulProcessor):
     """Look up, then insert a pending entry on a miss; fill it when its response comes.
 
@@ -48,41 +113,29 @@ class CacheProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.entries = handle.getListState("entries", ENTRY)
 
-    def _alive(self, entries: list[tuple], now: float) -> list[tuple]:
-        ttl = self.options.ttl_seconds
-        return entries if ttl <= 0 else [e for e in entries if now - e[4] < ttl]
-
-    def _find(self, entries: list[tuple], vector, now: float):
-        ready = [e for e in (self._alive(entries, now) if self.expire == "on_read" else entries) if e[3] is not None]
-        if not ready:
-            return None
-        scores = np.round(np.array([e[2] for e in ready]) @ np.asarray(vector, dtype=np.float64), SCORE_DIGITS)
-        best = max(range(len(ready)), key=lambda i: (scores[i], ready[i][4], ready[i][0]))
-        return (ready[best], float(scores[best])) if scores[best] >= self.options.threshold else None
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         replica, model = key
-        entries = list(self.entries.get())
-        out = []
+        memory, out, ttl = Memory(list(self.entries.get())), [], self.options.ttl_seconds
         for row in in_order(rows, ["ts", "kind", "request_id"]):
             if row.kind == "response":
-                for i, e in enumerate(entries):
-                    if e[0] == row.request_id and e[3] is None:
-                        entries[i] = (e[0], e[1], e[2], row.body, float(row.ts))
-                        break
+                memory.answer(row.request_id, row.body, float(row.ts))
                 continue
             asks = self.options.enabled and row.query
-            found = self._find(entries, row.vector, row.ts) if asks else None
+            since = row.ts - ttl if ttl > 0 else -np.inf
+            vector = np.asarray(row.vector, dtype=np.float64) if asks else None
+            found = memory.best(vector, since if self.expire == "on_read" else -np.inf, self.options.threshold) if asks else None
             if asks and found is None:
-                entries = self._alive(entries, row.ts)
-                entries.append((row.request_id, row.query, [float(x) for x in row.vector], None, float(row.ts)))
-                if 0 < self.options.max_entries < len(entries):
-                    entries = sorted(entries, key=lambda e: e[4])[-self.options.max_entries:]
+                memory.keep(since, 0)
+                memory.add((row.request_id, row.query, [float(x) for x in row.vector], None, float(row.ts)))
+                memory.keep(-np.inf, self.options.max_entries)
             entry, score = found or ((None,) * 5, None)
             out.append((replica, model, row.request_id, float(row.ts), found is not None, entry[0], score, entry[3]))
+            if len(out) >= OUT_ROWS:
+                yield pd.DataFrame(out, columns=OUT_COLUMNS)
+                out = []
         if out:
-            yield pd.DataFrame(out, columns=["replica", "model", "request_id", "ts", "hit", "match_id", "score", "body"])
-        self.entries.put(entries)
+            yield pd.DataFrame(out, columns=OUT_COLUMNS)
+        self.entries.put(memory.alive())
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Preload complete entries."""

@@ -263,3 +263,17 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert runs.late_rows(query) == 1
     done = {r.pane: r.value for r in runs.latest(spark, out, ["pane", "k"]).collect()}
     assert done == {1000: 1.0, 100_000: 2.0}
+
+
+def test_a_hot_bucket_is_cut_finer(spark):
+    """All rows of one key in one bucket: the same sums, and no cell near the whole."""
+    from gatelane.operators.prefix import _sized
+
+    df = spark.range(3000).select("id", F.lit("k").alias("k"), (F.col("id") % 7 - 3).alias("v"), (F.col("id") / 10).alias("t"))
+    coarse, fine = F.floor(F.col("t") / 3600), F.floor("t")
+    plain = running_totals(df, ["k"], ["t", "id"], F.col("v"), coarse)
+    cut = running_totals(df, ["k"], ["t", "id"], F.col("v"), coarse, fine, cell_rows=100)
+    columns = ["id", "position", "running", "running_min", "running_min_before"]
+    assert sorted(map(tuple, plain.select(columns).collect())) == sorted(map(tuple, cut.select(columns).collect()))
+    largest = _sized(df, ["k"], coarse, fine, 100).groupBy("k", "_bucket").count().agg(F.max("count")).first()[0]
+    assert largest <= 10
