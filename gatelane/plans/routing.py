@@ -21,13 +21,10 @@ OUTCOMES = ("invalid", "jailbreak_blocked", "cache_hit", "routed", "passed", "pi
 
 def parse_requests(raw: DataFrame, body: str = "body") -> DataFrame:
     """Add ``ok``, ``model``, ``messages`` and the content columns used further on."""
-    parsed = raw.withColumn("_request", chat.parse_request(F.col(body)))
-    split = parsed.select(
-        *raw.columns,
-        F.col("_request.ok").alias("ok"),
-        F.col("_request.model").alias("model"),
-        F.coalesce("_request.messages", F.array().cast("array<struct<role:string,content:string>>")).alias("messages"),
-    )
+    # A generator of one row: nothing above it is computed below it, so a filter on the outcome
+    # does not repeat the parse.
+    parsed = raw.select(*raw.columns, F.inline(F.array(chat.parse_request(F.col(body)))))
+    split = parsed.withColumn("messages", F.coalesce("messages", F.array().cast("array<struct<role:string,content:string>>")))
     return with_contents(split)
 
 
