@@ -241,3 +241,30 @@ def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["metrics_sink"] = f"""WITH s AS ({METER_SQL["gateway_counter_snapshot"]})
 SELECT name, coalesce(label_1, '') || coalesce('>' || label_2, '') AS label_values, value FROM s WHERE name NOT LIKE '%\\_bucket' ESCAPE '\\'"""
 
+
+
+@query
+def question_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both question sets written as files and read back with their fixed schemas: options, labels and answers."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.split("text", " ").alias("w"))
+    ten, four = scratch_path(spark, "questions"), scratch_path(spark, "choices")
+    items.select(
+        F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.slice("w", 1, 10).alias("options"),
+        F.lit("A").alias("answer"), F.concat(F.lit("c"), F.col("item_id") % 5).alias("category"), F.lit(1).alias("unread"),
+    ).write.parquet(ten)
+    items.select(
+        F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"),
+        F.struct(F.array(*[F.lit(x) for x in "ABCD"]).alias("label"), F.slice("w", 1, 4).alias("text")).alias("choices"), F.lit("B").alias("answerKey"),
+    ).write.json(four)
+    left = readers.read_mmlu_questions(spark, ten)
+    right = readers.read_arc_questions(spark, four, "json").select(
+        F.col("id").cast("bigint").alias("question_id"), F.array_join("choices.label", "").alias("labels"), F.array_join("choices.text", " ").alias("choices"), "answerKey"
+    )
+    return left.join(right, "question_id").select(
+        "question_id", "category", "answer", F.array_join("options", " ").alias("options"), "labels", "choices", F.col("answerKey").alias("key")
+    )
+
+
+SQL["question_files"] = """
+SELECT item_id AS question_id, 'c' || (item_id % 5) AS category, 'A' AS answer, array_to_string(string_split(text, ' ')[1:10], ' ') AS options,
+  'ABCD' AS labels, array_to_string(string_split(text, ' ')[1:4], ' ') AS choices, 'B' AS key FROM benchmark"""

@@ -77,3 +77,30 @@ def dual_task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = training.train_dual(parts.filter("split = 'train'"), "doc_id", "text", "category", "pii_labels", 1 << 10, 8)
     scores = training.dual_scores(model, parts.filter("split = 'validation'"), "doc_id", "text", "category", "pii_labels", (1.0, 0.5))
     return scores.select(*[F.round(c, 6).alias(c) for c in scores.columns])
+
+
+@query
+def train_history_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every training history: iterations in a row from the first, and a loss that never rises."""
+    history = train_vector_history(spark, sf_dir)
+    pairs = history.agg(F.array_sort(F.collect_list(F.struct("iteration", "loss"))).alias("h"))  # one entry per iteration
+    steps = F.sequence(F.lit(1), F.size("h") - 1)
+    follows = F.forall(steps, lambda i: F.get("h", i)["iteration"] == F.get("h", i - 1)["iteration"] + 1)
+    falls = F.forall(steps, lambda i: F.get("h", i)["loss"] <= F.get("h", i - 1)["loss"])
+    return pairs.select(follows.alias("in_a_row"), falls.alias("never_rises"), (F.size("h") > 1).alias("several"))
+
+
+SQL["train_history_facts"] = "SELECT true AS in_a_row, true AS never_rises, true AS several FROM (SELECT count(*) FROM embeddings)"
+
+
+@query
+def train_language_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support of every language in the report on held-out parts: the labels and their numbers are exact."""
+    report = train_language_report(spark, sf_dir)
+    return report.filter(~F.col("label").isin("accuracy", "macro avg", "weighted avg")).select("split", "label", F.col("support").cast("bigint").alias("support"))
+
+
+SQL["train_language_support"] = """
+WITH p AS (SELECT lang AS label, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id) || ':' || doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+s AS (SELECT label, CASE WHEN r * 100 <= 70 * n THEN 'train' WHEN r * 100 <= 85 * n THEN 'validation' ELSE 'test' END AS split FROM p)
+SELECT split, label, count(*) AS support FROM s WHERE split <> 'train' GROUP BY ALL"""
