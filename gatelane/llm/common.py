@@ -37,6 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, f"llm-{name}")
 
 
+def numbered(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns named by position, and the new names of ``columns``: helper columns cannot clash with them."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), [names[df.columns.index(c)] for c in columns]
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

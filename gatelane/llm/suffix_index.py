@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import suffix_core as core
-from .common import discard, written
+from .common import discard, numbered, written
 
 SPAN = core.SPAN
 BAND = 16
@@ -163,7 +163,10 @@ def _bands(rows: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
-    """``d1, d2, begin, end``: stretches of each document made of ``SPAN``-byte strings that also start elsewhere. May overlap."""
+    """``d1, d2, begin, end``: stretches of each document made of ``SPAN``-byte strings that also start elsewhere, as a written table.
+
+    Stretches may overlap. Intermediate tables are deleted once what reads them is written.
+    """
     keyed = _keyed(docs, ident, text)
     suffixes = written(anchors(keyed.filter(F.octet_length("body") >= SPAN)), "suffixes")
     indexed = suffixes.filter("key IS NOT NULL")
@@ -200,18 +203,22 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", batches:
         ),
         "windows",
     )
+    discard(bands, shared, several)
     twice = written(windows.groupBy("band", "edge").agg(F.count("*").alias("m")).filter("m > 1").select("band", "edge"), "twice")
     single = windows.filter("NOT known").join(twice, ["band", "edge"]).select("d1", "d2", "begin", (F.col("begin") + SPAN).alias("end"))
-    return whole.unionByName(single).unionByName(inside)
+    found = written(whole.unionByName(single).unionByName(inside).distinct(), "found")
+    discard(candidates, classes, windows, twice, inside)
+    return found
 
 
 def _with_parts(docs: DataFrame, ident: str, text: str, batches: int) -> DataFrame:
     """``docs`` with ``_parts``, the sorted list of repeated stretches of each (null: none)."""
-    found = repeats(docs, ident, text, batches).distinct()
+    found = repeats(docs, ident, text, batches)
     # At most the stretches of one document in a list; a table of its own, so that the join can split hot keys.
     per_doc = written(
         found.groupBy("d1", "d2").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("_parts")), "parts"
     ).withColumnsRenamed({"d1": "_d1", "d2": "_d2"})
+    discard(found)
     one, two = _names(ident, text)
     return docs.withColumns({"_one": one, "_two": two}).join(
         per_doc, (F.col("_one") == F.col("_d1")) & (F.col("_two") == F.col("_d2")), "left"
@@ -269,8 +276,9 @@ def cut_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", length
     A character of which only some bytes were cut goes whole. Texts without repeats,
     null ones included, stay as they are.
     """
-    names, schema = docs.columns, docs.schema
-    at, number = names.index(text), names.index(length) if length in names else None
+    inner, (own_ident, own_text) = numbered(docs, ident, text)
+    names, schema = inner.columns, inner.schema
+    at, number = names.index(own_text), docs.columns.index(length) if length in docs.columns else None
 
     def cut(batches):
         for batch in batches:
@@ -286,4 +294,4 @@ def cut_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", length
                 columns[number] = pa.array(counts, columns[number].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _with_parts(docs, ident, text, batches).select(*names, "_parts").mapInArrow(cut, schema)
+    return _with_parts(inner, own_ident, own_text, batches).select(*names, "_parts").mapInArrow(cut, schema).toDF(*docs.columns)
