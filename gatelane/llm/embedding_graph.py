@@ -234,7 +234,7 @@ def near_duplicates(
     Null vectors, zero vectors and those with a null or non-finite component link with nothing.
     Shorter vectors are padded with zeros. Equal vectors link with each other and share
     what they link with; they are compared once. A row without identifier links with nothing.
-    Rows that repeat an identifier and its vector are vectors of their own with the same answer.
+    Rows that repeat an identifier are vectors of their own, with the same vector or another.
     """
     kind = vectors.schema[vector].dataType.simpleString()
     # -0.0 and 0.0 are one value; equal arrays are then equal groups.
@@ -242,8 +242,9 @@ def near_duplicates(
     usable = rows.filter(F.col("vec_id").isNotNull() & _valid("vector")).withColumn(
         "vector", F.transform("vector", lambda x: F.when(x == 0, F.lit(0)).otherwise(x)).cast(kind)
     )
-    points = written(usable.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "points")
-    # Two different vectors may carry one identifier; nodes need names of their own.
+    # A node is named by the hash of its vector: two different vectors may carry one identifier.
+    groups = usable.groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    points = written(groups.withColumn("id", F.xxhash64("vector")), "points")
     width = points.agg(F.max(F.size("vector"))).first()[0]
     if width is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -254,13 +255,14 @@ def near_duplicates(
             break
         beam, overlap = 2 * beam, overlap + 2
     placed = components(edges)
-    facts = (
-        points.select("vector", "id", "copies")
-        .join(counts, "id", "left")
+    named = (
+        points.join(counts, "id", "left")
         .join(placed.withColumnRenamed("node", "id"), "id", "left")
-        .select("vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        .select("vector", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     )
-    facts = written(facts, "facts")
+    named = written(named, "named")
+    lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    facts = written(named.join(lowest, "component").select("vector", "n_links", "component_id"), "facts")
     keyed = rows.withColumn("same", F.when(F.col("vec_id").isNotNull() & _valid("vector"), F.transform("vector", lambda x: F.when(x == 0, F.lit(0)).otherwise(x)).cast(kind)))
     joined = keyed.join(facts.withColumnRenamed("vector", "_vector"), F.col("same") == F.col("_vector"), "left")
     component = F.coalesce("component_id", "vec_id")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.texts import seeded_key
 from ..operators.prefix import running_totals
 from ..session import dimension
-from .common import blank, written
+from .common import blank, numbered, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -191,13 +191,13 @@ def take(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: s
     Rows that agree in identifier, source and text are one document whose words are summed:
     all or none of them are taken, equally often. Texts without a word are never taken.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("_unit", F.xxhash64(ident, source, text))
+    inner, (ident, source, text) = numbered(docs, ident, source, text)
+    keyed = inner.withColumn("_unit", F.xxhash64(ident, source, text))
     units = keyed.select("_unit", source, word_count(text).alias("_words")).groupBy("_unit", source).agg(F.sum("_words").alias("_words"))
     done = mix_by_source(units, "_unit", source, F.col("_words"), seed)
     times = done.filter("taken > 0").select(
-        F.col("doc_id").alias("_unit"), F.get_json_object("pattern", "$[0]").alias("_source"), F.expr("int(taken div size)").alias("_times")
+        F.col("doc_id").alias("_of"), F.get_json_object("pattern", "$[0]").alias("_source"), F.expr("int(taken div size)").alias("_times")
     )
-    same = (keyed["_unit"] == times["_unit"]) & keyed[source].eqNullSafe(times["_source"])
+    same = (F.col("_unit") == F.col("_of")) & F.col(source).eqNullSafe(F.col("_source"))
     copies = keyed.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return copies.select(*[keyed[c] for c in columns])
+    return copies.select(*inner.columns).toDF(*docs.columns)

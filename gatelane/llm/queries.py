@@ -50,7 +50,10 @@ def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.likelihood_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = quality.likelihood_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio"
+    )
 
 
 def op9_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:

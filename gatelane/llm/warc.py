@@ -314,7 +314,7 @@ def archive_and_read(pages: DataFrame, ident: str = "page_id", url: str = "url",
     ``page_id, payload_bytes, payload_digest, record_type, refers_to`` per record; size and
     digest are measured on the payload that was read, a revisit's on its response's.
     """
-    spark = pages.sparkSession
+    spark, pages = pages.sparkSession, pages.select(ident, url, html)
     archive, catalogue = scratch_path(spark, "llm-warc"), scratch_path(spark, "llm-cdx")
     captures = write_archives(with_refers_to(pages, ident, html), archive, ident, url, html)
     index = build_index(captures, catalogue)

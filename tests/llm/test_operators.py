@@ -14,7 +14,7 @@ from gatelane.llm.common import prepare
 from gatelane.llm.queries import RULES
 from tests.llm import brute
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, n long, _one string, value int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, n long, _one string, _unit int"
 
 
 @pytest.fixture(scope="module")
@@ -267,6 +267,12 @@ def test_vectors(sp):
     assert rows_of(embedding_graph.near_duplicates(df.filter("vec_id = 3000")), "vec_id", "n_links", "component_id") == [(3000, 0, 3000)]
 
 
+def test_two_vectors_with_one_identifier(sp):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.05, 1.0]), (4, [-1.0, 0.0])]
+    got = embedding_graph.near_duplicates(sp.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert rows_of(got, "vec_id", "n_links", "component_id") == [(1, 0, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
 def test_vectors_in_many_cells_and_pieces(sp, monkeypatch):
     monkeypatch.setattr(embedding_graph, "CELL", 40)
     monkeypatch.setattr(embedding_graph, "PIECE", 60)
