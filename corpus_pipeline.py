@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelane.llm import bpe, mixture, simhash, suffix_index, toxicity
-from gatelane.llm.common import prepare, table, written
+from gatelane.llm.common import numbered, prepare, table, written
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +26,14 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without identifier come last in that order. Of rows equal in identifier and text one stays.
     """
     prepare(spark)
-    unit = F.xxhash64("doc_id", "text")
-    who = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("ident"), unit.alias("unit"))
-    placed = simhash.near_duplicates(docs.select(who.alias("who"), "text"), "who")
+    inner, (ident, text) = numbered(docs, "doc_id", "text")
+    unit = F.xxhash64(ident, text)
+    who = F.struct(F.col(ident).isNull().alias("nameless"), F.col(ident).alias("ident"), unit.alias("unit"))
+    placed = simhash.near_duplicates(inner.select(who.alias("who"), F.col(text).alias("text")), "who")
     kept = placed.filter("doc_id = component_id").select(F.col("doc_id.unit").alias("_unit")).distinct()
-    rows = docs.withColumn("_unit", unit).dropDuplicates(["_unit"])
+    rows = inner.withColumn("_unit", unit).dropDuplicates(["_unit"])
     # Both sides grow with the documents: one plan at every size.
-    return rows.join(kept.hint("merge"), "_unit", "left_semi").select(docs.columns)
+    return rows.join(kept.hint("merge"), "_unit", "left_semi").select(inner.columns).toDF(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
