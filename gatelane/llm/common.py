@@ -59,7 +59,7 @@ def store_of(root: str):
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing unfinished reads any more."""
     for df in tables:
-        files = df.inputFiles()
+        files, spark = df.inputFiles(), df.sparkSession
         if files:
-            store, path = store_of(files[0].rsplit("/", 1)[0])
-            store.delete_dir(path)
+            folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(files[0].rsplit("/", 1)[0]))
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

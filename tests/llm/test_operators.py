@@ -389,3 +389,15 @@ def test_index_family_levels(sp):
         family.add(batch)
     assert sorted(family.levels) == [0, 2]
     assert sorted(r.key for r in family.repeated().collect()) == [1, 2, 3, 5]
+
+
+def test_discarded_tables_are_gone(sp):
+    import os
+
+    from gatelane.llm.common import discard, written
+
+    df = written(sp.range(5), "gone")
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.isdir(folder)
+    discard(df)
+    assert not os.path.exists(folder)
