@@ -15,7 +15,7 @@ from ..session import spread
 from ..settings import CacheOptions, models_table
 from .common import (
     SQL_CATEGORY_LABELS, SQL_HEAD, SQL_MODEL, SQL_POLICY, SQL_SCORES, centroid_head, conversation_requests,
-    document_requests, fixture_config, request_body, requested_model, sql_list, sql_text, table,
+    document_requests, fixture_config, request_body, requested_model, sql_text, table,
 )
 
 CREATED = 1_700_000_000
