@@ -29,10 +29,19 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return runs.table_stream(configure(spark), sf_dir, name)
 
 
+def in_time(spark: SparkSession, sf_dir: str, name: str, *order: str | Column, rows_per_file: int | None = None) -> DataFrame:
+    """The whole table as a stream in time order: no row comes behind a watermark, and keyed state sees rows as they happened."""
+    return runs.ordered_stream(table(configure(spark), sf_dir, name), *order, rows_per_file=rows_per_file)
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream(spark, sf_dir, "events")
 
 
+def _events_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_time(spark, sf_dir, "events", "ts", "event_id")
+
+
 @query
 def streaming_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship plan on a stream of request bodies: same functions, stream-static joins."""
@@ -79,7 +88,7 @@ SQL["streaming_category_totals"] = "SELECT source AS category, count(*) AS n FRO
 @query
 def streaming_token_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token rate over sliding five-minute windows from streamed one-minute panes."""
-    panes = SM.pane_sums(_event_stream(spark, sf_dir), "ts", ["event_type"], F.col("value"), 60, "1 hour")
+    panes = SM.pane_sums(_events_in_time(spark, sf_dir), "ts", ["event_type"], F.col("value"), 60, "1 hour")
     done = runs.collect_updates(panes, ["pane", "event_type"], "streaming-token-rate")
     rate = M.pane_rate(done, "pane", ["event_type"], "value", 300, 60)
     return rate.select("window_start", "event_type", F.round("rate", 6).alias("rate"))
@@ -91,7 +100,7 @@ SQL["streaming_token_rate"] = METER_SQL["token_rate_5m"]
 @query
 def streaming_reroute_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reroute rate over sliding windows from streamed panes."""
-    ev = _event_stream(spark, sf_dir)
+    ev = _events_in_time(spark, sf_dir)
     target = F.when(F.col("user_id") % 2 == 0, F.col("event_type")).otherwise("view")
     changed = ev.withColumn("target", target).filter(F.col("event_type") != F.col("target"))
     panes = SM.pane_sums(changed, "ts", ["event_type", "target"], F.lit(1), 60, "1 hour")
@@ -106,7 +115,7 @@ SQL["streaming_reroute_rate"] = METER_SQL["reroute_rate_5m"]
 @query
 def streaming_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     """95th percentile per model and day from streamed bucket panes."""
-    panes = SM.pane_buckets(_event_stream(spark, sf_dir), "ts", ["event_type"], F.col("value") / 60, 3600, "1 day")
+    panes = SM.pane_buckets(_events_in_time(spark, sf_dir), "ts", ["event_type"], F.col("value") / 60, 3600, "1 day")
     done = runs.collect_updates(panes, ["pane", "event_type", "bucket"], "streaming-p95")
     day = F.to_date(F.timestamp_seconds("pane")).cast("string")
     per_day = done.groupBy("event_type", day.alias("day"), F.col("bucket").alias("le_idx")).agg(F.sum("n").alias("n"))
@@ -119,15 +128,23 @@ def streaming_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["streaming_p95"] = METER_SQL["latency_p95"]
 
 
+def _turn_time() -> Column:
+    return F.timestamp_seconds(F.lit(CREATED) + F.col("conv_id") * 60 + F.col("turn"))
+
+
+def _turns_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_time(spark, sf_dir, "conversations", _turn_time(), "conv_id", "turn")
+
+
 @query
 def streaming_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answered requests of a stream: a user turn and the assistant turn right after it."""
-    turns = stream(spark, sf_dir, "conversations")
-    at = F.timestamp_seconds(F.lit(CREATED) + F.col("conv_id") * 60 + F.col("turn"))
+    turns = _turns_in_time(spark, sf_dir)
+    at = _turn_time()
     requests = turns.filter("role = 'user'").select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"), "conv_id", "turn", at.alias("request_ts")
     )
-    responses = stream(spark, sf_dir, "conversations").filter("role = 'assistant'").select(
+    responses = turns.filter("role = 'assistant'").select(
         F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("request_id"), at.alias("response_ts"),
         F.length("text").alias("completion_tokens"),
     )
@@ -145,9 +162,12 @@ def _with_rocksdb(spark: SparkSession) -> SparkSession:
     return spark
 
 
+VECTORS_PER_FILE = 2_000  # vectors are long rows
+
+
 def _cache_answers(spark: SparkSession, sf_dir: str, replica: Column, max_entries: int, name: str) -> DataFrame:
     """Every vector asks, and is answered half a second later."""
-    vectors = stream(_with_rocksdb(spark), sf_dir, "embeddings")
+    vectors = in_time(_with_rocksdb(spark), sf_dir, "embeddings", "vec_id", rows_per_file=VECTORS_PER_FILE)
     base = vectors.select(
         replica.alias("replica"), F.concat(F.lit("model-"), F.col("label") % 3).alias("model"),
         F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("request_id"), F.col("embedding").cast("array<double>").alias("vector"),
@@ -192,7 +212,7 @@ FROM embeddings v LEFT JOIN last l ON l.id = v.vec_id LEFT JOIN hits h ON h.q =
 @query
 def streaming_p95_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """95th percentile per model over sliding five-minute windows, one window per minute, from streamed bucket panes."""
-    panes = SM.pane_buckets(_event_stream(spark, sf_dir), "ts", ["event_type"], F.col("value") / 60, 60, "1 day")
+    panes = SM.pane_buckets(_events_in_time(spark, sf_dir), "ts", ["event_type"], F.col("value") / 60, 60, "1 day")
     done = runs.collect_updates(panes, ["pane", "event_type", "bucket"], "streaming-p95-5m")
     rates = M.pane_rate(done, "pane", ["event_type", "bucket"], "n", 300, 60)
     counts = rates.select("window_start", "event_type", F.col("bucket").alias("le_idx"), F.round(F.col("rate") * 300).cast("bigint").alias("n"))
@@ -213,10 +233,10 @@ SELECT window_start, event_type, round(CASE WHEN i = {len(M.BUCKETS)} THEN {M.BU
 @query
 def streaming_unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All user turns with their answer, if there is one; those without are told once both watermarks are past their wait."""
-    turns = stream(spark, sf_dir, "conversations")
-    at = F.timestamp_seconds(F.lit(CREATED) + F.col("conv_id") * 60 + F.col("turn"))
+    turns = _turns_in_time(spark, sf_dir)
+    at = _turn_time()
     requests = turns.filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "conv_id", "turn", at.alias("request_ts"))
-    responses = stream(spark, sf_dir, "conversations").filter("role = 'assistant' AND conv_id % 4 != 0").select(
+    responses = turns.filter("role = 'assistant' AND conv_id % 4 != 0").select(
         F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("request_id"), at.alias("response_ts")
     )
     paired = SM.pair_stream(requests, responses, "request_id", "request_ts", "response_ts", "1 minute", "1 minute")
@@ -237,7 +257,7 @@ WHERE r.conv_id IS NOT NULL OR q.sec + 60 < mark.mark"""
 @query
 def streaming_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In-flight load as keyed state."""
-    ev = _event_stream(_with_rocksdb(spark), sf_dir)
+    ev = _events_in_time(_with_rocksdb(spark), sf_dir)
     events = ev.select(
         F.concat(F.lit("replica-"), F.col("user_id") % 2).alias("replica"), F.concat(F.lit("model-"), F.col("user_id") % 3).alias("model"),
         "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"),
