@@ -10,12 +10,14 @@ query has a new cell to visit. Links are verified in double precision, counted a
 the vector found, and handed on as stars.
 
 Cells that are too large are dealt into pieces by a hash; a query for such a cell visits all
-its pieces. Recall is audited against brute force for a sample of queries; below the wanted
-recall the search is repeated with a wider beam and more overlap.
+its pieces. Recall is audited after every attempt, against brute force for a random sample of
+queries; below the wanted recall the search is repeated with a wider beam and more overlap,
+and a recall that stays below ``REQUIRED`` is an error.
 """
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,15 +35,27 @@ MOST_CENTRES = 4_096
 PIECE = 1_500  # members of a cell, or of a piece of it, about
 OVERLAP = 3
 BEAM = 40
-AUDITED = 128  # queries of the recall audit
+AUDITED = 2_048  # random queries of the recall audit
+REQUIRED = 0.9  # recall below which there is no answer
+EXTRA = 3  # more attempts to reach it
 MARGIN = 1e-5  # single precision search, double precision verification
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass
 class Audit:
-    recall: float
+    """Found links over true ones (``pooled``), the same share averaged over the queries that have links (``mean``), and the true links."""
+
+    pooled: float
+    mean: float
     links: int
 
+    @property
+    def recall(self) -> float:
+        return min(self.pooled, self.mean)
+
 
 def _valid(vector: str):
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -165,11 +179,9 @@ def _search(nodes: DataFrame, visits: DataFrame, least: float, beam: int, width:
 
 
 def audit(points: DataFrame, counts: DataFrame, least: float, width: int, seed: int = 3) -> Audit:
-    """Recall of link counts for ``AUDITED`` queries, half of them with links if there are, against brute force in blocks."""
-    ranked = points.join(counts, "id", "left").select("id", "copies", "vector", F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64("id", F.lit(seed)).alias("r"))
-    some = ranked.orderBy("r").limit(AUDITED // 2).unionByName(ranked.filter("n > 0").orderBy("r").limit(AUDITED // 2)).toArrow()
-    _, first = np.unique(some["id"].to_numpy(), return_index=True)
-    some = some.take(pa.array(first))
+    """Recall of link counts for ``AUDITED`` queries against brute force in blocks; what was found has no part in their choice."""
+    chosen = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(AUDITED)
+    some = chosen.join(counts, "id", "left").select("id", "vector", F.coalesce("n", F.lit(0)).alias("n")).toArrow()
     queries, who = _scaled(_matrix(some["vector"], width)), some["id"].to_numpy()
 
     def run(batches):
@@ -183,9 +195,11 @@ def audit(points: DataFrame, counts: DataFrame, least: float, width: int, seed:
 
     true = points.select("id", "copies", "vector").mapInArrow(run, "id bigint, true bigint").groupBy("id").agg(F.sum("true").alias("true")).toArrow()
     wanted = dict(zip(true["id"].to_pylist(), true["true"].to_pylist()))
-    links = sum(wanted.values())
-    got = sum(min(n, wanted.get(i, 0)) for i, n in zip(some["id"].to_pylist(), some["n"].to_pylist()))
-    return Audit(got / links if links else 1.0, links)
+    shares = [(min(n, wanted[i]), wanted[i]) for i, n in zip(some["id"].to_pylist(), some["n"].to_pylist()) if wanted.get(i)]
+    if not shares:
+        return Audit(1.0, 1.0, 0)
+    found, links = (sum(x) for x in zip(*shares))
+    return Audit(found / links, sum(f / t for f, t in shares) / len(shares), links)
 
 
 def link_points(points: DataFrame, width: int, least: float, beam: int, overlap: int, seed: int = 9) -> tuple[DataFrame, DataFrame]:
@@ -228,6 +242,7 @@ def link_points(points: DataFrame, width: int, least: float, beam: int, overlap:
 
 def near_duplicates(
     vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", least: float = 0.9, wanted: float = 0.97, attempts: int = 3,
+    audits: list[Audit] | None = None,
 ) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
@@ -235,6 +250,9 @@ def near_duplicates(
     Shorter vectors are padded with zeros. Equal vectors link with each other and share
     what they link with; they are compared once. A row without identifier links with nothing.
     Rows that repeat an identifier are vectors of their own, with the same vector or another.
+
+    After ``attempts`` a recall from ``REQUIRED`` to ``wanted`` is taken; below it, ``EXTRA`` more attempts
+    follow and then an error. The audit of every attempt is logged and appended to ``audits``.
     """
     kind = vectors.schema[vector].dataType.simpleString()
     # -0.0 and 0.0 are one value; equal arrays are then equal groups.
@@ -249,10 +267,16 @@ def near_duplicates(
     if width is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     beam, overlap = BEAM, OVERLAP
-    for attempt in range(attempts):
+    for attempt in range(1, attempts + EXTRA + 1):
         counts, edges = link_points(points, width, least, beam, overlap)
-        if attempt == attempts - 1 or audit(points, counts, least, width).recall >= wanted:
+        result = audit(points, counts, least, width)
+        log.info("attempt %d, beam %d, overlap %d: %s", attempt, beam, overlap, result)
+        if audits is not None:
+            audits.append(result)
+        if result.recall >= (wanted if attempt < attempts else REQUIRED):
             break
+        if attempt == attempts + EXTRA:
+            raise ValueError(f"recall {result.recall:.3f} is below {REQUIRED} after {attempt} attempts: {result}")
         beam, overlap = 2 * beam, overlap + 2
     placed = components(edges)
     named = (

@@ -286,6 +286,23 @@ def test_vectors_in_many_cells_and_pieces(sp, monkeypatch):
     assert np.mean([got[i][1] == want[i][1] for i in want]) > 0.95
 
 
+def test_recall_is_audited(sp, monkeypatch):
+    """A group that was found whole does not hide lost pairs, and the last attempt is judged too."""
+    rng = np.random.default_rng(4)
+    pairs = rng.normal(size=(100, 32))
+    vectors = np.concatenate([rng.normal(size=32) + rng.normal(size=(200, 32)) * 0.01, pairs, pairs + 0.01])
+    points = sp.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(vectors)], "id long, copies long, vector array<double>")
+    counts = sp.createDataFrame([(i, 199) for i in range(200)], "id long, n long")
+    got = embedding_graph.audit(points, counts, 0.9, 32)
+    assert got.recall < 0.9 and got.links == 200 * 199 + 200
+    seen = []
+    monkeypatch.setattr(embedding_graph, "audit", lambda *a: seen.append(0) or embedding_graph.Audit(0.95, 0.5, 1))
+    monkeypatch.setattr(embedding_graph, "link_points", lambda *a: (counts, points.selectExpr("id AS a", "id AS b")))
+    with pytest.raises(ValueError, match="recall"):
+        embedding_graph.near_duplicates(points, "id", "vector", attempts=1)
+    assert len(seen) == 1 + embedding_graph.EXTRA
+
+
 def test_shards(sp):
     docs, plain = frame(sp, texts(5))
     df = sharding.shard_documents(docs)
