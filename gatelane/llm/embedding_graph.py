@@ -5,7 +5,7 @@ the ``OVERLAP`` cells with the nearest centres (the first is its home). Each cel
 robust-pruned graph of its members; a node's adjacency lists from all its cells are united.
 Then every vector is a query: a greedy beam search walks from the cell's medoid, and from
 what it finds in range it expands until nothing new is in range. Where that leads to a
-vector whose home is another cell, the query goes on there in the next round, until no
+vector whose home is in another cluster, the query goes on there in the next round, until no
 query has a new cell to visit. Links are verified in double precision, counted at the home of
 the vector found, and handed on as stars.
 
@@ -33,6 +33,7 @@ SAMPLE = 20_000  # vectors the centres are fitted on, at most
 CELL = 400  # vectors per centre
 MOST_CENTRES = 4_096
 PIECE = 1_500  # members of a cell, or of a piece of it, about
+PIECES = 100_000  # a cell's number is its cluster's times this, plus the piece
 OVERLAP = 3
 BEAM = 40
 AUDITED = 2_048  # random queries of the recall audit
@@ -95,7 +96,7 @@ def _members(points: DataFrame, centres: np.ndarray, pieces: dict[int, int], ove
             ids = batch.column(0).to_numpy()
             salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
             count = np.array([pieces.get(c, 1) for c in range(len(centres))], np.uint64)
-            cells = near * 100_000 + (salt[:, None] % count[near]).astype(np.int64)
+            cells = near * PIECES + (salt[:, None] % count[near]).astype(np.int64)
             take = pa.array(np.repeat(np.arange(len(ids)), most))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cells.ravel()), pa.array(near.ravel()), *(batch.column(i).take(take) for i in range(3)), pa.array(np.repeat(cells[:, 0], most))],
@@ -121,7 +122,7 @@ def _adjacency(members: DataFrame, width: int) -> DataFrame:
 
 
 def _search(nodes: DataFrame, visits: DataFrame, least: float, beam: int, width: int) -> DataFrame:
-    """``kind, a, b``: 0 query and links found, 1 a star's edge, 2 query and cell to visit."""
+    """``kind, a, b``: 0 query and links found, 1 a star's edge, 2 query and cluster to visit."""
 
     def run(cell: pa.Table, asked: pa.Table) -> pa.Table:
         empty = pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -161,7 +162,9 @@ def _search(nodes: DataFrame, visits: DataFrame, least: float, beam: int, width:
                     continue
                 own = home[hits] == here[0]
                 counts.append((q, int(copies[hits[own]].sum())))
-                further += [(q, c) for c in np.unique(home[hits[~own]]).tolist()]
+                # Other pieces of this cluster are visited anyway.
+                clusters = np.unique(home[hits[~own]] // PIECES)
+                further += [(q, c) for c in clusters[clusters != here[0] // PIECES].tolist()]
                 for x in ids[hits].tolist():
                     a, b = root(q), root(x)
                     if a != b:
@@ -214,20 +217,21 @@ def link_points(points: DataFrame, width: int, least: float, beam: int, overlap:
     pieces = {r["cluster"]: -(-r["n"] // PIECE) for r in sizes}
     members = written(_members(points, centres, pieces, overlap, width), "pieces") if pieces else first
     nodes = written(members.join(_adjacency(members, width), "id"), "nodes")
-    # A query visits every piece of its clusters.
     spread = F.sequence(F.lit(0), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in pieces.items() for x in kv]), F.col("cluster")), F.lit(1)) - 1) if pieces else F.array(F.lit(0))
-    visits = written(
-        members.select("id", "vector", "cluster", F.explode(spread).alias("piece")).select(
-            "id", "vector", (F.col("cluster") * 100_000 + F.col("piece")).alias("cell")
-        ),
-        "visits",
-    )
+
+    def all_pieces(asked: DataFrame, *columns: str) -> DataFrame:
+        """A query visits every piece of a cluster."""
+        return asked.select("id", *columns, "cluster", F.explode(spread).alias("piece")).select(
+            "id", *columns, (F.col("cluster") * PIECES + F.col("piece")).alias("cell")
+        )
+
+    visits = written(all_pieces(members, "vector"), "visits")
     seen, results, turn = visits.select("id", "cell"), [], 0
     while True:
         turn += 1
         result = written(_search(nodes, visits, least, beam, width), f"search-{turn}")
         results.append(result)
-        more = result.filter("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("cell")).distinct()
+        more = all_pieces(result.filter("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("cluster")).distinct())
         more = written(more.join(seen, ["id", "cell"], "left_anti"), f"more-{turn}")
         if not more.take(1):
             break

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatelane.llm import bpe, embedding_graph, graph, mixture, quality, sharding, simhash, suffix_core, suffix_index, toxicity, url_reputation, warc
-from gatelane.llm.common import prepare
+from gatelane.llm.common import prepare, written
 from gatelane.llm.queries import RULES
 from tests.llm import brute
 
@@ -286,6 +286,27 @@ def test_vectors_in_many_cells_and_pieces(sp, monkeypatch):
     assert np.mean([got[i][1] == want[i][1] for i in want]) > 0.95
 
 
+def test_follow_on_visits_reach_all_pieces(sp, monkeypatch):
+    """Whatever cluster a query is led to, it visits every piece of it."""
+    monkeypatch.setattr(embedding_graph, "CELL", 30)
+    monkeypatch.setattr(embedding_graph, "PIECE", 25)
+    rng = np.random.default_rng(12)
+    rows = np.concatenate([c + rng.normal(size=(240, 16)) * 0.25 for c in rng.normal(size=(2, 16))])
+    points = written(sp.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(rows)], "id long, copies long, vector array<double>"), "test-points")
+    asked, cells, rounds, search = set(), set(), [], embedding_graph._search
+
+    def watched(nodes, visits, *rest):
+        cells.update(r.cell for r in nodes.select("cell").distinct().collect())
+        asked.update((r.id, r.cell) for r in visits.select("id", "cell").collect())
+        rounds.append(len(asked))
+        return search(nodes, visits, *rest)
+
+    monkeypatch.setattr(embedding_graph, "_search", watched)
+    embedding_graph.link_points(points, 16, 0.9, 200, 2)
+    assert len(rounds) > 1 and rounds[-1] > rounds[0]
+    assert all((q, c) in asked for q, k in {(q, c // 100_000) for q, c in asked} for c in cells if c // 100_000 == k)
+
+
 def test_recall_is_audited(sp, monkeypatch):
     """A group that was found whole does not hide lost pairs, and the last attempt is judged too."""
     rng = np.random.default_rng(4)
