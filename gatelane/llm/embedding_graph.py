@@ -34,6 +34,7 @@ CELL = 400  # vectors per centre
 MOST_CENTRES = 4_096
 PIECE = 1_500  # members of a cell, or of a piece of it, about
 PIECES = 100_000  # a cell's number is its cluster's times this, plus the piece
+VISITS = 8_192  # queries that meet a cell in one task, about
 OVERLAP = 3
 BEAM = 40
 AUDITED = 2_048  # random queries of the recall audit
@@ -121,6 +122,15 @@ def _adjacency(members: DataFrame, width: int) -> DataFrame:
     return parts.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
+def _in_chunks(nodes: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ``chunk``: the visits of a cell in chunks of about ``VISITS``, and its nodes, which are bounded, once for each."""
+    chunks = F.ceil(F.col("count") / VISITS).cast("int")
+    sizes = written(visits.groupBy("cell").count().select("cell", chunks.alias("chunks")), "chunks")
+    asked = visits.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(5)), F.col("chunks")).cast("int"))
+    copies = nodes.join(sizes, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return copies, asked
+
+
 def _search(nodes: DataFrame, visits: DataFrame, least: float, beam: int, width: int) -> DataFrame:
     """``kind, a, b``: 0 query and links found, 1 a star's edge, 2 query and cluster to visit."""
 
@@ -176,8 +186,9 @@ def _search(nodes: DataFrame, visits: DataFrame, least: float, beam: int, width:
         kind, a, b = zip(*rows)
         return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    left = nodes.select("cell", "id", "copies", "vector", "home", "near").groupBy("cell")
-    right = visits.select("cell", "id", "vector").groupBy("cell")
+    nodes, visits = _in_chunks(nodes, visits)
+    left = nodes.select("cell", "chunk", "id", "copies", "vector", "home", "near").groupBy("cell", "chunk")
+    right = visits.select("cell", "chunk", "id", "vector").groupBy("cell", "chunk")
     return left.cogroup(right).applyInArrow(run, "kind int, a bigint, b bigint")
 
 

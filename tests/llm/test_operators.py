@@ -307,6 +307,18 @@ def test_follow_on_visits_reach_all_pieces(sp, monkeypatch):
     assert all((q, c) in asked for q, k in {(q, c // 100_000) for q, c in asked} for c in cells if c // 100_000 == k)
 
 
+def test_visits_of_a_cell_are_bounded(sp, monkeypatch):
+    """A cell that very many queries visit meets them in chunks, each with all nodes of the cell, each query once."""
+    monkeypatch.setattr(embedding_graph, "VISITS", 50)
+    nodes = sp.range(30).selectExpr("id", "id % 3 AS cell")
+    visits = sp.range(2000).selectExpr("id", "CASE WHEN id < 1900 THEN 0L ELSE 1L END AS cell")
+    copies, asked = embedding_graph._in_chunks(nodes, visits)
+    groups = {(r.cell, r.chunk): r.n for r in asked.groupBy("cell", "chunk").agg(F.count("*").alias("n")).collect()}
+    assert max(groups.values()) <= 100 and sum(groups.values()) == 2000
+    found = {(r.cell, r.chunk): r.n for r in copies.groupBy("cell", "chunk").agg(F.countDistinct("id").alias("n")).collect()}
+    assert all(found[g] == 10 for g in groups)
+
+
 def test_recall_is_audited(sp, monkeypatch):
     """A group that was found whole does not hide lost pairs, and the last attempt is judged too."""
     rng = np.random.default_rng(4)
