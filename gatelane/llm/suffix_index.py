@@ -44,11 +44,12 @@ def _keyed(docs: DataFrame, ident: str, text: str) -> DataFrame:
 
 
 def anchors(keyed: DataFrame) -> DataFrame:
-    """``d1, d2, key, run, place``: one row per run of windows with a common anchor.
+    """``d1, d2, key, run, place, stop``: one row per run of windows with a common anchor.
 
     ``key`` hashes the bytes around the anchor, ``run`` all bytes of the run's windows; ``place``
     packs the first window, the anchor's and the last window's distance from it. A stretch
-    known to repeat inside its document has null hashes and packs begin and length.
+    known to repeat inside its document has null hashes, its begin as ``place`` and its end as ``stop``
+    (null for the others).
     """
 
     def run(batches):
@@ -58,7 +59,7 @@ def anchors(keyed: DataFrame) -> DataFrame:
                 text = np.frombuffer(body.as_buffer(), np.uint8)
                 at, first, last, repeats = core.runs(text)
                 known_of += [i] * len(repeats)
-                known += [a << 40 | (b - a) for a, b in repeats]
+                known += repeats
                 if len(at):
                     hashes = core.Hashes(text)
                     key = hashes.of(at - core.CONTEXT, at + core.CONTEXT)
@@ -68,12 +69,14 @@ def anchors(keyed: DataFrame) -> DataFrame:
             take = pa.array(np.concatenate([of, np.array(known_of, np.int64)]))
             empty = pa.nulls(len(known), pa.int64())
             hashed = [pa.concat_arrays([pa.array(c.astype(np.uint64).view(np.int64)), empty]) for c in (key, whole)]
-            places = pa.array(np.concatenate([place, np.array(known, np.int64)]))
+            begin, end = np.array(known, np.int64).reshape(-1, 2).T
+            places = pa.array(np.concatenate([place, begin]))
+            stops = pa.concat_arrays([pa.nulls(len(place), pa.int64()), pa.array(end)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), *hashed, places], ["d1", "d2", "key", "run", "place"]
+                [batch.column(0).take(take), batch.column(1).take(take), *hashed, places, stops], ["d1", "d2", "key", "run", "place", "stop"]
             )
 
-    return keyed.select("d1", "d2", "body").mapInArrow(run, "d1 bigint, d2 bigint, key bigint, run bigint, place bigint")
+    return keyed.select("d1", "d2", "body").mapInArrow(run, "d1 bigint, d2 bigint, key bigint, run bigint, place bigint, stop bigint")
 
 
 class Family:
@@ -169,14 +172,12 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", batches:
     """
     keyed = _keyed(docs, ident, text)
     suffixes = written(anchors(keyed.filter(F.octet_length("body") >= SPAN)), "suffixes")
-    indexed = suffixes.filter("key IS NOT NULL")
+    indexed = suffixes.filter("key IS NOT NULL").drop("stop")
     family = Family()
     for i in range(batches):
         family.add(indexed.filter(F.pmod("d1", F.lit(batches)) == i))
     candidates = written(indexed.join(family.repeated(), "key"), "candidates")
-    inside = written(suffixes.filter("key IS NULL").select(
-        "d1", "d2", F.shiftright("place", 40).alias("begin"), (F.shiftright("place", 40) + F.col("place").bitwiseAND((1 << 40) - 1)).alias("end")
-    ), "inside")
+    inside = written(suffixes.filter("key IS NULL").select("d1", "d2", F.col("place").alias("begin"), F.col("stop").alias("end")), "inside")
     family.close()
     discard(suffixes)
     # 1. Runs that occur twice as a whole.

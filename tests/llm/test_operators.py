@@ -319,6 +319,13 @@ def test_visits_of_a_cell_are_bounded(sp, monkeypatch):
     assert all(found[g] == 10 for g in groups)
 
 
+def test_repeats_far_into_a_text(sp):
+    """A text of 9 MB whose last part, after 8 MiB, has a short period."""
+    body = np.random.default_rng(3).integers(97, 123, 8_500_000, dtype=np.uint8).tobytes().decode() + "0" * 600_000
+    row = suffix_index.remove_repeats(sp.createDataFrame([(1, body)], "doc_id long, text string")).first()
+    assert [tuple(x) for x in row.spans] == [(8_500_000, 9_100_000)] and bytes(row.kept).decode() == body[:8_500_000]
+
+
 def test_recall_is_audited(sp, monkeypatch):
     """A group that was found whole does not hide lost pairs, and the last attempt is judged too."""
     rng = np.random.default_rng(4)
