@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_graph, mixture, quality, sharding, simhash, suffix_index, toxicity, url_reputation, warc
+from . import audit, bpe, embedding_graph, importance, mixture, quality, sharding, simhash, suffix_index, toxicity, url_reputation, warc
 from .common import table
 
 RULES = [
@@ -69,6 +69,14 @@ def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), "component_id")
 
 
+def op12_byte_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_bit_sliced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 SQL_MIXTURE = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
@@ -142,11 +150,72 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
 FROM f"""
 
+SQL_AUDIT = """
+WITH facts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words, coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS e
+  FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    {A: len(words) < 50, B: 100 * len(list_distinct(words)) < 65 * len(words),
+     C: 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t), D: regexp_matches(t, '[#$%&*|]'), E: e} AS f
+  FROM facts LEFT JOIN marks USING (doc_id)),
+tall AS (
+  SELECT part, good, toxic, [n FOR n IN ['A', 'B', 'C', 'D', 'E'] IF CASE n WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END] AS fails
+  FROM failing),
+kinds AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM tall GROUP BY ALL),
+letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, step::INT AS step, filter_order[step] AS filter, string_split(left(filter_order, step - 1), '') AS before FROM orders, range(1, 6) r(step)),
+counted AS (
+  SELECT part, filter_order, step, any_value(filter) AS filter,
+    coalesce(sum(n) FILTER (NOT list_contains(fails, filter) AND NOT list_has_any(fails, before)), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (list_contains(fails, filter) AND NOT list_has_any(fails, before)), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (list_contains(fails, filter) AND list_has_any(fails, before)), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = [filter]), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n_good) FILTER (list_contains(fails, filter) AND NOT list_has_any(fails, before)), 0)::BIGINT AS good_lost,
+    coalesce(sum(n_toxic) FILTER (list_contains(fails, filter) AND NOT list_has_any(fails, before)), 0)::BIGINT AS toxic_lost
+  FROM kinds, steps GROUP BY part, filter_order, step)
+SELECT * EXCLUDE (filter), sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM counted"""
+SQL_IMPORTANCE = """
+WITH steps(tab) AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) FROM range(256) r(n)),
+d AS (
+  SELECT doc_id, row_number() OVER () AS spot, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words
+  FROM documents),
+b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words
+  FROM benchmark),
+dw AS (SELECT spot, unnest(words) AS w FROM d),
+bw AS (SELECT unnest(words) AS w FROM b),
+vocabulary AS (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)),
+hashed AS (
+  SELECT w, xor(list_reduce(list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(w), 2 * i + 1, 2))::BIGINT),
+    lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM vocabulary, steps),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN hashed USING (w) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+weighed AS (SELECT spot, sum(gain)::BIGINT AS weight FROM dw JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY spot),
+scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+  FROM d LEFT JOIN weighed USING (spot)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank
+FROM ranked"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_reputation, op2_warc_index, op3_bpe_forced_boundaries, op4_toxicity_cnn, op5_mixture_flow, op6_embedding_graph, op7_hypergeometric_shards,
-        op8_quality_ratio, op9_suffix_family, op10_simhash_blocks,
+        op8_quality_ratio, op9_suffix_family, op10_simhash_blocks, op12_byte_transducer, op13_bit_sliced_weights,
     )
 }
-SQL: dict[str, str] = {"op1_url_reputation": SQL_URLS, "op2_warc_index": SQL_WARC, "op5_mixture_flow": SQL_MIXTURE}
+SQL: dict[str, str] = {"op1_url_reputation": SQL_URLS, "op2_warc_index": SQL_WARC, "op5_mixture_flow": SQL_MIXTURE,
+                       "op12_byte_transducer": SQL_AUDIT, "op13_bit_sliced_weights": SQL_IMPORTANCE}
