@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, embedding_graph, importance, mixture, quality, sharding, simhash, suffix_index, toxicity, url_reputation, warc
+from . import audit, bpe, embedding_graph, importance, mixture, quality, sharding, simhash, suffix_index, token_graph, toxicity, url_reputation, warc
 from .common import table
 
 RULES = [
@@ -69,6 +69,12 @@ def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), "component_id")
 
 
+def op11_token_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = token_graph.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.col("kept").cast("string").alias("kept_text"))
+
+
 def op12_byte_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -214,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_reputation, op2_warc_index, op3_bpe_forced_boundaries, op4_toxicity_cnn, op5_mixture_flow, op6_embedding_graph, op7_hypergeometric_shards,
-        op8_quality_ratio, op9_suffix_family, op10_simhash_blocks, op12_byte_transducer, op13_bit_sliced_weights,
+        op8_quality_ratio, op9_suffix_family, op10_simhash_blocks, op11_token_graph, op12_byte_transducer, op13_bit_sliced_weights,
     )
 }
 SQL: dict[str, str] = {"op1_url_reputation": SQL_URLS, "op2_warc_index": SQL_WARC, "op5_mixture_flow": SQL_MIXTURE,

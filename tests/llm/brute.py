@@ -94,3 +94,18 @@ def vector_links(rows, least=0.9):
     group = components([i for i, _ in good], edges)
     out = [(i, links[x], group[i]) for x, (i, _) in enumerate(good)]
     return out + [(i, 0, i) for i, v in rows if i is None or not usable(v)]
+
+
+def repeated_words(texts, width=35):
+    """(n_words, n_removed, kept_sha256) per text."""
+    split = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(w[i : i + width]) for w in split for i in range(len(w) - width + 1))
+    out = []
+    for w in split:
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - width + 1):
+            if seen[tuple(w[i : i + width])] > 1:
+                gone[i : i + width] = True
+        kept = b" ".join(x for x, g in zip(w, gone) if not g)
+        out.append((len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+    return out
