@@ -40,7 +40,8 @@ _PLACE = np.uint64((1 << 20) - 1)
 _CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
-PIECES = "d1 bigint, d2 bigint, key bigint, piece bigint, first int, last int, n int, before bigint, after bigint, steady boolean"
+NONE = 0  # in place of a neighbouring piece: there is none, or not always the same
+PIECES = "d1 bigint, d2 bigint, key bigint, piece bigint, first int, last int, n int, before bigint, after bigint"
 
 
 def _names(ident: str, text: str) -> tuple[Column, Column]:
@@ -156,8 +157,8 @@ def pieces(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``PIECES``: one row per document and different piece.
 
     ``n`` counts it in the document, ``first`` and ``last`` are its first edges there, ``before`` and ``after`` the pieces
-    around it (null: none), ``steady`` says that these are the same at all its places in the document. Rows with a null key
-    give the words, from ``first`` to before ``last``, that repeat inside the document.
+    around it if these are the same at all its places in the document, else ``NONE``. Rows with a null key give the words, from
+    ``first`` to before ``last``, that repeat inside the document.
     """
 
     def run(batches):
@@ -170,7 +171,7 @@ def pieces(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             if n > 1:
                 same_prev[1:] = (text[1:] == text[:-1])
             same_next = np.concatenate([same_prev[1:], [False]]) if n else same_prev
-            before, after = np.roll(signed, 1), np.roll(signed, -1)
+            before, after = np.where(same_prev, np.roll(signed, 1), NONE), np.where(same_next, np.roll(signed, -1), NONE)
             order = np.lexsort((np.arange(n), piece, key, text))
             fresh = np.ones(n, bool)
             if n > 1:
@@ -179,20 +180,19 @@ def pieces(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             heads = np.flatnonzero(fresh)
             times = np.diff(np.concatenate([heads, [n]]))
             one = order[heads]
-            steady = np.ones(len(heads), bool)
-            for k in np.flatnonzero(times > 1).tolist():
-                all_of = order[heads[k] : heads[k] + times[k]]
-                for side, there in ((before, same_prev), (after, same_next)):
-                    steady[k] &= bool(there[all_of].all() and (side[all_of] == side[all_of[0]]).all()) or not there[all_of].any()
+            for side in (before, after):
+                if n:
+                    low, high = (f.reduceat(side[order], heads) for f in (np.minimum, np.maximum))
+                    side[one] = np.where(low == high, low, NONE)
             inner_of, inner = _inside(words, order, heads, times, text, first, last, width)
             none = pa.nulls(len(inner), pa.int64())
             take = pa.array(np.concatenate([text[one], inner_of]))
-            longs = lambda c, there=None: pa.concat_arrays([pa.array(c[one], pa.int64(), mask=None if there is None else ~there[one]), none])
+            longs = lambda c: pa.concat_arrays([pa.array(c[one], pa.int64()), none])
             ints = lambda c, i: pa.array(np.concatenate([c, inner[:, i]]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(take), batch.column(1).take(take), longs(key.view(np.int64)), longs(signed), ints(first[one], 0), ints(last[one], 1),
-                    ints(times, 1), longs(before, same_prev), longs(after, same_next), pa.array(np.concatenate([steady, np.ones(len(inner), bool)])),
+                    ints(times, 1), longs(before), longs(after),
                 ],
                 [f.split()[0] for f in PIECES.split(", ")],
             )
@@ -236,10 +236,11 @@ def evidence(rows: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """The different pieces: how often they occur, one place, and the pieces around them if these are always the same."""
-    always = lambda c: F.when(F.min("steady") & (F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c))
+    """The different pieces: how often they occur, one place, and for repeated ones the pieces around them if these are always the same."""
+    always = lambda c: F.when((F.sum("n") > 1) & (F.min(c) == F.max(c)) & (F.min(c) != NONE), F.min(c))
+    # The columns of the place come from one row, whichever is first; any place will do.
     return found.filter("key IS NOT NULL").groupBy("key", "piece").agg(
-        F.sum("n").alias("n"), F.min(F.struct("d1", "d2", "first", "last")).alias("one"), always("before").alias("before"), always("after").alias("after")
+        F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("d1", "d2", "first", "last")], always("before").alias("before"), always("after").alias("after")
     )
 
 
@@ -289,15 +290,16 @@ def repeated_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     whole = paths(found, kinds).withColumn("whole", F.lit(True))
     # One place of every piece of a minimizer that has several, to compare edge by edge.
     several = kinds.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    branching = kinds.join(several, "key").select("one.*", F.lit(False).alias("whole"))
+    branching = kinds.join(several, "key").select("d1", "d2", "first", "last", F.lit(False).alias("whole"))
     per_doc = written(
         whole.unionByName(branching).groupBy("d1", "d2").agg(F.collect_set(F.struct("first", "last", "whole")).alias("parts")), "read-again"
     )
+    here = written(found.filter("key IS NULL").select("d1", "d2", F.col("first").alias("begin"), F.col("last").alias("end")), "inside-texts")
+    discard(found, kinds)
     proof = written(evidence(keyed.join(per_doc, ["d1", "d2"]), width), "evidence")
     twice = proof.groupBy("digest").agg(F.count("*").alias("m")).filter("m > 1").select("digest")
-    here = found.filter("key IS NULL").select("d1", "d2", F.col("first").alias("begin"), F.col("last").alias("end"))
     out = written(proof.join(twice, "digest").select("d1", "d2", "begin", "end").unionByName(here).distinct(), "repeated-words")
-    discard(found, kinds, per_doc, proof)
+    discard(here, per_doc, proof)
     return out
 
 
