@@ -1,10 +1,10 @@
 """Anchored suffixes of one text: the array work behind the suffix index.
 
-Every window of ``SPAN`` bytes is assigned to one anchor inside it: the place, at least
-``CONTEXT`` bytes from both ends, whose eight bytes have the smallest hash (the leftmost of
+Every window of ``span`` bytes is assigned to one anchor inside it: the place, at least
+``context_of(span)`` bytes from both ends, whose eight bytes have the smallest hash (the leftmost of
 equals). The choice depends on the window's bytes only, so equal windows have anchors at the
 same place in them. Neighbouring windows mostly share their anchor; a run of such windows is
-one row. A text of n bytes has about 2 n / (SPAN - 2 CONTEXT) anchors.
+one row. A text of n bytes has about 2 n / (span - 2 context_of(span)) anchors.
 """
 
 from __future__ import annotations
@@ -12,10 +12,9 @@ from __future__ import annotations
 import numpy as np
 
 SPAN = 400
-CONTEXT = 48
-REACH = SPAN - 2 * CONTEXT  # places among which a window's anchor is chosen
+LEAST_SPAN, MOST_SPAN = 80, 1000  # eight bytes of an anchor fit on a side; ten bits hold a window's distance from its anchor
 _PLACE = np.uint64((1 << 20) - 1)
-_CHUNK = (1 << 20) - 2 * SPAN
+_CHUNK = (1 << 20) - 2 * MOST_SPAN
 _rng = np.random.default_rng(2024)
 _BYTES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = int(_rng.integers(0, 1 << 62)) * 4 + 3
@@ -23,6 +22,13 @@ _UNBASE = pow(_BASE, -1, 1 << 64)
 _powers = {_BASE: np.ones(1, np.uint64), _UNBASE: np.ones(1, np.uint64)}
 
 
+def context_of(span: int) -> int:
+    """Bytes on both sides of an anchor that always belong to its windows: about an eighth of the span."""
+    if not LEAST_SPAN <= span <= MOST_SPAN:
+        raise ValueError(f"spans have {LEAST_SPAN} to {MOST_SPAN} bytes")
+    return span // 8 - 2
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64, remembered and doubled on demand."""
     table = _powers[base]
@@ -49,61 +55,62 @@ class Hashes:
         return mix((self.sums[end] - self.sums[begin]) * self.back[begin] + (end - begin).astype(np.uint64))
 
 
-def window_anchors(text: np.ndarray) -> np.ndarray:
-    """The anchor of each of the n - SPAN + 1 windows."""
-    n = len(text)
+def window_anchors(text: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """The anchor of each of the n - span + 1 windows."""
+    n, context = len(text), context_of(span)
+    reach = span - 2 * context  # places among which a window's anchor is chosen
     out = []
-    for base in range(0, n - SPAN + 1, _CHUNK):
-        part = text[base : base + _CHUNK + SPAN - 1]
-        m = len(part) - 2 * CONTEXT
+    for base in range(0, n - span + 1, _CHUNK):
+        part = text[base : base + _CHUNK + span - 1]
+        m = len(part) - 2 * context
         eight = np.zeros(m, np.uint64)
-        inner = np.ascontiguousarray(part[CONTEXT:])
+        inner = np.ascontiguousarray(part[context:])
         for shift in range(8):
             rows = (len(inner) - shift) // 8
             words = inner[shift : shift + 8 * rows].view(np.uint64)
             want = len(range(shift, m, 8))
             eight[shift::8] = words[:want]
         keys = (mix(eight) & ~_PLACE) | np.arange(m, dtype=np.uint64)
-        count = m - REACH + 1
-        padded = np.full(-(-m // REACH) * REACH, np.iinfo(np.uint64).max, np.uint64)
+        count = m - reach + 1
+        padded = np.full(-(-m // reach) * reach, np.iinfo(np.uint64).max, np.uint64)
         padded[:m] = keys
-        blocks = padded.reshape(-1, REACH)
+        blocks = padded.reshape(-1, reach)
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(behind[:count], ahead[REACH - 1 : REACH - 1 + count])
-        out.append((least & _PLACE).astype(np.int64) + base + CONTEXT)
+        least = np.minimum(behind[:count], ahead[reach - 1 : reach - 1 + count])
+        out.append((least & _PLACE).astype(np.int64) + base + context)
     return np.concatenate(out)
 
 
-def periodic_windows(text: np.ndarray, longest: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def periodic_windows(text: np.ndarray, span: int = SPAN, longest: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Windows that equal the one ``d`` bytes before or after, d up to ``longest``: (all of them, those with an earlier one)."""
-    n = len(text) - SPAN + 1
+    n = len(text) - span + 1
     same, later = np.zeros(n, bool), np.zeros(n, bool)
     for d in range(1, min(longest, n - 1) + 1):
         differ = np.concatenate([[0], np.cumsum(text[:-d] != text[d:])])
-        hit = differ[SPAN : SPAN + n - d] == differ[: n - d]
+        hit = differ[span : span + n - d] == differ[: n - d]
         same[: n - d] |= hit
         same[d:] |= hit
         later[d:] |= hit
     return same, later
 
 
-def runs(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def runs(text: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Anchors, first and last window of each run; and stretches found to repeat inside the text.
 
     Short periods would make an anchor of every byte. There, one window of each kind
     is kept for the index, and the rest are known to repeat.
     """
-    if len(text) < SPAN:
+    if len(text) < span:
         none = np.zeros(0, np.int64)
         return none, none, none, []
-    anchors = window_anchors(text)
+    anchors = window_anchors(text, span)
     places = np.arange(len(anchors))
     known: list[tuple[int, int]] = []
     starts = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
     if len(starts) > 64 and len(starts) * 24 > len(anchors):
-        same, later = periodic_windows(text)
-        known = stretches(np.flatnonzero(same), SPAN)
+        same, later = periodic_windows(text, span)
+        known = stretches(np.flatnonzero(same), span)
         places = places[~later]
         anchors = anchors[~later]
         fresh = np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (places[1:] != places[:-1] + 1)])

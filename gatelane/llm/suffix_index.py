@@ -1,7 +1,7 @@
 """Removal of long repeated byte strings with a logarithmic family of suffix indexes.
 
 A text's suffixes are taken at its anchors (``suffix_core``): places chosen by content, so that
-any two equal strings of ``SPAN`` bytes have an anchor at the same place. A batch of
+any two equal strings of ``span`` bytes have an anchor at the same place. A batch of
 documents becomes one index: its anchored suffixes sorted by the hash of the bytes around the
 anchor, with counts. A new batch is merge-scanned against every existing level; suffixes found
 twice are candidates for a long match. Two levels of equal size merge into the next,
@@ -43,7 +43,7 @@ def _keyed(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return docs.select(one.alias("d1"), two.alias("d2"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
 
 
-def anchors(keyed: DataFrame) -> DataFrame:
+def anchors(keyed: DataFrame, span: int = SPAN) -> DataFrame:
     """``d1, d2, key, run, place, stop``: one row per run of windows with a common anchor.
 
     ``key`` hashes the bytes around the anchor, ``run`` all bytes of the run's windows; ``place``
@@ -51,19 +51,20 @@ def anchors(keyed: DataFrame) -> DataFrame:
     known to repeat inside its document has null hashes, its begin as ``place`` and its end as ``stop``
     (null for the others).
     """
+    context = core.context_of(span)
 
     def run(batches):
         for batch in batches:
             rows, known_of, known = [], [], []
             for i, body in enumerate(batch.column(2)):
                 text = np.frombuffer(body.as_buffer(), np.uint8)
-                at, first, last, repeats = core.runs(text)
+                at, first, last, repeats = core.runs(text, span)
                 known_of += [i] * len(repeats)
                 known += repeats
                 if len(at):
                     hashes = core.Hashes(text)
-                    key = hashes.of(at - core.CONTEXT, at + core.CONTEXT)
-                    whole = hashes.of(first, last + SPAN) ^ core.mix((at - first).astype(np.uint64))
+                    key = hashes.of(at - context, at + context)
+                    whole = hashes.of(first, last + span) ^ core.mix((at - first).astype(np.uint64))
                     rows.append((np.full(len(at), i), key, whole, first << 20 | (at - first) << 10 | (last - first)))
             of, key, whole, place = (np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 4
             take = pa.array(np.concatenate([of, np.array(known_of, np.int64)]))
@@ -115,7 +116,7 @@ class Family:
         discard(*self.levels.values())
 
 
-def _bands(rows: DataFrame) -> DataFrame:
+def _bands(rows: DataFrame, span: int) -> DataFrame:
     """Runs with their documents' bytes to bands.
 
     ``rows(d1, d2, body, runs)`` where ``runs`` lists ``(place, known)``. Out come
@@ -143,14 +144,14 @@ def _bands(rows: DataFrame) -> DataFrame:
                 own = np.repeat(np.arange(len(place)), counts)
                 band = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts) + low[own]
                 base = anchor[own] - band * BAND
-                common = hashes.of(base, base + SPAN - BAND + 1) ^ core.mix((band + 1).astype(np.uint64))
+                common = hashes.of(base, base + span - BAND + 1) ^ core.mix((band + 1).astype(np.uint64))
                 least = np.maximum(base - last[own], 0)
                 most = np.minimum(base - first[own], BAND - 1)
                 out_of.append(np.full(len(own), i))
                 parts.append((common.view(np.int64), base, least, most, known[own]))
                 for b in base.tolist():
                     before.append(data[max(b - BAND + 1, 0) : b])
-                    after.append(data[b + SPAN - BAND + 1 : b + SPAN])
+                    after.append(data[b + span - BAND + 1 : b + span])
             take = pa.array(np.concatenate(out_of) if out_of else np.zeros(0, np.int64))
             columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
@@ -165,13 +166,13 @@ def _bands(rows: DataFrame) -> DataFrame:
     return rows.select("d1", "d2", "body", "runs").mapInArrow(run, schema)
 
 
-def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
-    """``d1, d2, begin, end``: stretches of each document made of ``SPAN``-byte strings that also start elsewhere, as a written table.
+def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", batches: int = BATCHES, span: int = SPAN) -> DataFrame:
+    """``d1, d2, begin, end``: stretches of each document made of ``span``-byte strings that also start elsewhere, as a written table.
 
     Stretches may overlap. Intermediate tables are deleted once what reads them is written.
     """
     keyed = _keyed(docs, ident, text)
-    suffixes = written(anchors(keyed.filter(F.octet_length("body") >= SPAN)), "suffixes")
+    suffixes = written(anchors(keyed.filter(F.octet_length("body") >= span), span), "suffixes")
     indexed = suffixes.filter("key IS NOT NULL").drop("stop")
     family = Family()
     for i in range(batches):
@@ -185,13 +186,13 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", batches:
     often = classes.filter("n > 1").select("key", "run")
     first = F.shiftright("place", 20)
     whole = candidates.join(often, ["key", "run"]).select(
-        "d1", "d2", first.alias("begin"), (first + F.col("place").bitwiseAND(1023) + SPAN).alias("end")
+        "d1", "d2", first.alias("begin"), (first + F.col("place").bitwiseAND(1023) + span).alias("end")
     )
     # 2. Bands of the other runs, and of one copy of each run they may match.
     several = written(classes.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "several")
     open_runs = classes.join(several, "key").select("one.d1", "one.d2", F.struct(F.col("one.place").alias("place"), (F.col("n") > 1).alias("known")).alias("r"))
     per_doc = open_runs.groupBy("d1", "d2").agg(F.collect_list("r").alias("runs"))  # at most the runs of one document
-    bands = written(_bands(keyed.join(per_doc, ["d1", "d2"])), "bands")
+    bands = written(_bands(keyed.join(per_doc, ["d1", "d2"]), span), "bands")
     shared = written(bands.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1").select("band"), "shared")
     # 3. Windows of the bands that are left.
     near = bands.join(shared, "band")
@@ -206,15 +207,15 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", batches:
     )
     discard(bands, shared, several)
     twice = written(windows.groupBy("band", "edge").agg(F.count("*").alias("m")).filter("m > 1").select("band", "edge"), "twice")
-    single = windows.filter("NOT known").join(twice, ["band", "edge"]).select("d1", "d2", "begin", (F.col("begin") + SPAN).alias("end"))
+    single = windows.filter("NOT known").join(twice, ["band", "edge"]).select("d1", "d2", "begin", (F.col("begin") + span).alias("end"))
     found = written(whole.unionByName(single).unionByName(inside).distinct(), "found")
     discard(candidates, classes, windows, twice, inside)
     return found
 
 
-def _with_parts(docs: DataFrame, ident: str, text: str, batches: int) -> DataFrame:
+def _with_parts(docs: DataFrame, ident: str, text: str, batches: int, span: int) -> DataFrame:
     """``docs`` with ``_parts``, the sorted list of repeated stretches of each (null: none)."""
-    found = repeats(docs, ident, text, batches)
+    found = repeats(docs, ident, text, batches, span)
     # At most the stretches of one document in a list; a table of its own, so that the join can split hot keys.
     per_doc = written(
         found.groupBy("d1", "d2").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("_parts")), "parts"
@@ -241,12 +242,12 @@ def _rest(body: bytes, spans: list[list[int]]) -> bytes:
     return b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", batches: int = BATCHES, span: int = SPAN) -> DataFrame:
     """Per row the identifier, ``n_bytes``, ``spans`` (removed runs as begin and end) and ``kept`` (remaining bytes).
 
-    Every byte covered by a string of ``SPAN`` bytes that also starts anywhere else goes, first
+    Every byte covered by a string of ``span`` bytes that also starts anywhere else goes, first
     occurrences too; matches never cross documents. A null text is empty. Texts under
-    ``SPAN`` bytes stay as they are. Rows equal in identifier and text are documents of
+    ``span`` bytes stay as they are. Rows equal in identifier and text are documents of
     their own, hence copies of each other. Other columns are not read.
     """
     kind = docs.schema[ident].dataType.simpleString()
@@ -265,14 +266,14 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", b
                 ["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    rows = _with_parts(docs.select(ident, text), ident, text, batches)
+    rows = _with_parts(docs.select(ident, text), ident, text, batches, span)
     return rows.select(F.col(ident).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"), "_parts").mapInArrow(
         cut, f"doc_id {kind}, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary"
     )
 
 
-def cut_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: str = "n_chars", batches: int = BATCHES) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of the texts, and ``length`` (if there is such a column) counted anew.
+def cut_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: str = "n_chars", batches: int = BATCHES, span: int = SPAN) -> DataFrame:
+    """``docs`` with the bytes of repeated ``span``-byte strings cut out of the texts, and ``length`` (if there is such a column) counted anew.
 
     A character of which only some bytes were cut goes whole. Texts without repeats,
     null ones included, stay as they are.
@@ -295,4 +296,4 @@ def cut_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", length
                 columns[number] = pa.array(counts, columns[number].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _with_parts(inner, own_ident, own_text, batches).select(*names, "_parts").mapInArrow(cut, schema).toDF(*docs.columns)
+    return _with_parts(inner, own_ident, own_text, batches, span).select(*names, "_parts").mapInArrow(cut, schema).toDF(*docs.columns)

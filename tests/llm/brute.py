@@ -46,8 +46,8 @@ def simhash_rows(docs):
     return sorted(((i, f"{f:016x}", lowest.get(place[f])) for i, f in prints), key=repr)
 
 
-def repeats(texts, span=400):
-    """(n_bytes, n_removed, n_spans, kept_sha256) per text."""
+def without_repeats(texts, span=400):
+    """Per text which bytes go."""
     seen = defaultdict(int)
     for t in texts:
         for p in range(len(t) - span + 1):
@@ -58,9 +58,20 @@ def repeats(texts, span=400):
         for p in range(len(t) - span + 1):
             if seen[t[p : p + span]] > 1:
                 gone[p : p + span] = True
-        kept = bytes(b for b, g in zip(t, gone) if not g)
+        out.append(gone)
+    return out
+
+
+def rest(text, gone):
+    return bytes(b for b, g in zip(text, gone) if not g)
+
+
+def repeats(texts, span=400):
+    """(n_bytes, n_removed, n_spans, kept_sha256) per text."""
+    out = []
+    for t, gone in zip(texts, without_repeats(texts, span)):
         starts = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        out.append((len(t), int(gone.sum()), starts, hashlib.sha256(kept).hexdigest()))
+        out.append((len(t), int(gone.sum()), starts, hashlib.sha256(rest(t, gone)).hexdigest()))
     return out
 
 

@@ -422,6 +422,14 @@ def test_suffix_repeats_at_every_edge(sp, seed):
     assert got == sorted(((i, *f) for i, f in enumerate(brute.repeats([v.encode() for v in values]))), key=repr)
 
 
+@pytest.mark.parametrize("span", [80, 240, 1000])
+def test_suffix_repeats_of_other_lengths(sp, span):
+    docs, plain = frame(sp, texts(11))
+    cut = suffix_index.remove_repeats(docs, span=span)
+    got = cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")), F.size("spans"), F.sha2("kept", 256))
+    assert Counter(map(tuple, got.collect())) == Counter((i, *f) for (i, _), f in zip(plain, brute.repeats([(t or "").encode() for _, t in plain], span)))
+
+
 def test_anchors_depend_on_the_window_alone():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 100, 3000).astype(np.uint8)
