@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from gatelane.llm import bpe, mixture, simhash, suffix_index, toxicity
 from gatelane.llm.common import numbered, prepare, table, written
 
+# Passages of 50 words and more: of those that repeat in the given tables one in a thousand is shorter.
+REPEAT_BYTES = 240
+
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, calls toxic go."""
@@ -37,9 +40,9 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that repeat are cut out of the texts; ``n_chars`` follows. Characters cut in two go."""
+    """Strings of ``REPEAT_BYTES`` that repeat are cut out of the texts; ``n_chars`` follows. Characters cut in two go."""
     prepare(spark)
-    return suffix_index.cut_texts(docs)
+    return suffix_index.cut_texts(docs, span=REPEAT_BYTES)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
