@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import cache, selection
 from ..operators.screening import category_decision, pii_decision, with_label
-from ..operators.similarity import NearestCentroid, best_match, centroids, pair_similarity, root_pivots
+from ..operators.similarity import BLOCK_ROWS, NearestCentroid, best_match, centroids, pair_similarity, root_pivots
 from ..settings import (
     CATEGORY_LABELS, PII_LABELS, CacheOptions, default_config, labels_table, models_table, scores_table,
 )
@@ -154,7 +154,7 @@ SELECT round(avg((label = predicted)::INT), 6) AS accuracy, count(*) AS n FROM n
 def best_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most similar other vector of the whole table, first on ties."""
     rows = embeddings(spark, sf_dir).select("vec_id", "embedding")
-    found = best_match(rows, rows, "vec_id", "vec_id", exclude_self=True)
+    found = best_match(rows, rows, "vec_id", "vec_id", exclude_self=True, pivots=root_pivots(rows, 4 * BLOCK_ROWS))
     return found.select("vec_id", "match_id", F.round("score", 6).alias("score"))
 
 
@@ -164,6 +164,17 @@ WITH p AS (SELECT a.vec_id, b.vec_id AS m, round(list_dot_product(a.embedding::D
 SELECT vec_id, max_by(m, (s, -m)) AS match_id, round(max(s), 6) AS score FROM p GROUP BY vec_id"""
 
 
+@query
+def best_match_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by pivot cells without a score floor: the nearest cell first, then those its answer leaves open."""
+    rows = embeddings(spark, sf_dir)
+    found = best_match(rows, rows, "vec_id", "vec_id", exclude_self=True, pivots=root_pivots(rows))
+    return found.select("vec_id", "match_id", F.round("score", 6).alias("score"))
+
+
+SQL["best_match_two_pass"] = SQL["best_match_all"]
+
+
 @query
 def best_match_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most similar other vector at 0.5 or more: identifiers are text, cells are laid out by pivots."""
@@ -208,6 +219,7 @@ def _lookup(spark: SparkSession, sf_dir: str, ttl: int, expire: str = "on_read")
     requests, entries = _cache_sides(spark, sf_dir)
     found = cache.lookup(
         requests, entries, CacheOptions(0.3, 0, ttl), "vec_id", "vec_id", "model", "embedding", "ts", "response_ts", expire,
+        pivots=0 if ttl else root_pivots(entries, 4 * BLOCK_ROWS),
     )
     return found.select("vec_id", "model", "hit", "match_id", F.round("score", 6).alias("score"))
 

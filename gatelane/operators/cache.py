@@ -83,7 +83,7 @@ def _places(requests: DataFrame, entries: DataFrame, request_id: str, entry_id:
     marks = side(entries, entry_id, response_ts, 1).select("_step", "_name", "_at", F.col("_of").alias("_tie")).unionByName(
         side(requests, request_id, request_ts, 0).select("_step", "_name", "_at", F.lit(None).cast(entries.schema[entry_id].dataType).alias("_tie"))
     ).withColumn("_all", F.lit(0))
-    scanned = running_totals(marks, ["_all"], ["_at", F.desc("_step"), "_tie", "_name"], F.col("_step"), F.floor(F.col("_at") / bucket_seconds))
+    scanned = running_totals(marks, ["_all"], ["_at", F.desc("_step"), "_tie", "_name"], F.col("_step"), F.floor(F.col("_at") / bucket_seconds), F.floor("_at"))
     numbered = scanned.select("_step", "_name", F.col("running").alias("_place"))
     give = lambda df, ident, step: df.join(
         numbered.filter(F.col("_step") == step).drop("_step"), F.col(ident).cast("string") == F.col("_name")

@@ -10,9 +10,12 @@ Cells are chosen so that a query meets only entries that can still matter:
 * equality columns (for the cache: the model);
 * time windows, when entries expire: an entry lives in one window, a query looks
   at its own and the previous window;
+* place windows, when only the latest entries count: a query looks at the at most two windows
+  that its latest entries lie in;
 * pivots, when there are many entries and no expiry: each entry belongs to its
-  nearest pivot, and the triangle inequality on angles rules out whole cells.
-  The rule is exact for unit vectors; nothing above the score floor is lost.
+  nearest pivot, and the triangle inequality on angles rules out whole cells. The rule is exact for unit vectors. A
+  score floor gives the bound; without one a first pass answers every query from the cell of its own nearest pivot,
+  and that answer is the bound for a second pass over the other cells.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BLOCK_ROWS = 2048
 MAX_CLASSES = 4096
 SCORE_DIGITS = 9  # equal vectors must tie whatever the shape of their block
@@ -135,6 +140,23 @@ def _query_cells(vector: Column, pivots: np.ndarray, radius: np.ndarray, floor:
     return cells(vector)
 
 
+def _better_cells(pivots: np.ndarray, radius: np.ndarray) -> Column:
+    """Cells other than the query's own that may hold a better entry than ``_low``, the best one known (null: none)."""
+
+    @F.arrow_udf("array<int>")
+    def cells(v: pa.Array, known: pa.Array, own: pa.Array) -> pa.Array:
+        if not len(v):
+            return pa.array([], pa.list_(pa.int32()))
+        angles = np.arccos(np.clip(as_matrix(v) @ pivots.T, -1, 1))
+        low = known.fill_null(-1.0).to_numpy(zero_copy_only=False)
+        reach = radius[None, :] + np.arccos(np.clip(low - 10.0**-SCORE_DIGITS, -1, 1))[:, None] + 1e-9
+        keep = (angles <= reach) & (radius >= 0)[None, :]
+        keep[np.arange(len(keep)), own.to_numpy(zero_copy_only=False)] = False
+        return pa.array([np.nonzero(row)[0].astype(np.int32) for row in keep], pa.list_(pa.int32()))
+
+    return cells("_v", "_low", "_cell")
+
+
 def _blocked(queries: DataFrame, entries: DataFrame, cell: list[str], kernel, out: str, block_rows: int) -> DataFrame:
     """Run ``kernel`` on every pair of blocks that share a cell."""
     def blocks(rows: Column) -> Column:
@@ -191,7 +213,7 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table[name].to_numpy()
 
 
-def _cells(q: DataFrame, e: DataFrame, on: list[str], timed: bool, ttl: float | None, pivots: int, floor: float | None, own_counts: bool):
+def _cells(q: DataFrame, e: DataFrame, on: list[str], timed: bool, ttl: float | None, pivots: int, floor: float | None, own_counts: bool, latest: int = 0, block_rows: int = BLOCK_ROWS):
     """Add cell columns to both sides and name them."""
     cell = [f"_on_{c}" for c in on]
     if timed and ttl:
@@ -199,6 +221,12 @@ def _cells(q: DataFrame, e: DataFrame, on: list[str], timed: bool, ttl: float |
         e = e.withColumn("_w", window)
         q = q.withColumn("_w", F.explode(F.array(window, window - 1)))
         cell.append("_w")
+    if latest:
+        width = max(latest, block_rows)  # so a query's latest entries lie in one window or two
+        at = lambda place: F.floor(place / width)
+        e = e.withColumn("_pw", at(F.col("_p")))
+        q = q.withColumn("_pw", F.explode(F.array_distinct(F.array(at(F.col("_p")), at(F.col("_p") - latest + 1)))))
+        cell.append("_pw")
     if pivots:
         matrix = _pivot_matrix(e, pivots)
         if len(matrix):
@@ -214,9 +242,30 @@ def _cells(q: DataFrame, e: DataFrame, on: list[str], timed: bool, ttl: float |
     return q, e, cell
 
 
-def root_pivots(rows: DataFrame) -> int:
-    """A number of pivots that grows with the square root of the rows, so that cells do too."""
-    return math.isqrt(max(rows.count() - 1, 0)) + 1
+def _two_passes(q: DataFrame, e: DataFrame, cell: list[str], pivots: int, search) -> DataFrame:
+    """What ``search(q, e, cell)`` finds, in two passes over pivot cells."""
+    matrix = _pivot_matrix(e, pivots)
+    if not len(matrix):
+        return search(q, e, cell)
+    entries = _with_entry_cell(e, matrix).drop("_n")
+    radius = np.full(len(matrix), -1.0)
+    for row in entries.groupBy("_cell").agg(F.max("_angle").alias("r")).collect():  # one row per pivot
+        radius[row["_cell"]] = row["r"]
+    near, entries, cell = _with_entry_cell(q, matrix).drop("_n", "_angle"), entries.drop("_angle"), [*cell, "_cell"]
+    first = cut_lineage(search(near, entries, cell), "nearest-cell")
+    known = first.groupBy("_id").agg(F.max("_s").alias("_low"))
+    bounded = near.join(known, "_id", "left")
+    others = bounded.withColumn("_cell", F.explode(_better_cells(matrix, radius))).drop("_low")
+    return first.unionByName(search(others, entries, cell))
+
+
+def root_pivots(rows: DataFrame, least: int = 0) -> int:
+    """A number of pivots that grows with the square root of the rows, so that cells do too.
+
+    0, no pivots, for at most ``least`` rows: few blocks meet faster without cells.
+    """
+    count = rows.count()
+    return math.isqrt(max(count - 1, 0)) + 1 if count > least else 0
 
 
 def best_match(
@@ -245,7 +294,8 @@ def best_match(
     lowest entry id, ``newest`` the latest entry time and then the highest id. Scores tie when
     they agree to nine digits; ``min_score`` is compared with the exact score. Queries
     without any candidate at or above it do not appear. Times are seconds. Pivots need
-    unit vectors and change nothing but the layout (``root_pivots`` fits large tables).
+    unit vectors and change nothing but the layout (``root_pivots`` fits large tables); with them, or
+    without any cell column, counts and bounds are computed by Spark when this is called.
     With ``latest`` a query sees only entries whose ``entry_place`` is among the
     ``latest`` last ones up to its own ``query_place``.
     """
@@ -254,7 +304,8 @@ def best_match(
     q = _prepare(queries, query_id, query_vector, on, query_time, place(query_place))
     e = _prepare(entries, entry_id, entry_vector, on, entry_time, place(entry_place))
     out = f"_id {q.schema['_id'].dataType.simpleString()}, _m {e.schema['_id'].dataType.simpleString()}, _s double, _mt double"
-    q, e, cell = _cells(q, e, on, timed, ttl, pivots, min_score, not exclude_self and not latest)
+    bounded = bool(pivots) and min_score is None
+    q, e, cell = _cells(q, e, on, timed, ttl, 0 if bounded else pivots, min_score, not exclude_self and not latest, latest, block_rows)
     newest = prefer == "newest"
 
     def kernel(qt: pa.Table, et: pa.Table, exact: np.ndarray) -> pa.Table:
@@ -280,7 +331,8 @@ def best_match(
         chosen = pa.array(best[keep])
         return pa.table({"_id": qt["_id"].take(pa.array(keep)), "_m": et["_id"].take(chosen), "_s": top[keep], "_mt": e_t[best[keep]]})
 
-    found = _blocked(q, e, cell, kernel, out, block_rows)
+    search = lambda q, e, cell: _blocked(q, e, cell, kernel, out, block_rows)
+    found = _two_passes(q, e, cell, pivots, search) if bounded else search(q, e, cell)
     pair = F.struct("_m", "_s")
     best = F.max_by(pair, F.struct("_s", "_mt", "_m")) if newest else F.min_by(pair, F.struct(-F.col("_s"), F.col("_m")))
     return found.groupBy("_id").agg(best.alias("_b")).select(

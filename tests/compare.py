@@ -58,7 +58,7 @@ def main(argv):
     queries, sql = all_queries(), all_sql()
     names = argv[1:] or list(queries)
     spark = build_session("local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
     for name in names:
