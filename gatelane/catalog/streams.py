@@ -10,7 +10,7 @@ from ..plans.routing import route_requests
 from ..session import configure
 from ..settings import CacheOptions
 from ..streaming import metrics as SM
-from ..streaming import runs, state
+from ..streaming import partials, runs, state
 from .common import centroid_head, fixture_config, message, request_body, requested_model, table
 from .metering import SQL as METER_SQL
 from .metering import SQL_BOUNDS
@@ -88,8 +88,9 @@ SQL["streaming_category_totals"] = "SELECT source AS category, count(*) AS n FRO
 @query
 def streaming_token_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token rate over sliding five-minute windows from streamed one-minute panes."""
-    panes = SM.pane_sums(_events_in_time(spark, sf_dir), "ts", ["event_type"], F.col("value"), 60, "1 hour")
-    done = runs.collect_updates(panes, ["pane", "event_type"], "streaming-token-rate")
+    panes = partials.sum_panes("ts", ["event_type"], F.col("value"), 60)
+    done = partials.collect_partials(_event_stream(spark, sf_dir), panes, "streaming-token-rate")
+    done = partials.merge_sums(done, ["pane", "event_type"], "value")
     rate = M.pane_rate(done, "pane", ["event_type"], "value", 300, 60)
     return rate.select("window_start", "event_type", F.round("rate", 6).alias("rate"))
 
@@ -100,11 +101,11 @@ SQL["streaming_token_rate"] = METER_SQL["token_rate_5m"]
 @query
 def streaming_reroute_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reroute rate over sliding windows from streamed panes."""
-    ev = _events_in_time(spark, sf_dir)
+    ev = _event_stream(spark, sf_dir)
     target = F.when(F.col("user_id") % 2 == 0, F.col("event_type")).otherwise("view")
     changed = ev.withColumn("target", target).filter(F.col("event_type") != F.col("target"))
-    panes = SM.pane_sums(changed, "ts", ["event_type", "target"], F.lit(1), 60, "1 hour")
-    done = runs.collect_updates(panes, ["pane", "event_type", "target"], "streaming-reroutes")
+    done = partials.collect_partials(changed, partials.sum_panes("ts", ["event_type", "target"], F.lit(1), 60), "streaming-reroutes")
+    done = partials.merge_sums(done, ["pane", "event_type", "target"], "value")
     rate = M.pane_rate(done, "pane", ["event_type", "target"], "value", 300, 60)
     return rate.select("window_start", "event_type", "target", F.round("rate", 6).alias("rate"))
 
@@ -115,8 +116,7 @@ SQL["streaming_reroute_rate"] = METER_SQL["reroute_rate_5m"]
 @query
 def streaming_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     """95th percentile per model and day from streamed bucket panes."""
-    panes = SM.pane_buckets(_events_in_time(spark, sf_dir), "ts", ["event_type"], F.col("value") / 60, 3600, "1 day")
-    done = runs.collect_updates(panes, ["pane", "event_type", "bucket"], "streaming-p95")
+    done = partials.collect_partials(_event_stream(spark, sf_dir), partials.bucket_panes("ts", ["event_type"], F.col("value") / 60, 3600), "streaming-p95")
     day = F.to_date(F.timestamp_seconds("pane")).cast("string")
     per_day = done.groupBy("event_type", day.alias("day"), F.col("bucket").alias("le_idx")).agg(F.sum("n").alias("n"))
     every = F.array(*[F.sum(F.when(F.col("le_idx") <= i, F.col("n")).otherwise(0)) for i in range(len(M.BUCKETS) + 1)])
@@ -212,8 +212,8 @@ FROM embeddings v LEFT JOIN last l ON l.id = v.vec_id LEFT JOIN hits h ON h.q =
 @query
 def streaming_p95_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """95th percentile per model over sliding five-minute windows, one window per minute, from streamed bucket panes."""
-    panes = SM.pane_buckets(_events_in_time(spark, sf_dir), "ts", ["event_type"], F.col("value") / 60, 60, "1 day")
-    done = runs.collect_updates(panes, ["pane", "event_type", "bucket"], "streaming-p95-5m")
+    done = partials.collect_partials(_event_stream(spark, sf_dir), partials.bucket_panes("ts", ["event_type"], F.col("value") / 60, 60), "streaming-p95-5m")
+    done = partials.merge_sums(done, ["pane", "event_type", "bucket"], "n")
     rates = M.pane_rate(done, "pane", ["event_type", "bucket"], "n", 300, 60)
     counts = rates.select("window_start", "event_type", F.col("bucket").alias("le_idx"), F.round(F.col("rate") * 300).cast("bigint").alias("n"))
     every = F.array(*[F.sum(F.when(F.col("le_idx") <= i, F.col("n")).otherwise(0)) for i in range(len(M.BUCKETS) + 1)])
@@ -230,28 +230,59 @@ f AS (SELECT *, row_number() OVER (PARTITION BY event_type, window_start ORDER B
 SELECT window_start, event_type, round(CASE WHEN i = {len(M.BUCKETS)} THEN {M.BUCKETS[-1]} ELSE px + (x - px) * (0.95::DOUBLE * t - pc) / (c - pc) END, 6) AS p95 FROM f WHERE rn = 1"""
 
 
+@query
+def streaming_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and 95th percentile per model and day from hourly sketches, finer than the latency buckets, and whether their ranks are right.
+
+    A quantile's rank among the day's values may be off by 3 %.
+    """
+    done = partials.collect_partials(_event_stream(spark, sf_dir), partials.sketch_panes("ts", ["event_type"], F.col("value"), 3600), "streaming-quantiles")
+    daily = partials.merge_sketches(done, ["event_type", F.to_date(F.timestamp_seconds("pane")).cast("string").alias("day")])
+    shares = {"p50": 0.5, "p95": 0.95}
+    asked = daily.select("event_type", "day", "n", *[partials.quantile("sketch", q).alias(name) for name, q in shares.items()])
+    values = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").cast("string").alias("day"), "value")
+    upto = values.join(asked, ["event_type", "day"]).groupBy("event_type", "day", "n").agg(
+        *[F.avg((F.col("value") <= F.col(p)).cast("double")).alias(f"{p}_upto") for p in shares],
+        *[F.avg((F.col("value") < F.col(p)).cast("double")).alias(f"{p}_below") for p in shares],
+    )
+    near = [((F.col(f"{p}_below") - 0.03 <= q) & (F.col(f"{p}_upto") + 0.03 >= q)).alias(f"{p}_near") for p, q in shares.items()]
+    return upto.select("event_type", "day", "n", *near)
+
+
+SQL["streaming_quantiles"] = """
+SELECT event_type, ts::DATE::VARCHAR AS day, count(value) AS n, true AS p50_near, true AS p95_near FROM events WHERE value IS NOT NULL GROUP BY ALL"""
+
+
+@query
+def streaming_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per model of a stream that keeps what comes more than an hour behind the watermark apart: none is lost."""
+    in_time_rows, late = partials.collect_split(
+        _event_stream(spark, sf_dir), "ts", 3600, partials.sum_panes("ts", ["event_type"], F.lit(1), 60), "streaming-late"
+    )
+    both = in_time_rows.select("event_type", F.col("value").alias("n")).unionByName(late.select("event_type", F.lit(1).cast("bigint").alias("n")))
+    return both.groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+SQL["streaming_late_rows"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
+
+
 @query
 def streaming_unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All user turns with their answer, if there is one; those without are told once both watermarks are past their wait."""
-    turns = _turns_in_time(spark, sf_dir)
-    at = _turn_time()
-    requests = turns.filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "conv_id", "turn", at.alias("request_ts"))
-    responses = turns.filter("role = 'assistant' AND conv_id % 4 != 0").select(
+    """All user turns with their answer, if there is one: told once both watermarks are past their wait, the last ones when the stream ends."""
+    turns, at = _turns_in_time(spark, sf_dir), _turn_time()
+    asked = lambda t: t.filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "conv_id", "turn", at.alias("request_ts"))
+    answered = lambda t: t.filter("role = 'assistant' AND conv_id % 4 != 0").select(
         F.concat_ws("-", "conv_id", F.col("turn") - 1).alias("request_id"), at.alias("response_ts")
     )
-    paired = SM.pair_stream(requests, responses, "request_id", "request_ts", "response_ts", "1 minute", "1 minute")
-    done = runs.collect_append(paired, "streaming-unanswered")
-    return done.select("conv_id", "turn", "no_response")
-
-
-# A row waits a minute for its answer; the watermark is a minute behind the slower of both sides.
-SQL["streaming_unanswered"] = f"""
-WITH t AS (SELECT *, {CREATED} + conv_id * 60 + turn AS sec FROM conversations),
-q AS (SELECT * FROM t WHERE role = 'user'), r AS (SELECT * FROM t WHERE role = 'assistant' AND conv_id % 4 <> 0),
-mark AS (SELECT least((SELECT max(sec) FROM q), (SELECT max(sec) FROM r)) - 60 AS mark)
-SELECT q.conv_id, q.turn, r.conv_id IS NULL AS no_response
-FROM q CROSS JOIN mark LEFT JOIN r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1
-WHERE r.conv_id IS NOT NULL OR q.sec + 60 < mark.mark"""
+    paired = SM.pair_stream(asked(turns), answered(turns), "request_id", "request_ts", "response_ts", "1 minute", "1 minute")
+    told = runs.collect_append(paired, "streaming-unanswered")
+    rest = SM.withheld(asked(table(spark, sf_dir, "conversations")), answered(table(spark, sf_dir, "conversations")), told, "request_id", "request_ts", "response_ts", "1 minute")
+    return told.select("conv_id", "turn", "no_response").unionByName(rest.select("conv_id", "turn", "no_response"))
+
+
+SQL["streaming_unanswered"] = """
+WITH q AS (SELECT * FROM conversations WHERE role = 'user'), r AS (SELECT * FROM conversations WHERE role = 'assistant' AND conv_id % 4 <> 0)
+SELECT q.conv_id, q.turn, r.conv_id IS NULL AS no_response FROM q LEFT JOIN r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1"""
 
 
 @query

@@ -68,4 +68,19 @@ def pair_stream(
     return joined.withColumn("no_response", F.col("_response_id").isNull()).drop("_response_id")
 
 
-__all__ = ["pair_stream", "pane_buckets", "pane_sums", "running_counters", "running_counts", "seconds"]
+def withheld(
+    requests: DataFrame, responses: DataFrame, told: DataFrame, request_id: str, request_ts: str, response_ts: str, within: str = "10 minutes",
+) -> DataFrame:
+    """Closing step of ``pair_stream``: the requests that are not in ``told``, as tables, once no more rows come.
+
+    A left outer stream join keeps a request without response until both watermarks have passed; at the end of the
+    stream they stop short of the last ones. Repeated requests with an id that was told are not told again.
+    """
+    open_ones = requests.filter(F.coalesce(F.col(request_id), F.lit("")) != "").join(told.select(request_id).distinct(), request_id, "left_anti").alias("q")
+    answers = responses.withColumnRenamed(request_id, "_response_id").alias("r")
+    in_time = (F.col(f"r.{response_ts}") >= F.col(f"q.{request_ts}")) & (F.col(f"r.{response_ts}") <= F.col(f"q.{request_ts}") + F.expr(f"interval {within}"))
+    joined = open_ones.join(answers, (F.col(f"q.{request_id}") == F.col("r._response_id")) & in_time, "left")
+    return joined.withColumn("no_response", F.col("_response_id").isNull()).drop("_response_id")
+
+
+__all__ = ["pair_stream", "pane_buckets", "pane_sums", "running_counters", "running_counts", "seconds", "withheld"]
