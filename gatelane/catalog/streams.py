@@ -287,14 +287,14 @@ SELECT q.conv_id, q.turn, r.conv_id IS NULL AS no_response FROM q LEFT JOIN r ON
 
 @query
 def streaming_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In-flight load as keyed state."""
-    ev = _events_in_time(_with_rocksdb(spark), sf_dir)
+    """In-flight load of batches that follow each other, each scanned in parts."""
+    ev = _events_in_time(spark, sf_dir)
     events = ev.select(
         F.concat(F.lit("replica-"), F.col("user_id") % 2).alias("replica"), F.concat(F.lit("model-"), F.col("user_id") % 3).alias("model"),
         "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"),
         F.when(F.col("event_type").isin("purchase", "signup"), 1).otherwise(-1).alias("step"),
     )
-    return runs.collect_append(state.load_stream(events), "streaming-load")
+    return state.collect_load(events, "streaming-load")
 
 
 SQL["streaming_load"] = """

@@ -57,25 +57,27 @@ def quantile(sketch: str | Column, share: float) -> Column:
     return F.kll_sketch_get_quantile_double(sketch, F.lit(share))
 
 
-def _save(rows: DataFrame, path: str, batch_id: int) -> None:
+def save_part(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write the partition of a batch, over an earlier try."""
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+def read_log(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """All partitions of a batch log; none is an empty table."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
     return spark.read.schema(T.StructType([*like.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
 
 
-def _start(stream: DataFrame, save, checkpoint: str, available_now: bool) -> StreamingQuery:
+def start(stream: DataFrame, save, checkpoint: str, available_now: bool) -> StreamingQuery:
+    """Run ``save(batch, batch_id)`` on every micro-batch."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def log_partials(stream: DataFrame, reduce: Reduce, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Write what ``reduce`` makes of each batch as a partition of ``path``."""
-    return _start(stream, lambda batch, batch_id: _save(reduce(batch), path, batch_id), checkpoint, available_now)
+    return start(stream, lambda batch, batch_id: save_part(reduce(batch), path, batch_id), checkpoint, available_now)
 
 
 def log_split(stream: DataFrame, ts: str, delay: float, reduce: Reduce, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -88,21 +90,21 @@ def log_split(stream: DataFrame, ts: str, delay: float, reduce: Reduce, path: st
         spark = batch.sparkSession
         at = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
         highest = batch.agg(F.max(at).alias("high"))
-        earlier = _read(spark, f"{path}/marks", highest).filter(F.col("batch_id") < batch_id).agg(F.max("high")).first()[0]
+        earlier = read_log(spark, f"{path}/marks", highest).filter(F.col("batch_id") < batch_id).agg(F.max("high")).first()[0]
         behind = F.lit(False) if earlier is None else F.coalesce(at < earlier - delay, F.lit(False))
         late = batch.filter(behind).withColumn("lateness", F.lit(0.0 if earlier is None else earlier - delay) - at)
-        _save(reduce(batch.filter(~behind)), f"{path}/panes", batch_id)
-        _save(late, f"{path}/late", batch_id)
-        _save(highest, f"{path}/marks", batch_id)
+        save_part(reduce(batch.filter(~behind)), f"{path}/panes", batch_id)
+        save_part(late, f"{path}/late", batch_id)
+        save_part(highest, f"{path}/marks", batch_id)
 
-    return _start(stream, save, checkpoint, available_now)
+    return start(stream, save, checkpoint, available_now)
 
 
 def collect_partials(stream: DataFrame, reduce: Reduce, name: str) -> DataFrame:
     """Run over what is available now; all partial rows, one or more per pane and key."""
     spark, path = stream.sparkSession, scratch_path(stream.sparkSession, name)
     log_partials(stream, reduce, path, path + "-checkpoint").awaitTermination()
-    return _read(spark, path, reduce(spark.createDataFrame([], stream.schema))).drop("batch_id")
+    return read_log(spark, path, reduce(spark.createDataFrame([], stream.schema))).drop("batch_id")
 
 
 def collect_split(stream: DataFrame, ts: str, delay: float, reduce: Reduce, name: str) -> tuple[DataFrame, DataFrame]:
@@ -111,4 +113,4 @@ def collect_split(stream: DataFrame, ts: str, delay: float, reduce: Reduce, name
     log_split(stream, ts, delay, reduce, path, path + "-checkpoint").awaitTermination()
     none = spark.createDataFrame([], stream.schema)
     late = none.withColumn("lateness", F.lit(0.0))
-    return _read(spark, f"{path}/panes", reduce(none)).drop("batch_id"), _read(spark, f"{path}/late", late).drop("batch_id")
+    return read_log(spark, f"{path}/panes", reduce(none)).drop("batch_id"), read_log(spark, f"{path}/late", late).drop("batch_id")
