@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..operators import evaluation as ev
+from ..plans.evaluation import evaluate
 from ..session import spread
 from .common import sql_list, sql_text, table
 
@@ -42,6 +43,15 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.withColumn("display_name", texts.display_name(F.col("model"), F.col("approach")))
 
 
+def evaluation_job_of(spark: SparkSession, sf_dir: str):
+    """The evaluation plan on the same replies: questions with their answers, and a table of replies."""
+    given = replies(spark, sf_dir)
+    items = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("question_id"), F.get(F.array(*[F.lit(c) for c in texts.LETTERS]), (F.col("item_id") % 10).cast("int")).alias("answer")
+    )
+    return evaluate(items, given.withColumnRenamed("model_response", "response").drop("correct_answer"))
+
+
 def accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.category_accuracy(results(spark, sf_dir), "display_name")
 
@@ -158,6 +168,23 @@ SELECT display_name, category, round(accuracy, 6) AS accuracy FROM acc
 UNION ALL SELECT display_name, 'Overall', round(avg(accuracy), 6) FROM acc GROUP BY display_name"""
 
 
+@query
+def evaluation_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation plan: accuracies per model, approach and category, with the summary beside them."""
+    done = evaluation_job_of(spark, sf_dir)
+    summary = done.summary.select("model", "approach", "total_questions", F.round("overall_accuracy", 6).alias("overall_accuracy"))
+    return done.accuracies.join(summary, ["model", "approach"]).select(
+        "model", "approach", "display_name", "category", F.round("accuracy", 6).alias("accuracy"), "total_questions", "overall_accuracy"
+    )
+
+
+SQL["evaluation_job"] = f"""WITH {SQL_RESULTS},
+per AS (SELECT model, approach, category, avg(is_correct::INT) AS accuracy FROM results WHERE success GROUP BY ALL),
+s AS (SELECT model, approach, count(*) AS total_questions, coalesce(avg(is_correct::INT) FILTER (success), 0) AS overall FROM results GROUP BY ALL)
+SELECT model, approach, model || ':' || approach AS display_name, category, round(accuracy, 6) AS accuracy, total_questions, round(overall, 6) AS overall_accuracy
+FROM per JOIN s USING (model, approach)"""
+
+
 @query
 def accuracy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model by category matrix."""

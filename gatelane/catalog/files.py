@@ -9,16 +9,19 @@ from ..functions.rules import pii_types
 from ..operators import corpus, reports
 from ..operators import evaluation as ev
 from ..operators.similarity import centroids
+from ..plans.evaluation import accuracy_matrix as matrix_of_files
 from ..plans.evaluation import build_routing_table
+from ..plans.evaluation import save as save_evaluation
 from ..plans.metering import gateway_metrics
 from ..plans.routing import route_requests
 from ..session import scratch_path, spread
+from ..settings import load_config, scores_table
 from ..sources import readers, sinks
 from .common import centroid_head, conversation_requests, document_requests, fixture_config, request_body, table
 from .corpus import SQL as CORPUS_SQL
 from .corpus import SQL_REPORT, _labelled, _predictions
 from .evaluation import SQL as EVAL_SQL
-from .evaluation import SQL_RESULTS, results
+from .evaluation import SQL_RESULTS, accuracies, evaluation_job_of, results
 from .metering import SQL as METER_SQL
 from .metering import _paired
 from .routing import CREATED, SQL_REQUESTS, SQL_ROUTED, route_documents, sql_pii_list
@@ -229,19 +232,73 @@ SELECT r.doc_id, r.served_model AS model, md5(d.text) AS content_md5 FROM routed
 
 @query
 def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric snapshot written and read back; labels as text."""
+    """Metric snapshot with all its series written and read back; labels as text."""
     decided = route_documents(spark, sf_dir).withColumn("denied", F.filter(F.split("denied", " "), lambda t: t != ""))
     path = scratch_path(spark, "metrics")
     sinks.save_metrics(gateway_metrics(decided, _paired(spark, sf_dir), (F.col("doc_id") % 3000) / 1000), path)
-    back = spark.read.parquet(path).filter(~F.col("name").endswith("_bucket"))
     values = F.array_join(F.map_values("labels"), ">")
-    return back.select("name", values.alias("label_values"), F.round("value", 6).alias("value"))
+    return spark.read.parquet(path).select("name", values.alias("label_values"), F.round("value", 6).alias("value"))
 
 
 SQL["metrics_sink"] = f"""WITH s AS ({METER_SQL["gateway_counter_snapshot"]})
-SELECT name, coalesce(label_1, '') || coalesce('>' || label_2, '') AS label_values, value FROM s WHERE name NOT LIKE '%\\_bucket' ESCAPE '\\'"""
+SELECT name, coalesce(label_1, '') || coalesce('>' || label_2, '') AS label_values, value FROM s"""
 
 
+@query
+def summary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of an evaluation written as files and read back with the name of their folder."""
+    path = scratch_path(spark, "evaluation")
+    save_evaluation(evaluation_job_of(spark, sf_dir), path)
+    back = spark.read.json(f"{path}/summary")
+    return back.select("dir", "approach", "total_questions", "successful_queries", "failed_queries", F.round("overall_accuracy", 6).alias("overall_accuracy"))
+
+
+SQL["summary_files"] = f"""WITH {SQL_RESULTS}
+SELECT replace(model, '/', '_') || '_' || approach AS dir, CASE approach WHEN 'cot' THEN 'Chain-of-Thought' ELSE 'Direct' END AS approach, count(*) AS total_questions,
+  count(*) FILTER (success) AS successful_queries, count(*) FILTER (NOT success) AS failed_queries,
+  round(coalesce(avg(is_correct::INT) FILTER (success), 0), 6) AS overall_accuracy FROM results GROUP BY ALL"""
+
+
+@query
+def matrix_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model by category matrix from stored analyses, with short display names."""
+    wide = matrix_of_files(spark, _saved_analyses(spark, sf_dir), pattern="*.json")
+    return wide.select("display_name", *[F.round(c, 6).alias(c) for c in wide.columns[1:]])
+
+
+SQL["matrix_from_files"] = EVAL_SQL["accuracy_matrix"].replace("SELECT display_name, ", "SELECT replace(regexp_replace(display_name, ':direct$', ''), '/', '_') AS display_name, ", 1).replace("GROUP BY display_name", "GROUP BY ALL")
+
+
+@query
+def config_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Router configuration written to and read from the shared store: its routing table."""
+    path = scratch_path(spark, "config")
+    sinks.save_config(ev.ranked_scores(accuracies(spark, sf_dir)), "phi4", path)
+    found = scores_table(spark, load_config(path, spark))
+    return found.select("category", "pos", "model", F.round("score", 6).alias("score"))
+
+
+SQL["config_scan"] = EVAL_SQL["ranked_scores"]
+
+
+@query
+def token_dump_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark items as a token dump, one file with its header, read back in file order."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("at", "word")).filter("trim(word) != ''")
+    line = F.concat_ws("\t", F.length("word"), F.regexp_replace("word", "[^A-Za-z]", "?"))
+    head = spark.range(readers.TOKEN_HEADER_LINES).select(F.lit(-1).cast("bigint").alias("item_id"), F.col("id").cast("int").alias("at"), F.lit("#").alias("value"))
+    path = scratch_path(spark, "tokens")
+    lines = head.unionByName(words.select("item_id", "at", line.alias("value")))
+    # The format is one file.
+    lines.coalesce(1).sortWithinPartitions("item_id", "at").select("value").write.text(path)
+    return readers.read_token_dump(spark, path)
+
+
+SQL["token_dump_scan"] = """
+WITH w AS (SELECT item_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS spot FROM benchmark),
+k AS (SELECT * FROM w WHERE trim(word) <> '')
+SELECT row_number() OVER (ORDER BY item_id, spot) - 1 AS pos, length(word)::INT AS token_id, regexp_replace(word, '[^A-Za-z]', '?', 'g') AS token FROM k"""
+
 
 @query
 def question_files(spark: SparkSession, sf_dir: str) -> DataFrame:

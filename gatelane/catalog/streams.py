@@ -194,6 +194,29 @@ SELECT 'replica-' || (v.label % 2) AS replica, 'model-' || (v.label % 3) AS mode
 FROM embeddings v LEFT JOIN hits h ON h.q = v.vec_id"""
 
 
+@query
+def streaming_cache_preload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache that starts with every fourth vector as a complete entry; the others ask, and no answer comes meanwhile."""
+    rows = table(_with_rocksdb(spark), sf_dir, "embeddings")
+    shape = lambda df: df.select(
+        F.lit("replica-0").alias("replica"), F.concat(F.lit("model-"), F.col("label")).alias("model"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("request_id"),
+        F.col("vec_id").cast("double").alias("ts"), F.concat(F.lit("prompt "), F.col("vec_id")).alias("query"), F.col("embedding").cast("array<double>").alias("vector"),
+        F.concat(F.lit("answer "), F.col("vec_id")).alias("body"),
+    )
+    asking = shape(stream(spark, sf_dir, "embeddings").filter("vec_id % 4 != 0")).withColumn("kind", F.lit("request"))
+    preload = shape(rows.filter("vec_id % 4 = 0"))
+    done = runs.collect_append(state.cache_stream(asking, CacheOptions(0.2, 0, 0), preload), "streaming-preload")
+    return done.select("model", "request_id", "hit", "match_id", F.round("score", 6).alias("score"), "body")
+
+
+SQL["streaming_cache_preload"] = """
+WITH p AS (SELECT q.vec_id AS q, e.vec_id AS e, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS s
+  FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id % 4 <> 0 AND e.vec_id % 4 = 0),
+h AS (SELECT q, max_by(e, (s, e)) AS m, max(s) AS s FROM p WHERE s >= 0.2 GROUP BY q)
+SELECT 'model-' || label AS model, lpad(vec_id::VARCHAR, 12, '0') AS request_id, m IS NOT NULL AS hit, lpad(m::VARCHAR, 12, '0') AS match_id, round(s, 6) AS score, 'answer ' || m AS body
+FROM embeddings LEFT JOIN h ON q = vec_id WHERE vec_id % 4 <> 0"""
+
+
 @query
 def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One replica's log through the keyed cache: what is inserted, what hits which entry."""

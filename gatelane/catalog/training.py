@@ -69,6 +69,20 @@ def text_embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("doc_id", F.round(norm, 6).alias("norm"), F.size(F.filter("v", lambda x: x != 0)).alias("n_non_zero"))
 
 
+@query
+def text_embedding_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of unit text vectors: length 1 or, without a word, 0, and no more entries than different words."""
+    norms = text_embedding_norms(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("w"))
+    both = norms.join(docs, "doc_id")
+    return both.select(
+        "doc_id", F.coalesce(F.abs(F.col("norm") - 1) < 1e-6, F.lit(False)).alias("unit"), (F.col("n_non_zero") <= F.size("w")).alias("few"),
+    )
+
+
+SQL["text_embedding_facts"] = "SELECT doc_id, regexp_matches(text, '\\S') AS unit, true AS few FROM documents"
+
+
 @query
 def dual_task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category and word-flag model trained on generated sentences, scored on a held-out part."""

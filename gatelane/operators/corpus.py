@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import KNOWN_NAMES, seeded_key, seeded_pick, word_pii_labels
 from ..settings import NO_PII
-from .prefix import hash_cuts
+from .prefix import hash_cuts, sorted_positions, sorted_positions
 
 # --- Fixed values: categories, their sentences, and insertable personal data ---
 TEMPLATES = {
@@ -106,12 +106,11 @@ def drop_rare(df: DataFrame, label: str, min_rows: int = MIN_CLASS_ROWS) -> Data
 
 
 def label_index(df: DataFrame, label: str) -> DataFrame:
-    """Sorted distinct labels with a dense index from zero.
+    """Sorted distinct labels with a dense index from zero; a missing label comes first.
 
-    The ranked rows are the vocabulary itself, one per class.
+    The vocabulary is ranked in ranges, so it may be large.
     """
-    vocabulary = df.select(label).distinct()
-    return vocabulary.select(label, (F.row_number().over(Window.orderBy(label)) - 1).cast("int").alias("label_id"))
+    return sorted_positions(df.select(label).distinct(), label).select(label, F.col("position").cast("int").alias("label_id"))
 
 
 def split(

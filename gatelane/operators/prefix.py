@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import seeded_key
+from ..session import cut_lineage
 
 
 CELL_ROWS = 20_000  # rows of one key and bucket from which the finer bucket is used
@@ -81,6 +82,24 @@ def running_totals(
     )
 
 
+def sorted_positions(rows: DataFrame, *order: str) -> DataFrame:
+    """Add ``position``, the 0-based place of each row in the whole order, without a window over all rows.
+
+    Rows are cut into ranges of the order, as many as the session has shuffle partitions, and written with the number of their
+    range; the sizes of the ranges (one number each) give the place every range begins at, and rows are numbered inside
+    theirs. Rows equal in ``order`` get neighbouring places in any order. Spark computes the ranges when this is called.
+    """
+    placed = cut_lineage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dict(map(tuple, placed.groupBy("_range").agg(F.count("*")).collect()))
+    starts, before = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        starts.append(before)
+        before += sizes.get(part, 0)
+    begin = F.get(F.array(*[F.lit(x).cast("bigint") for x in starts]), F.col("_range")) if starts else F.lit(0).cast("bigint")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.withColumn("position", begin + inside - 1).drop("_range")
+
+
 def hash_cuts(df: DataFrame, label: str, ident: str, percents: list[float], seed: int, digits: int = 3, counts_given: bool = False) -> DataFrame:
     """Per label, the seeded key of the last row at or below each percentage.
 

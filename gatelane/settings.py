@@ -116,9 +116,19 @@ def default_config() -> RouterConfig:
     )
 
 
-def load_config(path: str) -> RouterConfig:
-    """Read a router YAML file (a few kilobytes, read once on the driver)."""
-    raw = yaml.safe_load(Path(path).read_text()) or {}
+def load_config(path: str, spark: SparkSession | None = None) -> RouterConfig:
+    """Read a router YAML file (a few kilobytes, read once on the driver).
+
+    With ``spark`` the path is a file, or a folder with one file, in any store that Spark reads.
+    """
+    if spark is None:
+        text = Path(path).read_text()
+    else:
+        files = spark.read.text(path, wholetext=True).take(2)
+        if len(files) > 1:
+            raise ValueError(f"{path} holds several files")
+        text = files[0]["value"] if files else ""
+    raw = yaml.safe_load(text) or {}
     cache, guard = raw.get("semantic_cache") or {}, raw.get("prompt_guard") or {}
     gpu, heads = raw.get("gpu_config") or {}, raw.get("classifier") or {}
     base_threshold = (raw.get("bert_model") or {}).get("threshold", 0.0)

@@ -38,12 +38,20 @@ def read_access_log(spark: SparkSession, path: str, stream: bool = False) -> Dat
     return reader.schema(ACCESS_LOG_SCHEMA).json(path)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
 def read_label_map(spark: SparkSession, path: str, head: str) -> DataFrame:
-    """``(head, idx, label)`` from a label-map file; its two directions must agree."""
+    """``(head, idx, label)`` from a label-map file or a folder of them; the two directions must agree.
+
+    A single file may be spread over lines; files in a folder hold one object per line. The comparison runs when this is called.
+    """
     names = ("idx_to_label", "idx_to_category", "idx_to_pii", "idx_to_type")
     backward = [n.replace("idx_to_", "") + "_to_idx" for n in names]
     schema = ", ".join([f"{n} map<string,string>" for n in names] + [f"{n} map<string,int>" for n in backward])
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = spark.read.schema(schema).option("multiLine", not is_folder(spark, path)).json(path)
     there = raw.select(F.explode(F.coalesce(*names)).alias("idx", "label")).select(F.col("idx").cast("int"), "label")
     back = raw.select(F.explode(F.coalesce(*backward)).alias("label", "idx")).select("idx", "label")
     if not there.exceptAll(back).isEmpty() or not back.exceptAll(there).isEmpty():

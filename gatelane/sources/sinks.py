@@ -77,13 +77,13 @@ def save_routing_table(ranked: DataFrame, path: str) -> None:
     ranked.write.mode("overwrite").parquet(path)
 
 
-def export_config(ranked: DataFrame, default_model: str, path: str, config: RouterConfig | None = None, similarity: float = 0.8) -> dict:
-    """Router YAML from a ranked routing table; the gateway's loader reads it back."""
+def config_body(ranked: DataFrame, default_model: str, config: RouterConfig | None = None, similarity: float = 0.8) -> dict:
+    """Content of the router's configuration file from a ranked routing table."""
     config = config or RouterConfig()
     categories: dict[str, list] = {}
     for row in sorted(few_rows(ranked), key=lambda r: (r["category"], r["pos"])):
         categories.setdefault(row["category"], []).append({"model": row["model"], "score": float(row["score"])})
-    body = {
+    return {
         "semantic_cache": {
             "enabled": True, "similarity_threshold": similarity, "max_entries": CACHE_ENTRIES, "ttl_seconds": CACHE_TTL,
         },
@@ -94,22 +94,37 @@ def export_config(ranked: DataFrame, default_model: str, path: str, config: Rout
         "categories": [{"name": name, "model_scores": scores} for name, scores in categories.items()],
         "default_model": default_model,
     }
+
+
+def export_config(ranked: DataFrame, default_model: str, path: str, config: RouterConfig | None = None, similarity: float = 0.8) -> dict:
+    """Router YAML on the driver; the gateway's loader reads it back."""
+    body = config_body(ranked, default_model, config, similarity)
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(yaml.safe_dump(body, sort_keys=False))
     return body
 
 
-def label_maps(index: DataFrame, label: str = "label", idx: str = "label_id") -> DataFrame:
-    """Both directions of a label index as one row of maps with text keys."""
+def save_config(ranked: DataFrame, default_model: str, path: str, config: RouterConfig | None = None, similarity: float = 0.8) -> None:
+    """The same in a folder of any store that Spark writes to, as one file."""
+    text = yaml.safe_dump(config_body(ranked, default_model, config, similarity), sort_keys=False)
+    ranked.sparkSession.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+MAP_LABELS = 10_000  # labels in one map
+
+
+def label_maps(index: DataFrame, label: str = "label", idx: str = "label_id", most: int = MAP_LABELS) -> DataFrame:
+    """Both directions of a label index as maps with text keys: one row, or one for each ``most`` indices of a large vocabulary."""
     key = F.col(idx).cast("string")
-    return index.agg(
+    return index.groupBy(F.floor(F.col(idx) / most).alias("_part")).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(label), F.col(idx))))).alias("label_to_idx"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, F.col(label))))).alias("idx_to_label"),
-    )
+    ).drop("_part")
 
 
-def save_label_maps(index: DataFrame, path: str, label: str = "label", idx: str = "label_id") -> None:
-    label_maps(index, label, idx).write.mode("overwrite").json(path)
+def save_label_maps(index: DataFrame, path: str, label: str = "label", idx: str = "label_id", most: int = MAP_LABELS) -> None:
+    """Map files; a vocabulary above ``most`` labels is spread over several lines and files, which are read back as one."""
+    label_maps(index, label, idx, most).write.mode("overwrite").json(path)
 
 
 def save_report(report: DataFrame, matrix: DataFrame, accuracy: DataFrame, path: str) -> None:
