@@ -23,7 +23,7 @@ from .corpus import SQL_REPORT, _labelled, _predictions
 from .evaluation import SQL as EVAL_SQL
 from .evaluation import SQL_RESULTS, accuracies, evaluation_job_of, results
 from .metering import SQL as METER_SQL
-from .metering import _paired
+from .metering import SQL_BOUNDS, _paired
 from .routing import CREATED, SQL_REQUESTS, SQL_ROUTED, route_documents, sql_pii_list
 from .vectors import SQL as VECTOR_SQL
 
@@ -240,8 +240,11 @@ def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("name", values.alias("label_values"), F.round("value", 6).alias("value"))
 
 
-SQL["metrics_sink"] = f"""WITH s AS ({METER_SQL["gateway_counter_snapshot"]})
-SELECT name, coalesce(label_1, '') || coalesce('>' || label_2, '') AS label_values, value FROM s"""
+SQL["metrics_sink"] = f"""WITH s AS ({METER_SQL["gateway_counter_snapshot"]}), b(i, le, x) AS (VALUES {SQL_BOUNDS.replace("'Infinity'", "'+Inf'")}),
+h AS (SELECT name, CASE WHEN label_2 IS NOT NULL THEN label_1 || '>' ELSE '' END AS head, coalesce(label_2, label_1)::INT AS i, value FROM s WHERE name LIKE '%\\_bucket' ESCAPE '\\'),
+k AS (SELECT DISTINCT name, head FROM h)
+SELECT name, coalesce(label_1, '') || coalesce('>' || label_2, '') AS label_values, value FROM s WHERE name NOT LIKE '%\\_bucket' ESCAPE '\\'
+UNION ALL SELECT k.name, k.head || le, coalesce(sum(value), 0) FROM k CROSS JOIN b LEFT JOIN h ON h.name = k.name AND h.head = k.head AND h.i <= b.i GROUP BY ALL"""
 
 
 @query
