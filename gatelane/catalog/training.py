@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..operators import corpus
 from ..operators.scorers import TextVectors
-from ..plans import training
+from ..plans import joint, training
 from ..session import cut_lineage, scratch_path, spread
 from ..sources import sinks
 from .common import table
+from .corpus import sql_word_labels
 
 QUERIES, SQL = {}, {}
 
@@ -118,3 +120,25 @@ SQL["train_language_support"] = """
 WITH p AS (SELECT lang AS label, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id) || ':' || doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents),
 s AS (SELECT label, CASE WHEN r * 100 <= 70 * n THEN 'train' WHEN r * 100 <= 85 * n THEN 'validation' ELSE 'test' END AS split FROM p)
 SELECT split, label, count(*) AS support FROM s WHERE split <> 'train' GROUP BY ALL"""
+
+
+def _joint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents with their language as category and the flags of the word rule."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+    # The languages are a fixed vocabulary of the tables; their places follow from the data.
+    names = [r["label"] for r in corpus.label_index(docs.select(F.col("lang").alias("label")), "label").orderBy("label_id").take(64) if r["label"] is not None]
+    marked = docs.withColumn("category", F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")) - 1)
+    return joint.features(marked.withColumn("flags", texts.word_pii_labels(F.col("text"))), "doc_id", "text", "category", "flags", 1 << 11)
+
+
+@query
+def joint_task_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-task model on the given texts, fitted by its joint loss: words and flags of every document, and whether the loss fell throughout."""
+    rows = _joint_rows(spark, sf_dir)
+    model = joint.train_joint(rows, joint.Shape(4, 1 << 11, 8), (1.0, 0.5), 4)
+    steady = all(b < a for a, b in zip(model.history, model.history[1:])) and len(model.history) > 2
+    scored = joint.joint_scores(model, rows)
+    return scored.select(F.col("ident").alias("doc_id"), "n_words", (F.col("flags_right") <= F.col("n_words")).alias("within"), F.lit(steady).alias("loss_falls"))
+
+
+SQL["joint_task_words"] = f"SELECT doc_id, len({sql_word_labels('text')})::BIGINT AS n_words, true AS within, true AS loss_falls FROM documents"
