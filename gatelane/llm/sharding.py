@@ -7,12 +7,17 @@ dealt out by those counts; after the exchange each shard is permuted again, in c
 counts give every row a gapless slot.
 
 The matrix has one row per part (the parts grow with the table, ``part_rows`` each) and one
-column per shard; it is made of counts only. No window spans more than a part or a cell.
+column per shard; it is made of counts only and drawn in two levels, which is the same law: the driver deals the shards out to
+groups of parts, as many as the square root of the parts, and a task per group deals its share out to the group's parts.
+No window spans more than a part or a cell.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +26,63 @@ from .common import blank, written
 LAW = "rows"
 
 
-def communication_matrix(parts: np.ndarray, shards: np.ndarray, seed: int) -> np.ndarray:
+_LIBRARY_LIMIT = 10**9  # of numpy's hypergeometric sampler
+_SIGMAS = 12  # less than 1e-30 of the law lies further out than this
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many of ``drawn`` rows are good, for any totals up to 2**53.
+
+    Large totals are drawn by inversion: probabilities relative to the most likely count follow from the exact ratios of
+    neighbouring counts, over all counts within ``_SIGMAS`` standard deviations.
+    """
+    whole = good + bad
+    if whole < _LIBRARY_LIMIT:
+        return int(rng.hypergeometric(good, bad, drawn)) if whole else 0
+    low, high = max(0, drawn - bad), min(drawn, good)
+    top = min(max((drawn + 1) * (good + 1) // (whole + 2), low), high)
+    share = good / whole
+    reach = int(_SIGMAS * (drawn * share * (1 - share) * (whole - drawn) / (whole - 1)) ** 0.5) + 50
+    low, high = max(low, top - reach), min(high, top + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - k) + np.log(drawn - k) - np.log(k + 1) - np.log(bad - drawn + k + 1)
+    heights = np.concatenate([[0.0], np.cumsum(steps)])
+    upto = np.cumsum(np.exp(heights - heights.max()))
+    return low + int(np.searchsorted(upto, rng.random() * upto[-1], "right"))
+
+
+def communication_matrix(parts: np.ndarray, shards: np.ndarray, seed: int | tuple[int, ...]) -> np.ndarray:
     """Exact part-to-shard counts: row sums are ``parts``, column sums are ``shards``."""
     rng = np.random.default_rng(seed)
-    left, out = np.array(shards, np.int64), np.zeros((len(parts), len(shards)), np.int64)
+    left, out = [int(x) for x in shards], np.zeros((len(parts), len(shards)), np.int64)
     for i, n in enumerate(parts):
-        out[i] = rng.multivariate_hypergeometric(left, int(n), method="marginals")
-        left -= out[i]
+        open_rows, drawn = sum(left), int(n)
+        for j in range(len(left) - 1):
+            open_rows -= left[j]
+            taken = hypergeometric(rng, left[j], open_rows, drawn)
+            out[i, j], drawn = taken, drawn - taken
+        out[i, -1] = drawn
+        left = [a - int(b) for a, b in zip(left, out[i])]
     return out
 
 
+def part_cuts(counts: DataFrame, total: int, shards: int, seed: int, groups: int) -> DataFrame:
+    """``_part, _upto``: running shard counts of every part of ``counts(_part, _n)``."""
+    grouped = counts.withColumn("_group", F.pmod("_part", F.lit(groups)).cast("int"))
+    sizes = dict(map(tuple, grouped.groupBy("_group").agg(F.sum("_n")).collect()))  # the square root of the parts
+    filled = sorted(sizes)
+    matrix = communication_matrix(np.array([sizes[g] for g in filled], np.int64), shard_sizes(total, shards), seed)
+    shares = {g: matrix[i].tolist() for i, g in enumerate(filled)}
+
+    def deal(group: tuple, rows: pa.Table) -> pa.Table:
+        g = group[0].as_py()
+        rows = rows.sort_by("_part")
+        upto = communication_matrix(rows["_n"].to_numpy(), np.array(shares[g], np.int64), (seed, g)).cumsum(axis=1)
+        return pa.table({"_part": rows["_part"], "_upto": pa.array(list(upto), pa.list_(pa.int64()))})
+
+    return grouped.groupBy("_group").applyInArrow(deal, "_part int, _upto array<bigint>")
+
+
 def shard_sizes(n: int, shards: int) -> np.ndarray:
     """Counts at most one apart."""
     return np.array([n // shards + (i < n % shards) for i in range(shards)], np.int64)
@@ -55,12 +107,8 @@ def assign(rows: DataFrame, keys: list[str], shards: int = 8, seed: int = 7, par
     total = numbered.count()
     parts = max(least_parts, -(-total // part_rows))
     dealt = numbered.withColumn("_part", _cells(F.col("_h"), parts))
-    counts = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    filled = sorted(counts)
-    upto = communication_matrix(np.array([counts[p] for p in filled], np.int64), shard_sizes(total, shards), seed).cumsum(axis=1)
-    cuts = rows.sparkSession.createDataFrame(
-        [(p, [int(x) for x in upto[i]]) for i, p in enumerate(filled)], "_part int, _upto array<bigint>"
-    )
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    cuts = written(part_cuts(counts, total, shards, seed, math.isqrt(parts) + 1), "cuts")
     inside = Window.partitionBy("_part").orderBy("_h", "_again", *keys)
     placed = written(
         dealt.withColumn("_rank", F.row_number().over(inside))

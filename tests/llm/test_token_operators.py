@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gatelane.llm import audit, importance, token_graph
+from gatelane.llm import audit, importance, sharding, token_graph
 from gatelane.llm.common import prepare
 from gatelane.llm.words import IS_CAPITAL, IS_POINT, IS_SYMBOL, Words
 from tests.llm import brute
@@ -189,3 +189,37 @@ def test_sliced_weights_with_large_counts():
     want = [int(gain[buckets[rows == i]].sum()) for i in range(6)]
     assert importance.sliced_weights(rows, buckets, 6, importance.gain_planes(gain)).tolist() == want
     assert importance.sliced_weights(rows, buckets, 6, importance.gain_planes(gain * 0)).tolist() == [0] * 6
+
+
+@pytest.mark.parametrize("total", [10**9, 10**10, 10**12])
+def test_shards_of_very_many_rows(total):
+    rng = np.random.default_rng(3)
+    parts = rng.multinomial(total, np.full(9, 1 / 9))
+    shards = sharding.shard_sizes(total, 8)
+    deals = np.array([sharding.communication_matrix(parts, shards, (7, i)) for i in range(6)])
+    assert (deals >= 0).all() and (deals.sum(axis=2) == parts).all() and (deals.sum(axis=1) == shards).all()
+    want = parts[:, None] * (shards / total)[None, :]
+    spread = np.sqrt(want * (1 - 1 / 8) * (1 - parts[:, None] / total))
+    off = (deals - want) / spread
+    assert abs(off.mean()) < 0.15 and 0.85 < off.std() < 1.15 and np.abs(off).max() < 6
+
+
+def test_large_totals_follow_the_law(monkeypatch):
+    """The sampler for large totals, made to draw small ones, against the exact probabilities."""
+    monkeypatch.setattr(sharding, "_LIBRARY_LIMIT", 0)
+    for good, bad, drawn in ((12, 20, 9), (5, 5, 10), (40, 3, 20), (7, 0, 3), (0, 9, 4), (30, 30, 0)):
+        rng = np.random.default_rng(1)
+        seen = Counter(sharding.hypergeometric(rng, good, bad, drawn) for _ in range(4000))
+        for k in range(max(0, drawn - bad), min(good, drawn) + 1):
+            p = math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(good + bad, drawn)
+            assert abs(seen[k] - 4000 * p) < 5 * math.sqrt(4000 * p * (1 - p)) + 1
+        assert sum(seen.values()) == 4000 and all(max(0, drawn - bad) <= k <= min(good, drawn) for k in seen)
+
+
+def test_two_levels_deal_exact_counts(sp):
+    counts = sp.createDataFrame([(i, (i * 37) % 11 + 1) for i in range(200)], "_part int, _n long")
+    total = sum(r["_n"] for r in counts.collect())
+    rows = {r["_part"]: r["_upto"] for r in sharding.part_cuts(counts, total, 8, 5, 15).collect()}
+    deal = np.array([np.diff([0, *rows[i]]) for i in range(200)])
+    assert (deal.sum(axis=0) == sharding.shard_sizes(total, 8)).all() and (deal >= 0).all()
+    assert [int(x) for x in deal.sum(axis=1)] == [(i * 37) % 11 + 1 for i in range(200)]
