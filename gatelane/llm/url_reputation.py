@@ -19,6 +19,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Suffixes of two labels below which names are registered. A parameter: pass a full list for the open web.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
 STRENGTHS = (1.0, 10_000.0)
@@ -138,6 +140,7 @@ def judge(
     outcomes = parts.select("page_id", "host").join(marks, "page_id", "left").groupBy("host").agg(
         F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")
     )
+    outcomes = written(outcomes, "host-outcomes")  # one row per host, read for each of the three strengths and the verdicts
     verdicts = {rule.text: rule.verdict for rule in rules}
     ruled = F.coalesce(*[F.when(F.col("rule") == t, F.lit(v)) for t, v in verdicts.items()], F.lit(None).cast("string"))
     known = reputation(outcomes, z, two_label).select("host", F.when(F.col("low") < least, "block").otherwise("allow").alias("own"))
