@@ -5,8 +5,8 @@ of the CRC-32 of its lower-cased bytes (two words share both only once in 2**30)
 of its first bytes, so that unseen words with a known stem are met. Filters of several widths run over the words; each filter keeps its largest
 response over the whole text (max pooling), and a linear layer makes the logit.
 
-The model is fitted on the driver on at most ``SAMPLE`` labelled rows (the only bound; they are
-drawn by a hash of the identifier among all rows that may be learnt from). Thresholds are
+The model is fitted on the driver on at most ``SAMPLE`` labelled documents with at most ``SAMPLE_WORDS`` words (the only
+bounds; whole documents are drawn by a hash of the identifier among all that may be learnt from). Thresholds are
 calibrated per language on a part of them that the training does not see; the language
 is guessed from the letters of the text itself. The score is the logit shifted by the threshold,
 so that 0.5 is the cut everywhere. Scoring reads every word of every text.
@@ -22,7 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SAMPLE = 8_000  # labelled rows the classifier is fitted on, at most
+SAMPLE_WORDS = 20_000_000  # of all sampled documents together: what the driver holds
 BITS, DIM, WIDTHS, FILTERS = 15, 16, (1, 2, 3), 8
 PAD = max(WIDTHS) - 1
 STEM = 5
@@ -232,36 +235,49 @@ def fold(ident: str | Column) -> Column:
     return (F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % FOLDS).cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", mark: str = "toxic", sample: int = SAMPLE, seed: int = 11) -> Model:
-    """Train and calibrate on up to ``sample`` labelled rows outside fold 0.
+def fit(
+    docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", mark: str = "toxic", sample: int = SAMPLE, seed: int = 11,
+    most_words: int = SAMPLE_WORDS,
+) -> Model:
+    """Train and calibrate on up to ``sample`` labelled documents outside fold 0 with up to ``most_words`` words together.
 
-    Only labels 0 and 1 count; several labels of one document count as the largest.
+    Only labels 0 and 1 count; several labels of one document count as the largest, and of several texts of one
+    identifier one is taken. Documents are drawn in the order of a seeded hash of their identifier.
     Without labelled rows, or with one class only, the model says one class for every text.
     """
     known = (
         labels.filter(F.col(mark).isin(0, 1) & F.col(ident).isNotNull() & (fold(ident) != 0))
         .groupBy(F.col(ident).alias("_ident")).agg(F.max(mark).cast("int").alias("_mark"))
-        .orderBy(F.xxhash64("_ident", F.lit(seed)), "_ident").limit(sample)
+        .withColumn("_place", F.xxhash64("_ident", F.lit(seed))).orderBy("_place", "_ident").limit(sample)
     )
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             hashes = [word_hashes((t or "").encode()).view(np.int64) for t in texts]
             at = np.cumsum([0] + [len(h) for h in hashes]).astype(np.int32)
             flat = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([guess_language(t or "") for t in texts], pa.string()),
+                [batch.column(0), batch.column(1), batch.column(2), pa.array([guess_language(t or "") for t in texts], pa.string()),
                  pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                ["ident", "mark", "language", "words"],
+                ["ident", "mark", "place", "language", "words"],
             )
 
     kind = docs.schema[ident].dataType.simpleString()
-    rows = (
+    one_each = (
         docs.select(F.col(ident).alias("_name"), F.col(text).alias("_text"))
         .join(F.broadcast(known), F.col("_name") == F.col("_ident"))  # at most ``sample`` rows
-        .select("_ident", "_mark", "_text").mapInArrow(run, f"ident {kind}, mark int, language string, words array<bigint>").toArrow()
+        .groupBy("_ident", "_mark", "_place").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
     )
+    rows = written(one_each.mapInArrow(run, f"ident {kind}, mark int, place bigint, language string, words array<bigint>"), "labelled")
+    # At most ``sample`` pairs; documents that hash alike come and go together.
+    whole, last = 0, None
+    for row in sorted(rows.select("place", F.size("words").alias("n")).collect()):
+        whole += row["n"]
+        if whole > most_words:
+            break
+        last = row["place"]
+    rows = rows.filter(F.lit(False) if last is None else F.col("place") <= last).drop("place").toArrow()
     order = pa.compute.sort_indices(rows, sort_keys=[("ident", "ascending")])
     rows = rows.take(order).combine_chunks()
     column = rows["words"].chunk(0) if rows.num_rows else pa.array([], pa.list_(pa.int64()))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gatelane.llm import audit, importance, sharding, token_graph
+from gatelane.llm import audit, importance, quality, sharding, token_graph, toxicity
 from gatelane.llm.common import prepare
 from gatelane.llm.words import IS_CAPITAL, IS_POINT, IS_SYMBOL, Words
 from tests.llm import brute
@@ -223,3 +223,48 @@ def test_two_levels_deal_exact_counts(sp):
     deal = np.array([np.diff([0, *rows[i]]) for i in range(200)])
     assert (deal.sum(axis=0) == sharding.shard_sizes(total, 8)).all() and (deal >= 0).all()
     assert [int(x) for x in deal.sum(axis=1)] == [(i * 37) % 11 + 1 for i in range(200)]
+
+
+def test_quality_verdict(sp):
+    """The ratio by plain counting over the same buckets, and what it decides."""
+    docs, plain = frame(sp, texts(12) + ["x | y | z " * 9, "good words here again " * 12])
+    labels = sp.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 60, 2)] + [(0, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    trusted = {i for i in range(0, 60, 2) if i % 3 == 0}
+
+    def grams(t):
+        ws = (t or "").encode().split()
+        hashed = [crc32(w) for w in ws]
+        pairs = [(a * 0x100000001B3 + b + (1 << 33)) % 2**64 for a, b in zip(hashed, hashed[1:])]
+        return ws, [h * 0x9E3779B97F4A7C15 % 2**64 >> 48 for h in hashed + pairs]
+
+    raw, aim = Counter(), Counter()
+    for i, t in plain:
+        raw.update(grams(t)[1])
+        aim.update(grams(t)[1] if i in trusted else ())
+    n = quality.BUCKETS
+    corpus = lambda b: (raw[b] + 1) / (raw.total() + n)
+    score = lambda b: math.log((aim[b] + n * corpus(b)) / (aim.total() + n) / corpus(b))
+    want = []
+    for i, t in plain:
+        ws, found = grams(t)
+        ratio = sum(map(score, found)) / len(found) if found else 0.0
+        counts = brute.repeat_counts(t)
+        failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+        want.append((i, round(ratio, 9), not failed and ratio >= quality.LEAST))
+    got = [(r.doc_id, round(r.ratio, 9), r.kept) for r in quality.likelihood_filter(docs, labels).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len({k for _, _, k in want}) == 2
+
+
+def test_training_rows_are_bounded(sp):
+    """A labelled identifier with very many rows counts once, and the words of the sample have a limit."""
+    rng = random.Random(3)
+    bad, good = "vile scum hate", "calm lake tree"
+    rows = [(i, " ".join(rng.choice((bad if i % 2 else good).split()) for _ in range(30))) for i in range(200)] + [(1, f"other text {k}") for k in range(500)]
+    docs = sp.createDataFrame(rows, "doc_id long, text string")
+    labels = sp.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    told = {r.doc_id: r.predicted for r in toxicity.score(docs.filter("doc_id != 1"), model).collect()}
+    assert sum(told[i] == i % 2 for i in told) > 0.95 * len(told)
+    few = toxicity.fit(docs, labels, most_words=600)
+    assert len(toxicity.score(docs, few).collect()) == 700
+    assert toxicity.score(docs, toxicity.fit(docs, labels, most_words=0)).agg({"score": "max"}).first()[0] <= 1
