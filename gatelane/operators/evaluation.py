@@ -9,6 +9,7 @@ from ..functions.texts import answer_letter, answer_letter_four, base_model, is_
 
 AUTO = "auto"
 OVERALL = "Overall"
+FEW = 1000  # up to here Spark limits the groups of a ranking before it shuffles them
 
 
 def distinct_categories(questions: DataFrame, category: str = "category") -> DataFrame:
@@ -32,9 +33,14 @@ def sample_per_group(df: DataFrame, group: str, ident: str, n: int, seed: int =
     Rows are ordered by the seeded key of their identifier (a null one counts as empty), then
     by a hash of the whole row, so repeated identifiers have a fixed order too. Counts per key prefix
     tell which prefixes lie wholly inside the sample; only the prefix that holds the
-    n-th row is ranked, so a hot group is spread over its prefixes.
+    n-th row is ranked, so a hot group is spread over its prefixes. For up to ``FEW`` rows a
+    group every task keeps that many of each group itself, and only those meet: one pass.
     """
     key = seeded_key(seed, F.coalesce(F.col(ident).cast("string"), F.lit("")))
+    if n <= FEW:
+        ranked = df.withColumns({"_key": key, "_all": F.xxhash64(*df.columns)})
+        rank = F.row_number().over(Window.partitionBy(group).orderBy("_key", "_all"))
+        return ranked.withColumn("_rank", rank).filter(F.col("_rank") <= n).select(df.columns)
     keyed = df.withColumns({"_key": key, "_bucket": F.substring(key, 1, digits), "_all": F.xxhash64(*df.columns)})
     counts = keyed.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
