@@ -19,7 +19,7 @@ HEADLINE = [
     "best_model_per_request", "tokens_by_model", "latency_histogram", "latency_p95", "token_rate_5m", "inflight_load",
     "request_response_pairs", "gateway_counter_snapshot", "graded_replies", "eval_summary", "accuracy_matrix", "ranked_scores",
     "sample_per_category", "stratified_split", "prepare_corpus", "word_pii_labels", "token_match", "labelled_corpus",
-    "classification_report", "streaming_counters", "streaming_cache",
+    "classification_report", "streaming_counters", "streaming_cache", "cache_replay", "streaming_token_rate", "streaming_load",
 ]
 
 
