@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.texts import KNOWN_NAMES, seeded_key, seeded_pick, word_pii_labels
 from ..settings import NO_PII
-from .prefix import hash_cuts, sorted_positions, sorted_positions
+from .prefix import hash_cuts, sorted_positions
+
+FEW_LABELS = 10_000  # a vocabulary up to this size is numbered on the driver
 
 # --- Fixed values: categories, their sentences, and insertable personal data ---
 TEMPLATES = {
@@ -108,9 +111,15 @@ def drop_rare(df: DataFrame, label: str, min_rows: int = MIN_CLASS_ROWS) -> Data
 def label_index(df: DataFrame, label: str) -> DataFrame:
     """Sorted distinct labels with a dense index from zero; a missing label comes first.
 
-    The vocabulary is ranked in ranges, so it may be large.
+    Up to ``FEW_LABELS`` labels are numbered on the driver, larger vocabularies in ranges. The vocabulary is counted when this is called.
     """
-    return sorted_positions(df.select(label).distinct(), label).select(label, F.col("position").cast("int").alias("label_id"))
+    vocabulary = df.select(label).distinct()
+    found = [r[0] for r in vocabulary.take(FEW_LABELS + 1)]
+    if len(found) > FEW_LABELS:
+        return sorted_positions(vocabulary, label).select(label, F.col("position").cast("int").alias("label_id"))
+    found.sort(key=lambda x: (x is not None, x))
+    kind = StructType([vocabulary.schema[label], StructField("label_id", IntegerType(), False)])
+    return F.broadcast(df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(found)], kind))
 
 
 def split(
