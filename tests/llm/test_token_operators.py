@@ -196,12 +196,12 @@ def test_shards_of_very_many_rows(total):
     rng = np.random.default_rng(3)
     parts = rng.multinomial(total, np.full(9, 1 / 9))
     shards = sharding.shard_sizes(total, 8)
-    deals = np.array([sharding.communication_matrix(parts, shards, (7, i)) for i in range(6)])
+    deals = np.array([sharding.communication_matrix(parts, shards, (7, i)) for i in range(3)])
     assert (deals >= 0).all() and (deals.sum(axis=2) == parts).all() and (deals.sum(axis=1) == shards).all()
     want = parts[:, None] * (shards / total)[None, :]
     spread = np.sqrt(want * (1 - 1 / 8) * (1 - parts[:, None] / total))
     off = (deals - want) / spread
-    assert abs(off.mean()) < 0.15 and 0.85 < off.std() < 1.15 and np.abs(off).max() < 6
+    assert abs(off.mean()) < 0.2 and 0.8 < off.std() < 1.2 and np.abs(off).max() < 6
 
 
 def test_large_totals_follow_the_law(monkeypatch):
