@@ -1,11 +1,15 @@
-"""Removal of long repeated byte strings with a logarithmic family of suffix indexes.
+"""Removal of long repeated byte strings with a logarithmic family of suffix arrays.
 
 A text's suffixes are taken at its anchors (``suffix_core``): places chosen by content, so that
-any two equal strings of ``span`` bytes have an anchor at the same place. A batch of
-documents becomes one index: its anchored suffixes sorted by the hash of the bytes around the
-anchor, with counts. A new batch is merge-scanned against every existing level; suffixes found
-twice are candidates for a long match. Two levels of equal size merge into the next,
-so a family over n batches has at most log2(n) + 1 levels and rewrites a suffix log2(n) times.
+any two equal strings of ``span`` bytes have an anchor at the same place. A suffix begins
+``context_of(span)`` bytes before its anchor. A batch of documents becomes one suffix array, cut into
+key ranges: its suffixes in the order of their first ``HEAD`` bytes (those that agree in them in the order
+of a hash of the ``2 * context_of(span)`` bytes around the anchor), each with the length of the prefix
+that it shares with the one before it. A new batch is merge-scanned with every existing level:
+batch and levels run past each other in one order, and neighbours that agree in all those bytes are
+candidates for a long match. Where the batch meets a level of its own size, the same
+scan writes their union as the next level, so a family over n batches has at most log2(n) + 1 levels
+and rewrites a suffix log2(n) times. Levels can be saved, opened again and added to.
 
 Candidates are then settled exactly, by hash equality and counting only, so that a passage
 in a third of all documents costs no more than any other:
@@ -20,9 +24,11 @@ All keys compared at the end have 128 bits.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import suffix_core as core
@@ -31,6 +37,7 @@ from .common import discard, numbered, written
 SPAN = core.SPAN
 BAND = 16
 BATCHES = 4
+HEAD = 32  # bytes of a suffix that its order follows
 
 
 def _names(ident: str, text: str) -> tuple[Column, Column]:
@@ -44,18 +51,19 @@ def _keyed(docs: DataFrame, ident: str, text: str) -> DataFrame:
 
 
 def anchors(keyed: DataFrame, span: int = SPAN) -> DataFrame:
-    """``d1, d2, key, run, place, stop``: one row per run of windows with a common anchor.
+    """``d1, d2, head, key, run, place, stop``: one row per run of windows with a common anchor.
 
-    ``key`` hashes the bytes around the anchor, ``run`` all bytes of the run's windows; ``place``
-    packs the first window, the anchor's and the last window's distance from it. A stretch
-    known to repeat inside its document has null hashes, its begin as ``place`` and its end as ``stop``
+    ``head`` holds the first bytes of the suffix, ``key`` hashes the bytes around the anchor, ``run`` all bytes of the
+    run's windows; ``place`` packs the first window, the anchor's and the last window's distance from it. A stretch
+    known to repeat inside its document has null head and hashes, its begin as ``place`` and its end as ``stop``
     (null for the others).
     """
     context = core.context_of(span)
+    width = min(HEAD, 2 * context)
 
     def run(batches):
         for batch in batches:
-            rows, known_of, known = [], [], []
+            rows, heads, known_of, known = [], [], [], []
             for i, body in enumerate(batch.column(2)):
                 text = np.frombuffer(body.as_buffer(), np.uint8)
                 at, first, last, repeats = core.runs(text, span)
@@ -66,54 +74,134 @@ def anchors(keyed: DataFrame, span: int = SPAN) -> DataFrame:
                     key = hashes.of(at - context, at + context)
                     whole = hashes.of(first, last + span) ^ core.mix((at - first).astype(np.uint64))
                     rows.append((np.full(len(at), i), key, whole, first << 20 | (at - first) << 10 | (last - first)))
+                    heads.append(np.lib.stride_tricks.sliding_window_view(text, width)[at - context])
             of, key, whole, place = (np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 4
             take = pa.array(np.concatenate([of, np.array(known_of, np.int64)]))
             empty = pa.nulls(len(known), pa.int64())
             hashed = [pa.concat_arrays([pa.array(c.astype(np.uint64).view(np.int64)), empty]) for c in (key, whole)]
+            head = _binary(np.concatenate(heads) if heads else np.zeros((0, width), np.uint8))
             begin, end = np.array(known, np.int64).reshape(-1, 2).T
             places = pa.array(np.concatenate([place, begin]))
             stops = pa.concat_arrays([pa.nulls(len(place), pa.int64()), pa.array(end)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), *hashed, places, stops], ["d1", "d2", "key", "run", "place", "stop"]
+                [batch.column(0).take(take), batch.column(1).take(take), pa.concat_arrays([head, pa.nulls(len(known), pa.binary())]), *hashed, places, stops],
+                ["d1", "d2", "head", "key", "run", "place", "stop"],
             )
 
-    return keyed.select("d1", "d2", "body").mapInArrow(run, "d1 bigint, d2 bigint, key bigint, run bigint, place bigint, stop bigint")
+    schema = "d1 bigint, d2 bigint, head binary, key bigint, run bigint, place bigint, stop bigint"
+    return keyed.select("d1", "d2", "body").mapInArrow(run, schema)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """One binary value per row of bytes."""
+    offsets = (np.arange(len(rows) + 1) * rows.shape[1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _byte_rows(column: pa.Array) -> np.ndarray:
+    """Rows of bytes of a binary column whose values have one length."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data.reshape(len(column), int(offsets[1] - offsets[0]))
+
+
+def _merge_scan(batches):
+    """One range of ``head, key, n`` in that order, from all arrays that meet: one row per suffix with its shared prefix.
+
+    ``n`` is 0 in arrays that are only looked at; their own suffixes do not come out. A suffix
+    that also stands in one of them counts as seen twice at least.
+    """
+    kept = None  # the last suffix, which the next batch may go on with
+    above = None  # head of the last suffix that came out
+
+    def out(heads, keys, seen, only):
+        nonlocal above
+        own = seen > 0
+        heads, keys, seen = heads[own], keys[own], np.where(only & (seen > 0), np.maximum(seen, 2), seen)[own]
+        if not len(heads):
+            return None
+        before = np.concatenate([heads[:1] if above is None else above, heads[:-1]])
+        differ = np.concatenate([heads != before, np.ones((len(heads), 1), bool)], axis=1)
+        shared = pa.array(differ.argmax(1).astype(np.int32), mask=np.arange(len(heads)) < (above is None))
+        above = heads[-1:]
+        return pa.RecordBatch.from_arrays([_binary(heads), pa.array(keys), pa.array(seen), shared], ["head", "key", "n", "lcp"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        heads, keys, n = _byte_rows(batch.column(0)), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        only = n == 0
+        if kept:
+            heads, keys, n, only = (np.concatenate(c) for c in zip(kept, (heads, keys, n, only)))
+        starts = np.flatnonzero(np.concatenate([[True], (heads[1:] != heads[:-1]).any(1) | (keys[1:] != keys[:-1])]))
+        found = heads[starts], keys[starts], np.add.reduceat(n, starts), np.logical_or.reduceat(only, starts)
+        kept = tuple(c[-1:] for c in found)
+        ready = out(*(c[:-1] for c in found))
+        if ready:
+            yield ready
+    if kept and (ready := out(*kept)):
+        yield ready
 
 
 class Family:
-    """Levels of sorted suffix keys with counts; ``add`` scans a batch against all of them."""
+    """Suffix arrays of geometrically growing sizes; ``add`` merge-scans a batch with all of them.
+
+    A level has ``head, key, n, lcp``: suffixes in order inside each of its files, how often each
+    was seen (two at least where it also stands in an older level), and the bytes of its head that the one
+    before it has too (null for the first of a file).
+    """
 
-    def __init__(self):
-        self.levels: dict[int, DataFrame] = {}
-        self.matched: list[DataFrame] = []
-        self._spent: list[DataFrame] = []
+    def __init__(self, levels: dict[int, DataFrame] | None = None):
+        self.levels = dict(levels or {})
+        self._own: list[DataFrame] = []
 
     def add(self, suffixes: DataFrame) -> None:
-        batch = written(suffixes.groupBy("key").agg(F.count("*").alias("n")).sortWithinPartitions("key"), "level-0")
-        self.matched.append(batch.filter("n > 1").select("key"))
-        for level in self.levels.values():
-            self.matched.append(batch.join(level.select("key"), "key").select("key"))
+        """``suffixes`` has ``key`` and, where order and shared prefixes matter, ``head``; other columns are not read."""
+        head = F.col("head") if "head" in suffixes.columns else F.lit(b"")
+        # Counted before they meet in one order: a suffix in a third of all documents is one row there.
+        rows = suffixes.select(head.alias("head"), "key").groupBy("head", "key").agg(F.count("*").alias("n"))
         size = 0
         while size in self.levels:
-            older = self.levels.pop(size)
-            self._spent += [older, batch]
             size += 1
-            both = older.unionByName(batch).groupBy("key").agg(F.sum("n").alias("n"))
-            batch = written(both.sortWithinPartitions("key"), f"level-{size}")
-        self.levels[size] = batch
+        for at, level in self.levels.items():
+            rows = rows.unionByName(level.select("head", "key", F.col("n") if at < size else F.lit(0).cast("long").alias("n")))
+        ordered = rows.repartitionByRange("head", "key").sortWithinPartitions("head", "key")
+        merged = written(ordered.mapInArrow(_merge_scan, "head binary, key bigint, n bigint, lcp int"), f"level-{size}")
+        spent = [self.levels.pop(at) for at in range(size)]
+        discard(*(level for level in spent if any(level is own for own in self._own)))
+        self._own = [own for own in self._own if all(own is not level for level in spent)] + [merged]
+        self.levels[size] = merged
+
+    def add_documents(self, docs: DataFrame, ident: str = "doc_id", text: str = "text", span: int = SPAN) -> None:
+        """A batch of documents; all batches of a family need one ``span``."""
+        suffixes = anchors(_keyed(docs, ident, text).filter(F.octet_length("body") >= span), span)
+        self.add(suffixes.filter("key IS NOT NULL"))
 
     def repeated(self) -> DataFrame:
-        """Keys that occur twice or more in what was added so far, as a written table."""
-        found = self.matched[0]
-        for more in self.matched[1:]:
-            found = found.unionByName(more)
-        found = written(found.distinct(), "repeated")
-        discard(*self._spent)
-        self.matched, self._spent = [found], []
-        return found
+        """Keys of the suffixes seen twice or more in what was added so far, read off the levels."""
+        found = [level.filter("n > 1").select("key") for level in self.levels.values()]
+        keys = found[0]
+        for more in found[1:]:
+            keys = keys.unionByName(more)
+        return keys.distinct()
+
+    def save(self, folder: str) -> None:
+        """Write the levels below ``folder``, one folder each; a folder that has levels already is refused."""
+        for size, level in self.levels.items():
+            level.write.parquet(f"{folder}/level-{size}")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Family:
+        """A saved family. Its files stay as they are when more is added; save the result to another folder."""
+        home = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found = [f.getPath().getName() for f in home.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(home)]
+        sizes = sorted(int(name[6:]) for name in found if re.fullmatch(r"level-\d+", name))
+        return cls({size: spark.read.parquet(f"{folder}/level-{size}") for size in sizes})
 
     def close(self) -> None:
-        discard(*self.levels.values())
+        """Delete the levels that were written here and not saved."""
+        discard(*self._own)
+        self._own = []
 
 
 def _bands(rows: DataFrame, span: int) -> DataFrame:
@@ -173,11 +261,11 @@ def repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", batches:
     """
     keyed = _keyed(docs, ident, text)
     suffixes = written(anchors(keyed.filter(F.octet_length("body") >= span), span), "suffixes")
-    indexed = suffixes.filter("key IS NOT NULL").drop("stop")
+    indexed = suffixes.filter("key IS NOT NULL")
     family = Family()
     for i in range(batches):
         family.add(indexed.filter(F.pmod("d1", F.lit(batches)) == i))
-    candidates = written(indexed.join(family.repeated(), "key"), "candidates")
+    candidates = written(indexed.drop("head", "stop").join(family.repeated(), "key"), "candidates")
     inside = written(suffixes.filter("key IS NULL").select("d1", "d2", F.col("place").alias("begin"), F.col("stop").alias("end")), "inside")
     family.close()
     discard(suffixes)

@@ -456,6 +456,49 @@ def test_index_family_levels(sp):
     assert sorted(r.key for r in family.repeated().collect()) == [1, 2, 3, 5]
 
 
+def test_family_in_order_of_content(sp, tmp_path):
+    """Levels are sorted with right shared prefixes; a saved family takes a later batch and knows all repeats."""
+    docs, _ = frame(sp, texts(12))
+    halves = [docs.filter(F.coalesce(F.pmod("doc_id", F.lit(3)), F.lit(0)) == i) for i in range(3)]
+    first = suffix_index.Family()
+    first.add_documents(halves[0])
+    first.add_documents(halves[1])
+    first.save(str(tmp_path / "family"))
+    first.close()
+    family = suffix_index.Family.open(sp, str(tmp_path / "family"))
+    family.add_documents(halves[2])
+    assert sorted(family.levels) == [0, 1]
+    every = suffix_index.anchors(suffix_index._keyed(docs, "doc_id", "text")).filter("key IS NOT NULL")
+    times = Counter(r.key for r in every.select("key").collect())
+    assert {r.key for r in family.repeated().collect()} == {k for k, n in times.items() if n > 1} != set()
+    rows = 0
+    for level in family.levels.values():
+        for path in level.inputFiles():
+            part = sp.read.parquet(path).collect()
+            rows += len(part)
+            heads = [bytes(r.head) for r in part]
+            assert heads == sorted(heads) and len(set((h, r.key) for h, r in zip(heads, part))) == len(part)
+            for a, b, r in zip(heads, heads[1:], part[1:]):
+                assert r.lcp == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    one, two = ({r.key for r in family.levels[i].select("key").collect()} for i in (0, 1))
+    assert one | two == set(times) and rows == len(one) + len(two)
+    family.close()
+    assert sp.read.parquet(str(tmp_path / "family" / "level-1")).count() == len(two)  # what was saved stays
+
+
+def test_merge_scan_over_batches(sp):
+    """Suffixes cut by a batch's end are one; those of arrays only looked at do not come out."""
+    import pyarrow as pa
+
+    rows = [(b"ab", 1, 1), (b"ab", 1, 2), (b"ab", 2, 0), (b"ac", 1, 0), (b"ac", 1, 1), (b"ac", 4, 1), (b"bb", 1, 1)]
+    for size in (1, 2, 3, 7):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*p), (pa.binary(), pa.int64(), pa.int64()))], ["head", "key", "n"]) for p in parts]
+        got = [tuple(r.values()) for b in suffix_index._merge_scan(batches) for r in b.to_pylist()]
+        assert got == [(b"ab", 1, 3, None), (b"ac", 1, 2, 1), (b"ac", 4, 1, 2), (b"bb", 1, 1, 0)]
+    assert list(suffix_index._merge_scan([])) == []
+
+
 def test_discarded_tables_are_gone(sp):
     import os
 
