@@ -30,7 +30,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 PASSES = 3
 # The flow network lives on the driver: more distinct source sets than this are refused, not cut.
-MAX_PATTERNS = 50_000
+MAX_PATTERNS = 200_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -57,53 +57,77 @@ def targets(sizes: list[int], weights: list[float], total: int, passes: int = PA
 def min_cost_flow(supply: list[int], serves: list[list[int]], demand: list[int], passes: int = PASSES) -> list[dict[int, int]]:
     """Words each pattern gives each source: largest possible flow at least cost.
 
-    Successive shortest paths over start, patterns, sources, end; pass ``e`` of a pattern costs
-    ``e``. Integers only, so the result is exact and the same on every run.
+    Only the arcs from the start cost something (pass ``e`` of a pattern costs ``e``), and a path leaves the
+    start once. So shortest paths come in order of the pass they begin with: the flow is made as large as it gets
+    with first passes, then with second ones, and so on, each time by blocking flows in layers. Integers
+    only, so the result is exact and the same on every run.
     """
     n, m = len(supply), len(demand)
     start, end = n + m, n + m + 1
-    arcs: list[list[int]] = []  # to, capacity, cost; an arc and its reverse are neighbours
+    to: list[int] = []  # an arc and its reverse are neighbours
+    room: list[int] = []
     at: list[list[int]] = [[] for _ in range(n + m + 2)]
 
-    def add(a, b, capacity, cost):
-        at[a].append(len(arcs))
-        arcs.append([b, capacity, cost])
-        at[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
+    def add(a, b, capacity):
+        at[a].append(len(to))
+        at[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((capacity, 0))
 
+    for p in range(n):
+        add(start, p, 0)
     for p, words in enumerate(supply):
-        for e in range(passes):
-            add(start, p, words, e)
         for s in serves[p]:
-            add(p, n + s, passes * words, 0)
+            add(p, n + s, passes * words)
     for s, words in enumerate(demand):
-        add(n + s, end, words, 0)
-    while True:
-        cost, via, queued = {start: 0}, {}, deque([start])
-        while queued:
-            a = queued.popleft()
+        add(n + s, end, words)
+
+    def layers():
+        level = [-1] * (n + m + 2)
+        level[start], waiting = 0, deque([start])
+        while waiting:
+            a = waiting.popleft()
             for k in at[a]:
-                b, capacity, price = arcs[k]
-                if capacity > 0 and cost[a] + price < cost.get(b, 1 << 60):
-                    cost[b], via[b] = cost[a] + price, k
-                    if b not in queued:
-                        queued.append(b)
-        if end not in cost:
-            break
-        path, b = [], end
-        while b != start:
-            path.append(via[b])
-            b = arcs[via[b] ^ 1][0]
-        push = min(arcs[k][1] for k in path)
-        for k in path:
-            arcs[k][1] -= push
-            arcs[k ^ 1][1] += push
+                if room[k] and level[to[k]] < 0:
+                    level[to[k]] = level[a] + 1
+                    waiting.append(to[k])
+        return level
+
+    def block(level):
+        tried, path, a = [0] * (n + m + 2), [], start
+        while True:
+            if a == end:
+                push = min(room[k] for k in path)
+                for k in path:
+                    room[k] -= push
+                    room[k ^ 1] += push
+                cut = next(i for i, k in enumerate(path) if not room[k])
+                a = to[path[cut] ^ 1]
+                del path[cut:]
+            while tried[a] < len(at[a]):
+                k = at[a][tried[a]]
+                if room[k] and level[to[k]] == level[a] + 1:
+                    break
+                tried[a] += 1
+            if tried[a] < len(at[a]):
+                path.append(k)
+                a = to[k]
+            elif a == start:
+                return
+            else:
+                a = to[path.pop() ^ 1]
+                tried[a] += 1
+
+    for _ in range(passes):
+        for p, words in enumerate(supply):
+            room[2 * p] += words
+        while (level := layers())[end] >= 0:
+            block(level)
     flows: list[dict[int, int]] = [{} for _ in range(n)]
     for p in range(n):
         for k in at[p]:
-            b = arcs[k][0]
-            if k % 2 == 0 and n <= b < n + m and arcs[k + 1][1]:
-                flows[p][b - n] = arcs[k + 1][1]
+            if k % 2 == 0 and room[k + 1]:
+                flows[p][to[k] - n] = room[k + 1]
     return flows
 
 

@@ -1,7 +1,9 @@
 """Each operator against a plain version, with nulls, empty and long texts, ties, repeats, and empty tables."""
 
 import hashlib
+import itertools
 import random
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -499,6 +501,52 @@ def test_merge_scan_over_batches(sp):
     assert list(suffix_index._merge_scan([])) == []
 
 
+def best_flow(supply, serves, demand, passes=3):
+    """Largest flow and its least cost, by trying everything."""
+    states = {tuple(demand): (0, 0)}  # what is still wanted: flow and minus cost so far
+    for words, mine in zip(supply, serves):
+        after = {}
+        for left, (flow, cost) in states.items():
+            for given in itertools.product(*(range(min(left[s], passes * words) + 1) for s in mine)):
+                if sum(given) <= passes * words:
+                    rest = list(left)
+                    for s, g in zip(mine, given):
+                        rest[s] -= g
+                    price = sum(i // words for i in range(sum(given)))
+                    got = (flow + sum(given), cost - price)
+                    after[tuple(rest)] = max(got, after.get(tuple(rest), got))
+        states = after
+    flow, cost = max(states.values())
+    return flow, -cost
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_flow_is_the_best_one(seed):
+    rng = random.Random(seed)
+    m = rng.randint(1, 3)
+    serves = [sorted(rng.sample(range(m), rng.randint(1, m))) for _ in range(rng.randint(1, 4))]
+    supply = [rng.randint(0, 3) for _ in serves]
+    demand = [rng.randint(0, 6) for _ in range(m)]
+    flows = mixture.min_cost_flow(supply, serves, demand)
+    given = [sum(f.values()) for f in flows]
+    assert all(set(f) <= set(mine) and min(f.values(), default=1) > 0 for f, mine in zip(flows, serves))
+    assert all(g <= 3 * w for g, w in zip(given, supply)) and all(sum(f.get(s, 0) for f in flows) <= d for s, d in enumerate(demand))
+    assert (sum(given), sum(i // w for g, w in zip(given, supply) for i in range(g))) == best_flow(supply, serves, demand)
+
+
+def test_flow_of_many_patterns():
+    """Twenty thousand source sets take seconds."""
+    rng = random.Random(1)
+    serves = [sorted(rng.sample(range(200), rng.randint(1, 5))) for _ in range(20_000)]
+    supply = [rng.randint(0, 10**9) for _ in serves]
+    demand = [sum(supply) * rng.randint(0, 3) // 200 for _ in range(200)]
+    begun = time.monotonic()
+    flows = mixture.min_cost_flow(supply, serves, demand)
+    assert time.monotonic() - begun < 60
+    assert all(sum(f.values()) <= 3 * w for f, w in zip(flows, supply))
+    assert all(sum(f.get(s, 0) for f in flows) <= d for s, d in enumerate(demand[:3]))
+
+
 def test_discarded_tables_are_gone(sp):
     import os
 
