@@ -1,16 +1,21 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Centres fitted on a bounded sample cut the vectors into cells; every vector is a member of
-the ``OVERLAP`` cells with the nearest centres (the first is its home). Each cell builds a
+Centres fitted on a bounded sample cut the vectors into clusters, one per ``CELL`` vectors;
+beyond ``MOST_CENTRES`` of them a second codebook, fitted on what the centres leave over, cuts
+every cluster further, so that the number of clusters grows with the vectors while two bounded
+tables describe them all. Every vector is a member of the ``OVERLAP`` nearest clusters (the
+first is its home). Each cell builds a
 robust-pruned graph of its members; a node's adjacency lists from all its cells are united.
 Then every vector is a query: a greedy beam search walks from the cell's medoid, and from
-what it finds in range it expands until nothing new is in range. Where that leads to a
+what it finds in range it expands until nothing new is in range. A cell that
+lies inside the query's range as a whole, by its centre and radius, is counted without a walk.
+Where that leads to a
 vector whose home is in another cluster, the query goes on there in the next round, until no
 query has a new cell to visit. Links are verified in double precision, counted at the home of
 the vector found, and handed on as stars.
 
-Cells that are too large are dealt into pieces by a hash; a query for such a cell visits all
-its pieces. Recall is audited after every attempt, against brute force for a random sample of
+Clusters that are too large are dealt into cells, their pieces, by a hash; a query for such a
+cluster visits all its pieces. Recall is audited after every attempt, against brute force for a random sample of
 queries; below the wanted recall the search is repeated with a wider beam and more overlap,
 and a recall that stays below ``REQUIRED`` is an error.
 """
@@ -26,14 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph_core as core
-from .common import written
+from .common import discard, is_empty, written
 from .graph import components
 
 SAMPLE = 20_000  # vectors the centres are fitted on, at most
 CELL = 400  # vectors per centre
-MOST_CENTRES = 4_096
+MOST_CENTRES = 4_096  # of each codebook
 PIECE = 1_500  # members of a cell, or of a piece of it, about
 PIECES = 100_000  # a cell's number is its cluster's times this, plus the piece
+SCORES = 1 << 23  # distances to codewords at once in a task, at most
 VISITS = 8_192  # queries that meet a cell in one task, about
 OVERLAP = 3
 BEAM = 40
@@ -81,31 +87,49 @@ def _scaled(rows: np.ndarray) -> np.ndarray:
     return core.unit(rows / np.abs(rows).max(1, keepdims=True)) if len(rows) else rows
 
 
-def _members(points: DataFrame, centres: np.ndarray, pieces: dict[int, int], overlap: int, width: int) -> DataFrame:
-    """``cell, cluster, id, copies, vector, home`` for the nearest ``overlap`` clusters of every vector."""
-    shared = points.sparkSession.sparkContext.broadcast((centres, pieces))  # MOST_CENTRES rows at most
+def _salt(rows: np.ndarray) -> np.ndarray:
+    """A hash of every row, the same in every run."""
+    odd = np.random.default_rng(1).integers(0, 1 << 62, rows.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mixed = (rows.view(np.uint64) >> np.uint64(20)) * odd
+    return ((mixed ^ (mixed >> np.uint64(29))).sum(1) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
+
+def _clusters(rows: np.ndarray, centres: np.ndarray, codes: np.ndarray | None, most: int) -> np.ndarray:
+    """The nearest clusters of every row, nearest first: of the centres, or of centres with codewords added."""
+    near = np.argsort(-(rows @ centres.T), axis=1, kind="stable")[:, :most]
+    if codes is None:
+        return near
+    out, step = [], max(1, SCORES // (near.shape[1] * len(codes)))
+    for begin in range(0, len(rows), step):
+        at = near[begin : begin + step]
+        rest = rows[begin : begin + step, None, :] - centres[at]
+        far = (rest**2).sum(2)[:, :, None] - 2 * rest @ codes.T + (codes**2).sum(1)
+        far = far.reshape(len(at), -1)
+        best = np.argsort(far, axis=1, kind="stable")[:, :most]
+        out.append(np.take_along_axis(at, best // len(codes), 1) * len(codes) + best % len(codes))
+    return np.concatenate(out)
+
+
+def _members(points: DataFrame, centres: np.ndarray, codes: np.ndarray | None, overlap: int, width: int) -> DataFrame:
+    """``cluster, id, copies, vector, home, salt`` for the nearest ``overlap`` clusters of every vector; ``home`` is the nearest."""
+    shared = points.sparkSession.sparkContext.broadcast((centres, codes))  # MOST_CENTRES rows each at most
 
     def run(batches):
-        centres, pieces = shared.value
+        centres, codes = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = _scaled(_matrix(batch.column(2), width))
-            sims = rows @ centres.T
-            most = min(overlap, len(centres))
-            near = np.argsort(-sims, axis=1, kind="stable")[:, :most]
-            ids = batch.column(0).to_numpy()
-            salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            count = np.array([pieces.get(c, 1) for c in range(len(centres))], np.uint64)
-            cells = near * PIECES + (salt[:, None] % count[near]).astype(np.int64)
-            take = pa.array(np.repeat(np.arange(len(ids)), most))
+            near = _clusters(rows, centres, codes, overlap)
+            most = near.shape[1]
+            take = pa.array(np.repeat(np.arange(len(rows)), most))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cells.ravel()), pa.array(near.ravel()), *(batch.column(i).take(take) for i in range(3)), pa.array(np.repeat(cells[:, 0], most))],
-                ["cell", "cluster", "id", "copies", "vector", "home"],
+                [pa.array(near.ravel()), *(batch.column(i).take(take) for i in range(3)), pa.array(np.repeat(near[:, 0], most)), pa.array(np.repeat(_salt(rows), most))],
+                ["cluster", "id", "copies", "vector", "home", "salt"],
             )
 
     return points.select("id", "copies", "vector").mapInArrow(
-        run, f"cell bigint, cluster bigint, id bigint, copies bigint, vector {points.schema['vector'].dataType.simpleString()}, home bigint"
+        run, f"cluster bigint, id bigint, copies bigint, vector {points.schema['vector'].dataType.simpleString()}, home bigint, salt bigint"
     )
 
 
@@ -140,7 +164,8 @@ def _search(nodes: DataFrame, visits: DataFrame, least: float, beam: int, width:
             return empty
         order = np.argsort(cell["id"].to_numpy())
         cell = cell.take(pa.array(order))
-        ids, copies, home, here = (cell[c].to_numpy() for c in ("id", "copies", "home", "cell"))
+        ids, copies, home = (cell[c].to_numpy() for c in ("id", "copies", "home"))
+        here = cell["cluster"][0].as_py()
         exact = _scaled(_matrix(cell["vector"], width))
         lists = cell["near"].combine_chunks()
         lengths = np.diff(lists.offsets.to_numpy())
@@ -162,6 +187,26 @@ def _search(nodes: DataFrame, visits: DataFrame, least: float, beam: int, width:
                 parent[x] = x = parent[parent[x]]
             return x
 
+        inside_all = core.covers(query, exact, least)
+        if inside_all.any():
+            # All nodes are hits; those of other homes are counted there.
+            own = home == here
+            whole, everyone = who[inside_all], int(copies[own].sum())
+            itself = np.searchsorted(ids, whole)
+            met = (itself < len(ids)) & (ids[np.minimum(itself, len(ids) - 1)] == whole)
+            minus = np.where(met, np.where(own, copies, 0)[np.minimum(itself, len(ids) - 1)], 0)
+            others = np.unique(home[~own]).tolist()
+            for q, self_met, less in zip(whole.tolist(), met.tolist(), minus.tolist()):
+                if self_met and len(ids) == 1:
+                    continue
+                counts.append((q, everyone - less))
+                further += [(q, c) for c in others]
+                a, b = root(ids[0].item()), root(q)
+                parent[max(a, b)] = min(a, b)
+            for x in ids.tolist() if counts else []:
+                a, b = root(ids[0].item()), root(x)
+                parent[max(a, b)] = min(a, b)
+            who, query = who[~inside_all], query[~inside_all]
         for begin in range(0, len(who), 1024):
             block = slice(begin, begin + 1024)
             found = core.range_search(query[block].astype(np.float32), light, near, start, least - MARGIN, beam)
@@ -170,11 +215,10 @@ def _search(nodes: DataFrame, visits: DataFrame, least: float, beam: int, width:
                 hits = hits[exact[hits] @ mine >= least]
                 if not len(hits):
                     continue
-                own = home[hits] == here[0]
-                counts.append((q, int(copies[hits[own]].sum())))
                 # Other pieces of this cluster are visited anyway.
-                clusters = np.unique(home[hits[~own]] // PIECES)
-                further += [(q, c) for c in clusters[clusters != here[0] // PIECES].tolist()]
+                own = home[hits] == here
+                counts.append((q, int(copies[hits[own]].sum())))
+                further += [(q, c) for c in np.unique(home[hits[~own]]).tolist()]
                 for x in ids[hits].tolist():
                     a, b = root(q), root(x)
                     if a != b:
@@ -187,14 +231,14 @@ def _search(nodes: DataFrame, visits: DataFrame, least: float, beam: int, width:
         return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     nodes, visits = _in_chunks(nodes, visits)
-    left = nodes.select("cell", "chunk", "id", "copies", "vector", "home", "near").groupBy("cell", "chunk")
+    left = nodes.select("cell", "cluster", "chunk", "id", "copies", "vector", "home", "near").groupBy("cell", "chunk")
     right = visits.select("cell", "chunk", "id", "vector").groupBy("cell", "chunk")
     return left.cogroup(right).applyInArrow(run, "kind int, a bigint, b bigint")
 
 
 def audit(points: DataFrame, counts: DataFrame, least: float, width: int, seed: int = 3) -> Audit:
     """Recall of link counts for ``AUDITED`` queries against brute force in blocks; what was found has no part in their choice."""
-    chosen = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(AUDITED)
+    chosen = points.orderBy(F.xxhash64("vector", F.lit(seed)), "id").limit(AUDITED)
     some = chosen.join(counts, "id", "left").select("id", "vector", F.coalesce("n", F.lit(0)).alias("n")).toArrow()
     queries, who = _scaled(_matrix(some["vector"], width)), some["id"].to_numpy()
 
@@ -219,32 +263,39 @@ def audit(points: DataFrame, counts: DataFrame, least: float, width: int, seed:
 def link_points(points: DataFrame, width: int, least: float, beam: int, overlap: int, seed: int = 9) -> tuple[DataFrame, DataFrame]:
     """``(id, n)`` and ``(a, b)`` over distinct valid vectors ``(id, copies, vector)``."""
     total = points.count()
-    sample = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE).select("id", "vector").toArrow()
-    sample = sample.take(pa.array(np.argsort(sample["id"].to_numpy())))
+    sample = points.orderBy(F.xxhash64("vector", F.lit(seed)), "id").limit(SAMPLE).select("id", "vector").toArrow()
     known = _scaled(_matrix(sample["vector"], width))
-    centres = core.k_means(known, max(1, min(MOST_CENTRES, len(known), -(-total // CELL))), seed)
-    first = written(_members(points, centres, {}, overlap, width), "members")
-    sizes = first.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") > PIECE).collect()  # one row per centre at most
-    pieces = {r["cluster"]: -(-r["n"] // PIECE) for r in sizes}
-    members = written(_members(points, centres, pieces, overlap, width), "pieces") if pieces else first
+    known = known[np.lexsort(known.T)]
+    wanted = max(1, -(-total // CELL))
+    centres, codes = core.k_means(known, min(MOST_CENTRES, len(known), wanted), seed), None
+    if wanted > MOST_CENTRES:
+        rest = known - centres[_clusters(known, centres, None, 1)[:, 0]]
+        codes = core.mean_centres(rest, min(MOST_CENTRES, len(known), -(-wanted // len(centres))), seed)
+    first = written(_members(points, centres, codes, overlap, width), "members")
+    sizes = first.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") > PIECE)
+    # One row per large cluster: their number grows with the vectors, so it stays a table.
+    pieces = written(sizes.select("cluster", F.ceil(F.col("n") / PIECE).cast("long").alias("pieces")), "large")
+    cell = lambda piece: (F.col("cluster") * PIECES + piece).alias("cell")
+    placed = first.join(pieces, "cluster", "left")
+    members = written(placed.select(cell(F.col("salt") % F.coalesce("pieces", F.lit(1))), *first.columns), "cells")
     nodes = written(members.join(_adjacency(members, width), "id"), "nodes")
-    spread = F.sequence(F.lit(0), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in pieces.items() for x in kv]), F.col("cluster")), F.lit(1)) - 1) if pieces else F.array(F.lit(0))
 
     def all_pieces(asked: DataFrame, *columns: str) -> DataFrame:
         """A query visits every piece of a cluster."""
-        return asked.select("id", *columns, "cluster", F.explode(spread).alias("piece")).select(
-            "id", *columns, (F.col("cluster") * PIECES + F.col("piece")).alias("cell")
-        )
+        last = F.coalesce("pieces", F.lit(1)) - 1
+        each = asked.join(pieces, "cluster", "left").select("id", *columns, "cluster", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+        return each.select("id", *columns, cell(F.col("piece")))
 
     visits = written(all_pieces(members, "vector"), "visits")
-    seen, results, turn = visits.select("id", "cell"), [], 0
+    seen, results, spent, turn = visits.select("id", "cell"), [], [first, pieces, members, nodes, visits], 0
     while True:
         turn += 1
         result = written(_search(nodes, visits, least, beam, width), f"search-{turn}")
         results.append(result)
         more = all_pieces(result.filter("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("cluster")).distinct())
         more = written(more.join(seen, ["id", "cell"], "left_anti"), f"more-{turn}")
-        if not more.take(1):
+        spent.append(more)
+        if is_empty(more):
             break
         visits = more.join(points.select("id", "vector"), "id")
         seen = seen.unionByName(more)
@@ -252,7 +303,9 @@ def link_points(points: DataFrame, width: int, least: float, beam: int, overlap:
     for result in results[1:]:
         found = found.unionByName(result)
     counts = written(found.filter("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("n")), "counts")
-    return counts, found.filter("kind = 1").select("a", "b")
+    edges = written(found.filter("kind = 1").select("a", "b").distinct(), "stars")
+    discard(*spent, *results)
+    return counts, edges
 
 
 def near_duplicates(
@@ -275,9 +328,9 @@ def near_duplicates(
     usable = rows.filter(F.col("vec_id").isNotNull() & _valid("vector")).withColumn(
         "vector", F.transform("vector", lambda x: F.when(x == 0, F.lit(0)).otherwise(x)).cast(kind)
     )
-    # A node is named by the hash of its vector: two different vectors may carry one identifier.
+    # A node is named by a number that the written table fixes: two different vectors may carry one identifier, and hashes may collide.
     groups = usable.groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    points = written(groups.withColumn("id", F.xxhash64("vector")), "points")
+    points = written(groups.withColumn("id", F.monotonically_increasing_id()), "points")
     width = points.agg(F.max(F.size("vector"))).first()[0]
     if width is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

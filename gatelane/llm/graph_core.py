@@ -26,6 +26,30 @@ def k_means(sample: np.ndarray, k: int, seed: int, rounds: int = 6) -> np.ndarra
     return centres
 
 
+def mean_centres(sample: np.ndarray, k: int, seed: int, rounds: int = 6) -> np.ndarray:
+    """Plain k-means by distance, for what the centres of ``k_means`` leave over."""
+    rng = np.random.default_rng(seed)
+    centres = sample[rng.choice(len(sample), k, replace=False)].copy()
+    for _ in range(rounds):
+        half = (centres**2).sum(1) / 2
+        near = np.concatenate([(sample[i : i + 4096] @ centres.T - half).argmax(1) for i in range(0, len(sample), 4096)])
+        sums, count = np.zeros_like(centres), np.bincount(near, minlength=k)
+        np.add.at(sums, near, sample)
+        centres[count > 0] = sums[count > 0] / count[count > 0, None]
+    return centres
+
+
+def covers(queries: np.ndarray, vectors: np.ndarray, least: float, margin: float = 1e-6) -> np.ndarray:
+    """Queries that have every vector at cosine ``least`` or more, told by the vectors' centre and radius: no false ones, some missed."""
+    centre = vectors.mean(0)
+    length = np.linalg.norm(centre)
+    if length < 1e-9:
+        return np.zeros(len(queries), bool)
+    centre = centre / length
+    radius = np.arccos(np.clip((vectors @ centre).min(), -1, 1))
+    return np.arccos(np.clip(queries @ centre, -1, 1)) + radius <= np.arccos(least) - margin
+
+
 def robust_prune(own: np.ndarray, candidates: np.ndarray, vectors: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """Nearest first; a kept neighbour rules out those ``alpha`` times nearer to it than to the node."""
     points = vectors[candidates]

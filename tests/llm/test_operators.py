@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatelane.llm import bpe, embedding_graph, graph, mixture, quality, sharding, simhash, suffix_core, suffix_index, toxicity, url_reputation, warc
+from gatelane.llm import bpe, embedding_graph, graph, graph_core, mixture, quality, sharding, simhash, suffix_core, suffix_index, toxicity, url_reputation, warc
 from gatelane.llm.common import prepare, written
 from gatelane.llm.queries import RULES
 from tests.llm import brute
@@ -309,6 +309,56 @@ def test_follow_on_visits_reach_all_pieces(sp, monkeypatch):
     assert all((q, c) in asked for q, k in {(q, c // 100_000) for q, c in asked} for c in cells if c // 100_000 == k)
 
 
+def test_clusters_grow_beyond_the_centres(sp, monkeypatch):
+    """Two codebooks of bounded size name more clusters than either has rows; links are found as before, in every order of the rows."""
+    monkeypatch.setattr(embedding_graph, "MOST_CENTRES", 8)
+    monkeypatch.setattr(embedding_graph, "CELL", 15)
+    monkeypatch.setattr(embedding_graph, "PIECE", 60)
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(30, 16))
+    rows = [(i, (centres[i % 30] + rng.normal(size=16) * 0.3).tolist()) for i in range(900)] + [(2000 + i, (centres[0] + rng.normal(size=16) * 0.02).tolist()) for i in range(150)]
+    clusters, search = set(), embedding_graph._search
+
+    def watched(nodes, *rest):
+        clusters.update(r.cluster for r in nodes.select("cluster").distinct().collect())
+        return search(nodes, *rest)
+
+    monkeypatch.setattr(embedding_graph, "_search", watched)
+    want = {i: (n, c) for i, n, c in brute.vector_links([(i, [float(np.float32(x)) for x in v]) for i, v in rows])}
+    df = sp.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = embedding_graph.near_duplicates(df)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in found.collect()}
+    assert len(clusters) > 20
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(n for n, _ in got.values()) >= 0.97 * sum(n for n, _ in want.values())
+    assert np.mean([got[i][1] == want[i][1] for i in want]) > 0.95
+    assert rows_of(found, "vec_id", "n_links") == rows_of(embedding_graph.near_duplicates(df.repartition(5)), "vec_id", "n_links")
+
+
+def test_nearest_clusters_of_two_codebooks():
+    rng = np.random.default_rng(5)
+    rows, centres, codes = graph_core.unit(rng.normal(size=(200, 6))), graph_core.unit(rng.normal(size=(7, 6))), rng.normal(size=(9, 6)) * 0.2
+    got = embedding_graph._clusters(rows, centres, codes, 7)
+    every = (centres[:, None, :] + codes).reshape(-1, 6)
+    for row, found in zip(rows, got):
+        far = ((every - row) ** 2).sum(1)
+        assert list(np.argsort(far, kind="stable")[:7]) == list(found)
+    assert len(np.unique(embedding_graph._salt(rows))) == 200
+
+
+@pytest.mark.parametrize("spread", [0.001, 0.02, 0.1, 0.5])
+def test_whole_cells_in_range(spread):
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        centre = rng.normal(size=8)
+        nodes = graph_core.unit(centre + rng.normal(size=(40, 8)) * spread)
+        queries = graph_core.unit(centre + rng.normal(size=(40, 8)) * rng.choice([0.01, 0.1, 0.3, 1.0]))
+        covered = graph_core.covers(queries, nodes, 0.9)
+        assert ((queries @ nodes.T).min(1) >= 0.9)[covered].all()
+        if spread < 0.01:
+            assert covered[(queries @ graph_core.unit(centre[None])[0]) > 0.93].all()
+
+
 def test_visits_of_a_cell_are_bounded(sp, monkeypatch):
     """A cell that very many queries visit meets them in chunks, each with all nodes of the cell, each query once."""
     monkeypatch.setattr(embedding_graph, "VISITS", 50)
