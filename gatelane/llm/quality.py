@@ -8,22 +8,27 @@ documents compare; it is kept when that mean reaches a fixed threshold. No sampl
 same document always gets the same verdict.
 
 Counting sends at most one row per bucket and task through the shuffle; the two counts of each
-bucket (a fixed number) reach the driver and travel with the scoring function.
+bucket (a fixed number) reach the driver and travel with the scoring function. The corpus is
+counted where it is read. Only texts that a bloom filter of the trusted identifiers lets
+through are moved to meet those identifiers exactly; the filter has at most ``BLOOM_BITS``
+bits, so beyond some ten million trusted identifiers it lets more through and loses none.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from contextlib import contextmanager
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 LEAST = -0.12  # mean log-likelihood ratio per n-gram that a kept document reaches
 WINDOW = 5
+BLOOM_BITS = 1 << 26
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -75,37 +80,60 @@ def _texts(batch, at):
         yield text or b""
 
 
-def bucket_counts(docs: DataFrame, trusted: str, text: str = "text") -> DataFrame:
-    """``bucket, raw, target``: n-grams of all rows, and of those whose boolean ``trusted`` is true."""
+@contextmanager
+def bloom_joins(spark: SparkSession):
+    """Joins planned and run inside shuffle, their larger side filtered by a bloom filter of the smaller one, at every size."""
+    bloom = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {
+        bloom + "enabled": "true", bloom + "applicationSideScanSizeThreshold": "0", bloom + "creationSideThreshold": "1g",
+        bloom + "maxNumBits": str(BLOOM_BITS), bloom + "expectedNumItems": str(BLOOM_BITS // 8), bloom + "maxNumItems": str(BLOOM_BITS // 8),
+        "spark.sql.autoBroadcastJoinThreshold": "-1",  # a join that could be a broadcast gets no filter
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def bucket_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``bucket, n``: n-grams of all rows."""
 
     def run(batches):
-        counts = np.zeros((2, BUCKETS), np.int64)
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for own, value in zip(batch.column(1).to_pylist(), _texts(batch, 0)):
+            for value in _texts(batch, 0):
                 words = value.split()
-                if words:
-                    found = np.bincount(ngram_buckets(_word_crcs(words)), minlength=BUCKETS) if len(words) > 2000 else None
-                    for side in (0, 1) if own else (0,):
-                        if found is not None:
-                            counts[side] += found
-                        else:
-                            np.add.at(counts[side], ngram_buckets(_word_crcs(words)), 1)
-        filled = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(counts[0][filled]), pa.array(counts[1][filled])], ["bucket", "raw", "target"])
+                if len(words) > 2000:
+                    counts += np.bincount(ngram_buckets(_word_crcs(words)), minlength=BUCKETS)
+                elif words:
+                    np.add.at(counts, ngram_buckets(_word_crcs(words)), 1)
+        filled = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(counts[filled])], ["bucket", "n"])
 
-    per_task = docs.select(text, F.coalesce(trusted, F.lit(False)).alias("own")).mapInArrow(run, "bucket bigint, raw bigint, target bigint")
-    return per_task.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    per_task = docs.select(text).mapInArrow(run, "bucket bigint, n bigint")
+    return per_task.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def ratios(counts: DataFrame) -> np.ndarray:
+def trusted_rows(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", mark: str = "quality") -> DataFrame:
+    """Text of every row whose identifier has a label row with ``mark`` 1."""
+    trusted = labels.filter(F.col(mark) == 1).select(F.col(ident).alias("_ident"))
+    # One plan at every size: the labels grow with the documents, so neither side is broadcast.
+    return docs.select(F.col(ident).alias("_doc"), text).join(trusted.hint("merge"), F.col("_doc") == F.col("_ident"), "left_semi").select(text)
+
+
+def ratios(raw: DataFrame, target: DataFrame) -> np.ndarray:
     """Log-likelihood ratio target to corpus per bucket, both smoothed towards the corpus by one count a bucket.
 
     Without a trusted document all ratios are zero.
     """
     both = np.zeros((2, BUCKETS))
-    found = counts.toArrow()  # BUCKETS rows at most
-    at = found["bucket"].to_numpy()
-    both[0, at], both[1, at] = found["raw"].to_numpy(), found["target"].to_numpy()
+    for side, counts in enumerate((raw, target)):
+        found = counts.toArrow()  # BUCKETS rows at most
+        both[side, found["bucket"].to_numpy()] = found["n"].to_numpy()
     corpus = (both[0] + 1) / (both[0].sum() + BUCKETS)
     if not both[1].sum():
         return np.zeros(BUCKETS)
@@ -120,10 +148,10 @@ def likelihood_filter(docs: DataFrame, labels: DataFrame, ident: str = "doc_id",
     empty texts have no words, fail the base rules and have ratio zero. A row without identifier
     is never trusted. Repeated rows stay. Other columns are not read.
     """
-    trusted = labels.filter(F.col(mark) == 1).select(F.col(ident).alias("_ident")).distinct().withColumn("_own", F.lit(True))
-    # One plan at every size: the labels grow with the documents, so neither side is broadcast.
-    marked = docs.select(ident, text).join(trusted.hint("merge"), F.col(ident) == F.col("_ident"), "left")
-    weights = docs.sparkSession.sparkContext.broadcast(ratios(bucket_counts(marked, "_own", text)))
+    spark = docs.sparkSession
+    with bloom_joins(spark):
+        found = ratios(bucket_counts(docs, text), bucket_counts(trusted_rows(docs, labels, ident, text, mark), text))
+    weights = spark.sparkContext.broadcast(found)
     kind = docs.schema[ident].dataType.simpleString()
 
     def run(batches):

@@ -255,6 +255,23 @@ def test_quality_verdict(sp):
     assert sorted(got, key=repr) == sorted(want, key=repr) and len({k for _, _, k in want}) == 2
 
 
+def test_only_trusted_texts_move(sp, tmp_path):
+    """The semi-join of the trusted rows reads the texts through a bloom filter of the identifiers, and puts the session's settings back."""
+    sp.range(3000).selectExpr("id AS doc_id", "concat('text of ', id) AS text", "id AS _ident").write.parquet(f"{tmp_path}/d")
+    sp.range(3000).selectExpr("id AS doc_id", "int(id % 50 = 0) AS quality").write.parquet(f"{tmp_path}/l")
+    docs, labels = sp.read.parquet(f"{tmp_path}/d"), sp.read.parquet(f"{tmp_path}/l")
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = sp.conf.get(key)
+    with quality.bloom_joins(sp):
+        rows = quality.trusted_rows(docs, labels)
+        assert "might_contain" in rows._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r.text for r in rows.collect()) == sorted(f"text of {i}" for i in range(0, 3000, 50))
+    assert sp.conf.get(key) == before
+    # Repeated labels count a row once, rows that repeat count each time.
+    again = quality.trusted_rows(docs.filter("doc_id < 60").unionAll(docs.filter("doc_id = 50")), labels.unionAll(labels))
+    assert sorted(r.text for r in again.collect()) == ["text of 0", "text of 50", "text of 50"]
+
+
 def test_training_rows_are_bounded(sp):
     """A labelled identifier with very many rows counts once, and the words of the sample have a limit."""
     rng = random.Random(3)
