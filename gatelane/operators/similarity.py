@@ -1,9 +1,10 @@
 """Best-match search, linear heads and centroids over vector columns.
 
-The matching join never materialises pairs. Both sides are cut into blocks of at
-most ``block_rows`` rows per cell, each block pair is one matrix product inside a
+The matching join never materialises pairs. Both sides are cut into blocks of bounded
+size per cell, each block pair is searched by matrix products of tiles inside a
 task, and only the best candidate per query and block leaves the task. A hot cell
-therefore becomes many equal blocks instead of one large group.
+therefore becomes many equal blocks instead of one large group. A row is copied once per
+block of the other side, so blocks grow with the table, up to ``GROUP_ROWS``, before their number does.
 
 Cells are chosen so that a query meets only entries that can still matter:
 
@@ -13,9 +14,10 @@ Cells are chosen so that a query meets only entries that can still matter:
 * place windows, when only the latest entries count: a query looks at the at most two windows
   that its latest entries lie in;
 * pivots, when there are many entries and no expiry: each entry belongs to its
-  nearest pivot, and the triangle inequality on angles rules out whole cells. The rule is exact for unit vectors. A
-  score floor gives the bound; without one a first pass answers every query from the cell of its own nearest pivot,
-  and that answer is the bound for a second pass over the other cells.
+  nearest pivot, and the triangle inequality on angles rules out whole cells. The rule is exact for unit vectors.
+  Neighbouring cells share a bin; a query is sent once to every bin with a cell that can matter, and the task skips the
+  other cells of the bin. A score floor gives the bound; without one a first pass answers every query from the bin of its
+  own nearest pivot, and that answer is the bound for a second pass over the other bins.
 """
 
 from __future__ import annotations
@@ -31,8 +33,13 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 BLOCK_ROWS = 2048
+BLOCKS = 16  # blocks of a side before these grow beyond BLOCK_ROWS
+BINS = 40  # bins of pivot cells, as long as none holds more than GROUP_ROWS on average
+GROUP_ROWS = 1 << 15  # rows of a side that one task holds at most
+TILE = 2048  # queries multiplied at once
 MAX_CLASSES = 4096
 SCORE_DIGITS = 9  # equal vectors must tie whatever the shape of their block
+ANGLE_SLACK = 3e-3  # unit vectors of single precision have angles that are off by up to 1e-3
 
 
 def as_matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -114,53 +121,76 @@ def _pivot_matrix(entries: DataFrame, pivots: int) -> np.ndarray:
     return np.array([r[0] for r in rows], dtype=np.float64)
 
 
-def _with_entry_cell(entries: DataFrame, pivots: np.ndarray) -> DataFrame:
-    @F.arrow_udf("struct<cell:int,angle:double>")
+def _with_entry_cell(entries: DataFrame, pivots: np.ndarray, bins: np.ndarray | None = None) -> DataFrame:
+    """Add ``_cell``, the nearest pivot, ``_bin``, the bin of that, and ``_angle`` to it."""
+    bins = np.zeros(len(pivots), np.int32) if bins is None else bins
+
+    @F.arrow_udf("struct<cell:int,bin:int,angle:double>")
     def nearest(v: pa.Array) -> pa.Array:
         scores = as_matrix(v) @ pivots.T if len(v) else np.zeros((0, 1))
         cell = scores.argmax(axis=1) if len(v) else np.zeros(0, np.int64)
         angle = np.arccos(np.clip(scores[np.arange(len(cell)), cell], -1, 1))
-        return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(angle)], ["cell", "angle"])
+        return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(bins[cell]), pa.array(angle)], ["cell", "bin", "angle"])
+
+    return entries.withColumn("_n", nearest("_v")).select("*", *(F.col(f"_n.{c}").alias(f"_{c}") for c in ("cell", "bin", "angle"))).drop("_n")
+
 
-    return entries.withColumn("_n", nearest("_v")).select("*", F.col("_n.cell").alias("_cell"), F.col("_n.angle").alias("_angle"))
+def _layout(entries: DataFrame, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pivots, the radius of each cell (-1: empty) and its bin: neighbouring cells, the cells nearest to one of the first pivots."""
+    matrix = _pivot_matrix(entries, pivots)
+    radius, rows = np.full(len(matrix), -1.0), 0
+    if len(matrix):
+        for row in _with_entry_cell(entries, matrix).groupBy("_cell").agg(F.max("_angle").alias("r"), F.count("*").alias("n")).collect():  # one row per pivot
+            radius[row["_cell"]], rows = row["r"], rows + row["n"]
+    first = matrix[: max(BINS, math.ceil(rows / GROUP_ROWS))]
+    return matrix, radius, (matrix @ first.T).argmax(axis=1).astype(np.int32) if len(matrix) else np.zeros(0, np.int32)
 
 
-def _query_cells(vector: Column, pivots: np.ndarray, radius: np.ndarray, floor: float, pivots_count: bool) -> Column:
+def _reached(v: np.ndarray, low: np.ndarray, pivots: np.ndarray, radius: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Per vector and bin: whether a cell of the bin may hold an entry that scores ``low`` or more."""
+    out = np.zeros((len(v), int(bins.max()) + 1), bool)
+    of = np.eye(out.shape[1], dtype=np.float32)[bins]
+    for a in range(0, len(v), TILE):
+        some = slice(a, a + TILE)
+        reach = radius[None, :] + np.arccos(np.clip(low[some] - 10.0**-SCORE_DIGITS, -1, 1))[:, None] + ANGLE_SLACK
+        keep = (np.arccos(np.clip(v[some] @ pivots.T, -1, 1)) <= reach) & (radius >= 0)[None, :]
+        out[some] = keep.astype(np.float32) @ of > 0
+    return out
+
+
+def _query_bins(vector: Column, pivots: np.ndarray, radius: np.ndarray, bins: np.ndarray, floor: float, pivots_count: bool) -> Column:
     @F.arrow_udf("array<int>")
-    def cells(v: pa.Array) -> pa.Array:
+    def reached(v: pa.Array) -> pa.Array:
         if not len(v):
             return pa.array([], pa.list_(pa.int32()))
-        scores = np.clip(as_matrix(v) @ pivots.T, -1, 1)
+        v = as_matrix(v)
         # A pivot is itself an entry: its score is a floor for the best match.
-        low = np.maximum(floor, scores.max(axis=1)) if pivots_count else np.full(len(scores), floor)
-        reach = radius[None, :] + np.arccos(np.clip(low - 10.0**-SCORE_DIGITS, -1, 1))[:, None] + 1e-9
-        keep = (np.arccos(scores) <= reach) & (radius >= 0)[None, :]
-        return pa.array([np.nonzero(row)[0].astype(np.int32) for row in keep], pa.list_(pa.int32()))
+        low = np.maximum(floor, (v @ pivots.T).max(axis=1)) if pivots_count else np.full(len(v), floor)
+        return pa.array([np.flatnonzero(row).astype(np.int32) for row in _reached(v, low, pivots, radius, bins)], pa.list_(pa.int32()))
 
-    return cells(vector)
+    return reached(vector)
 
 
-def _better_cells(pivots: np.ndarray, radius: np.ndarray) -> Column:
-    """Cells other than the query's own that may hold a better entry than ``_low``, the best one known (null: none)."""
+def _better_bins(pivots: np.ndarray, radius: np.ndarray, bins: np.ndarray) -> Column:
+    """Bins other than the query's own that may hold a better entry than ``_low``, the best one known (null: none)."""
 
     @F.arrow_udf("array<int>")
-    def cells(v: pa.Array, known: pa.Array, own: pa.Array) -> pa.Array:
+    def reached(v: pa.Array, known: pa.Array, own: pa.Array) -> pa.Array:
         if not len(v):
             return pa.array([], pa.list_(pa.int32()))
-        angles = np.arccos(np.clip(as_matrix(v) @ pivots.T, -1, 1))
         low = known.fill_null(-1.0).to_numpy(zero_copy_only=False)
-        reach = radius[None, :] + np.arccos(np.clip(low - 10.0**-SCORE_DIGITS, -1, 1))[:, None] + 1e-9
-        keep = (angles <= reach) & (radius >= 0)[None, :]
+        keep = _reached(as_matrix(v), low, pivots, radius, bins)
         keep[np.arange(len(keep)), own.to_numpy(zero_copy_only=False)] = False
-        return pa.array([np.nonzero(row)[0].astype(np.int32) for row in keep], pa.list_(pa.int32()))
+        return pa.array([np.flatnonzero(row).astype(np.int32) for row in keep], pa.list_(pa.int32()))
 
-    return cells("_v", "_low", "_cell")
+    return reached("_v", "_low", "_bin")
 
 
 def _blocked(queries: DataFrame, entries: DataFrame, cell: list[str], kernel, out: str, block_rows: int) -> DataFrame:
     """Run ``kernel`` on every pair of blocks that share a cell."""
     def blocks(rows: Column) -> Column:
-        return F.greatest(F.ceil(rows / block_rows), F.lit(1)).cast("int")
+        most = F.greatest(F.ceil(rows / max(GROUP_ROWS, block_rows)), F.lit(BLOCKS))
+        return F.greatest(F.least(F.ceil(rows / block_rows), most), F.lit(1)).cast("int")
 
     def sized(df: DataFrame) -> DataFrame:
         """Number of query and entry blocks in the row's cell."""
@@ -186,16 +216,23 @@ def _blocked(queries: DataFrame, entries: DataFrame, cell: list[str], kernel, ou
         .drop("_nq", "_ne")
     )
     group = [*cell, "_bq", "_be"]
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(kernel, out)
 
-    def run(q: pa.Table, e: pa.Table) -> pa.Table:
-        scores = as_matrix(q["_v"]) @ as_matrix(e["_v"]).T if q.num_rows and e.num_rows else np.zeros((q.num_rows, e.num_rows))
-        return kernel(q, e, scores)
 
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(run, out)
+def _balls(e: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For entries sorted by cell: where each cell begins and ends, its centre and the largest angle from that."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(cells)) + 1, [len(cells)]])
+    centres, radius = np.empty((len(edges) - 1, e.shape[1])), np.empty(len(edges) - 1)
+    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        mean = e[a:b].mean(axis=0)
+        centres[i] = mean / max(np.linalg.norm(mean), 1e-9)
+        radius[i] = np.arccos(np.clip((e[a:b] @ centres[i]).min(), -1, 1))
+    return edges, centres, radius
 
 
 def _prepare(df: DataFrame, ident: str, vector: str, on: list[str], ts: Column | None, extra: dict[str, Column]) -> DataFrame:
-    cols = [F.col(ident).alias("_id"), F.col(vector).cast("array<double>").alias("_v")]
+    kind = df.schema[vector].dataType.simpleString()
+    cols = [F.col(ident).alias("_id"), F.col(vector).cast(kind if kind == "array<float>" else "array<double>").alias("_v")]
     cols += [F.col(c).alias(f"_on_{c}") for c in on]
     cols += [(F.lit(0.0) if ts is None else ts.cast("double")).alias("_t")]
     cols += [] if "_p" in extra else [F.lit(0).cast("bigint").alias("_p")]
@@ -228,34 +265,27 @@ def _cells(q: DataFrame, e: DataFrame, on: list[str], timed: bool, ttl: float |
         q = q.withColumn("_pw", F.explode(F.array_distinct(F.array(at(F.col("_p")), at(F.col("_p") - latest + 1)))))
         cell.append("_pw")
     if pivots:
-        matrix = _pivot_matrix(e, pivots)
+        matrix, radius, bins = _layout(e, pivots)
         if len(matrix):
-            e = _with_entry_cell(e, matrix)
-            radius = np.full(len(matrix), -1.0)
-            for row in e.groupBy("_cell").agg(F.max("_angle").alias("r")).collect():  # one row per pivot
-                radius[row["_cell"]] = row["r"]
-            e = e.drop("_n", "_angle")
+            e = _with_entry_cell(e, matrix, bins).drop("_angle")
             # Every pivot is a candidate of every query, unless keys, times or the query itself rule it out.
             unconditional = not on and not timed and own_counts
-            q = q.withColumn("_cell", F.explode(_query_cells(F.col("_v"), matrix, radius, -1.0 if floor is None else floor, unconditional)))
-            cell.append("_cell")
+            q = q.withColumn("_bin", F.explode(_query_bins(F.col("_v"), matrix, radius, bins, -1.0 if floor is None else floor, unconditional)))
+            cell.append("_bin")
     return q, e, cell
 
 
 def _two_passes(q: DataFrame, e: DataFrame, cell: list[str], pivots: int, search) -> DataFrame:
-    """What ``search(q, e, cell)`` finds, in two passes over pivot cells."""
-    matrix = _pivot_matrix(e, pivots)
+    """What ``search(q, e, cell)`` finds, in two passes over bins of pivot cells."""
+    matrix, radius, bins = _layout(e, pivots)
     if not len(matrix):
         return search(q, e, cell)
-    entries = _with_entry_cell(e, matrix).drop("_n")
-    radius = np.full(len(matrix), -1.0)
-    for row in entries.groupBy("_cell").agg(F.max("_angle").alias("r")).collect():  # one row per pivot
-        radius[row["_cell"]] = row["r"]
-    near, entries, cell = _with_entry_cell(q, matrix).drop("_n", "_angle"), entries.drop("_angle"), [*cell, "_cell"]
-    first = cut_lineage(search(near, entries, cell), "nearest-cell")
+    entries, cell = _with_entry_cell(e, matrix, bins).drop("_angle"), [*cell, "_bin"]
+    near = _with_entry_cell(q, matrix, bins).drop("_angle", "_cell")
+    first = cut_lineage(search(near, entries, cell), "nearest-bin")
     known = first.groupBy("_id").agg(F.max("_s").alias("_low"))
     bounded = near.join(known, "_id", "left")
-    others = bounded.withColumn("_cell", F.explode(_better_cells(matrix, radius))).drop("_low")
+    others = bounded.withColumn("_bin", F.explode(_better_bins(matrix, radius, bins)))
     return first.unionByName(search(others, entries, cell))
 
 
@@ -308,30 +338,77 @@ def best_match(
     q, e, cell = _cells(q, e, on, timed, ttl, 0 if bounded else pivots, min_score, not exclude_self and not latest, latest, block_rows)
     newest = prefer == "newest"
 
-    def kernel(qt: pa.Table, et: pa.Table, exact: np.ndarray) -> pa.Table:
-        q_t, e_t = _column(qt, "_t"), _column(et, "_t")
-        scores = np.round(exact, SCORE_DIGITS)
-        if timed:
-            scores = np.where(_times_ok(q_t, e_t, ttl), scores, -np.inf)
-        if latest:
-            scores = np.where(_column(qt, "_p")[:, None] - _column(et, "_p")[None, :] < latest, scores, -np.inf)
-        if exclude_self and scores.size:
-            mine = pc.index_in(qt["_id"], value_set=et["_id"].combine_chunks()).fill_null(-1).to_numpy()
-            scores[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -np.inf
-        if min_score is not None:
-            scores = np.where(exact >= min_score, scores, -np.inf)
+    def kernel(qt: pa.Table, et: pa.Table) -> pa.Table:
         by = [("_t", "descending"), ("_id", "descending")] if newest else [("_id", "ascending")]
-        rank = pc.sort_indices(et, sort_keys=by).to_numpy()
-        if not scores.size:
-            best, top, keep = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        else:
-            best = rank[scores[:, rank].argmax(axis=1)]
-            top = scores[np.arange(len(best)), best]
-            keep = np.flatnonzero(top > -np.inf)
+        et = et.take(pc.sort_indices(et, sort_keys=by))
+        qt = qt.take(pc.sort_indices(qt, sort_keys=[("_t", "ascending")]))
+        wish = np.arange(et.num_rows)  # place in the order that breaks ties
+        if "_cell" in et.column_names:
+            wish = np.argsort(_column(et, "_cell"), kind="stable")
+            et = et.take(pa.array(wish))
+        top, best = np.full(qt.num_rows, -np.inf), np.zeros(qt.num_rows, np.int64)
+        if qt.num_rows and et.num_rows:
+            _search(qt, et, wish, top, best)
+        keep = np.flatnonzero(top > -np.inf)
         chosen = pa.array(best[keep])
-        return pa.table({"_id": qt["_id"].take(pa.array(keep)), "_m": et["_id"].take(chosen), "_s": top[keep], "_mt": e_t[best[keep]]})
-
-    search = lambda q, e, cell: _blocked(q, e, cell, kernel, out, block_rows)
+        return pa.table({"_id": qt["_id"].take(pa.array(keep)), "_m": et["_id"].take(chosen), "_s": top[keep], "_mt": _column(et, "_t")[best[keep]]})
+
+    def _search(qt: pa.Table, et: pa.Table, wish: np.ndarray, top: np.ndarray, best: np.ndarray) -> None:
+        """Set ``top`` and ``best``, score and place of each query's best entry."""
+        q, e, q_t, e_t, q_p, e_p = (f(t) for f in (lambda t: as_matrix(t["_v"]), lambda t: _column(t, "_t"), lambda t: _column(t, "_p")) for t in (qt, et))
+        low = np.full(len(q), -np.inf if min_score is None else min_score)
+        if "_low" in qt.column_names:
+            low = np.fmax(low, _column(qt, "_low"))
+        mine = pc.index_in(qt["_id"], value_set=et["_id"].combine_chunks()).fill_null(-1).to_numpy() if exclude_self else None
+
+        def visit(some: np.ndarray, a: int, b: int) -> None:
+            at = np.arange(a, b)
+            if timed:
+                at = at[e_t[a:b] <= q_t[some].max()]
+                if not len(at):
+                    return
+            exact = q[some] @ e[at].T
+            if timed and (ttl or e_t[at].max() > q_t[some].min()):
+                exact[~_times_ok(q_t[some], e_t[at], ttl)] = -np.inf
+            if latest:
+                exact[q_p[some][:, None] - e_p[at][None, :] >= latest] = -np.inf
+            if exclude_self:
+                own = np.searchsorted(at, mine[some])
+                hit = np.flatnonzero((own < len(at)) & (at[np.minimum(own, len(at) - 1)] == mine[some]))
+                exact[hit, own[hit]] = -np.inf
+            high = exact.max(axis=1)
+            hope = np.flatnonzero((high > -np.inf) & (np.round(high, SCORE_DIGITS) >= np.maximum(top[some], np.round(low[some], SCORE_DIGITS))))
+            if not len(hope):
+                return
+            exact, some = exact[hope], some[hope]
+            scores = np.round(exact, SCORE_DIGITS)
+            if min_score is not None:
+                scores[exact < min_score] = -np.inf
+            place = scores.argmax(axis=1)
+            value, place = scores[np.arange(len(some)), place], at[place]
+            better = (value > top[some]) | ((value == top[some]) & (wish[place] < wish[best[some]]) & (value > -np.inf))
+            top[some[better]], best[some[better]] = value[better], place[better]
+
+        if "_cell" in et.column_names:
+            edges, centres, radius = _balls(e, _column(et, "_cell"))
+        for begin in range(0, len(q), TILE):
+            some = np.arange(begin, min(begin + TILE, len(q)))
+            if "_cell" not in et.column_names:
+                for a in range(0, len(e), TILE):
+                    visit(some, a, min(a + TILE, len(e)))
+                continue
+            angles = np.arccos(np.clip(q[some] @ centres.T, -1, 1)) - radius[None, :]
+            home = angles.argmin(axis=1)
+            for i in np.unique(home):  # a near answer first: it rules out other cells
+                visit(some[home == i], edges[i], edges[i + 1])
+            for i in range(len(radius)):
+                bound = np.maximum(low[some], top[some])
+                near = (home != i) & (angles[:, i] <= np.arccos(np.clip(bound - 10.0**-SCORE_DIGITS, -1, 1)) + ANGLE_SLACK)
+                if near.any():
+                    visit(some[near], edges[i], edges[i + 1])
+
+    # Bins are few: their blocks are as large as a task may hold, so that a row meets one or two.
+    search = lambda q, e, cell: _blocked(q, e, cell, kernel, out, GROUP_ROWS if "_bin" in cell else block_rows)
     found = _two_passes(q, e, cell, pivots, search) if bounded else search(q, e, cell)
     pair = F.struct("_m", "_s")
     best = F.max_by(pair, F.struct("_s", "_mt", "_m")) if newest else F.min_by(pair, F.struct(-F.col("_s"), F.col("_m")))
