@@ -24,6 +24,7 @@ from ..session import cut_lineage
 PER_WORD = 5  # the word, its shape, the shape without repeats, and both neighbours
 BLOCK = 8192  # parameters summed together
 FAN_IN = 32  # partial sums added by one task of the first level
+PIECE_WORDS = 1 << 15  # words of whole texts that a task works on at once; a longer text goes alone
 
 
 @dataclass(frozen=True)
@@ -69,17 +70,20 @@ def word_indices(words: list[str], features: int) -> np.ndarray:
     return (np.array(columns, np.int64).T % features).astype(np.int32) if words else np.zeros((0, PER_WORD), np.int32)
 
 
-def features(df: DataFrame, ident: str, text: str, category: str, labels: str, size: int) -> DataFrame:
-    """``ident, category, idx, flags`` per text, as a written table: the pass both heads share.
+def _pieces(batches, column: str):
+    """The rows of the batches in runs of at most ``PIECE_WORDS`` entries of the list column together."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = done = 0
+        while begin < len(ends):
+            end = max(begin + 1, int(np.searchsorted(ends, done + PIECE_WORDS, "right")))
+            yield batch.slice(begin, end - begin)
+            begin, done = end, ends[end - 1]
 
-    ``category`` counts from zero; ``labels`` has one flag per word. A text without words has empty lists and takes part in neither loss,
-    one without category only in that of the words; masked and null flags take part in none.
-    """
-    kind = df.schema[ident].dataType.simpleString()
-    rows = df.select(ident, F.col(category).cast("int").alias("category"), texts.words(F.col(text)).alias("words"), F.col(labels).cast("array<int>").alias("flags"))
 
+def _indexed(size: int):
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches, "words"):
             indices, flags = [], []
             for words, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 words = words or []
@@ -90,7 +94,19 @@ def features(df: DataFrame, ident: str, text: str, category: str, labels: str, s
                 [batch.column(0), batch.column(1), pa.array(indices, pa.list_(pa.int32())), pa.array(flags, pa.list_(pa.int32()))], ["ident", "category", "idx", "flags"]
             )
 
-    return cut_lineage(rows.mapInArrow(run, f"ident {kind}, category int, idx array<int>, flags array<int>"), "joint-features")
+    return run
+
+
+def features(df: DataFrame, ident: str, text: str, category: str, labels: str, size: int) -> DataFrame:
+    """``ident, category, idx, flags`` per text, as a written table: the pass both heads share.
+
+    ``category`` counts from zero; ``labels`` has one flag per word. A text without words has empty lists and takes part in neither loss,
+    one without category only in that of the words; masked and null flags take part in none.
+    """
+    kind = df.schema[ident].dataType.simpleString()
+    rows = df.select(ident, F.col(category).cast("int").alias("category"), texts.words(F.col(text)).alias("words"), F.col(labels).cast("array<int>").alias("flags"))
+
+    return cut_lineage(rows.mapInArrow(_indexed(size), f"ident {kind}, category int, idx array<int>, flags array<int>"), "joint-features")
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -124,7 +140,7 @@ def _partial(shape: Shape, flat: np.ndarray):
 
     def run(batches):
         loss, grads = np.zeros(4), np.zeros((2, total))
-        for batch in batches:
+        for batch in _pieces(batches, "flags"):
             idx, of, sizes, words, docs, own, known, flags, by_text, by_word = _forward(shape, flat, batch)
             (table_t, head_t, _), (table_w, _, head_w) = shape.split(grads[0]), shape.split(grads[1])
             _, text_head, word_head = shape.split(flat)
@@ -200,7 +216,7 @@ def joint_scores(model: JointModel, rows: DataFrame) -> DataFrame:
     shape, flat, kind = model.shape, model.flat, rows.schema["ident"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches, "flags"):
             _, of, sizes, _, _, own, known, flags, by_text, by_word = _forward(shape, flat, batch)
             told = by_word.argmax(axis=1)
             seen = (flags == 0) | (flags == 1)

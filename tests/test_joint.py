@@ -1,6 +1,9 @@
 """The two-task model: its gradient, its training, and odd rows."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gatelane.plans import joint
@@ -64,3 +67,30 @@ def test_odd_rows_and_an_empty_table(spark, rows):
     none = joint.features(spark.createDataFrame([], KIND), "id", "text", "category", "flags", 32)
     assert joint.loss_and_gradient(none, shape, shape.start(3), (1.0, 1.0))[0] == 0
     assert joint.train_joint(none, shape).history == [0.0] and joint.joint_scores(model, none).count() == 0
+
+
+def test_a_task_holds_a_bounded_number_of_words():
+    """The memory beside a batch does not follow its words, and the sums are those of single rows."""
+    shape = joint.Shape(3, 64, 8)
+    flat, rng = shape.start(1), np.random.default_rng(3)
+    sizes = [0, 70_000, *[300] * 1500, 0]
+    lists = lambda parts: pa.array(parts, pa.list_(pa.int32()))
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(sizes))), pa.array([i % 4 for i in range(len(sizes))], pa.int32()),
+         lists([rng.integers(0, 64, joint.PER_WORD * n) for n in sizes]), lists([rng.integers(0, 2, n) for n in sizes])],
+        ["ident", "category", "idx", "flags"],
+    )
+    tracemalloc.start()
+    whole = list(joint._partial(shape, flat)([rows]))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    single = list(joint._partial(shape, flat)(rows.slice(i, 1) for i in range(len(sizes))))[0]
+    assert np.allclose(np.concatenate(whole["v"].to_pylist()), np.concatenate(single["v"].to_pylist()))
+    assert peak < 60e6
+    texts = pa.RecordBatch.from_arrays(
+        [pa.array(range(400)), pa.array([0] * 400, pa.int32()), pa.array([None, *[[f"w{i % 7}" for i in range(1000)]] * 399], pa.list_(pa.string())), lists([[0]] * 400)],
+        ["ident", "category", "words", "flags"],
+    )
+    made = list(joint._indexed(64)([texts]))
+    assert pa.Table.from_batches(made)["ident"].to_pylist() == list(range(400))
+    assert max(len(b.column("flags").flatten()) for b in made) <= joint.PIECE_WORDS
