@@ -125,9 +125,9 @@ SELECT split, label, count(*) AS support FROM s WHERE split <> 'train' GROUP BY
 def _joint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents with their language as category and the flags of the word rule."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
-    # The languages are a fixed vocabulary of the tables; their places follow from the data.
-    names = [r["label"] for r in corpus.label_index(docs.select(F.col("lang").alias("label")), "label").orderBy("label_id").take(64) if r["label"] is not None]
-    marked = docs.withColumn("category", F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")) - 1)
+    # Every language found in the data has its place; a document without one has no category.
+    places = corpus.label_index(docs.filter(F.col("lang").isNotNull()), "lang")
+    marked = docs.join(places, "lang", "left").withColumnRenamed("label_id", "category")
     return joint.features(marked.withColumn("flags", texts.word_pii_labels(F.col("text"))), "doc_id", "text", "category", "flags", 1 << 11)
 
 
@@ -135,7 +135,9 @@ def _joint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joint_task_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two-task model on the given texts, fitted by its joint loss: words and flags of every document, and whether the loss fell throughout."""
     rows = _joint_rows(spark, sf_dir)
-    model = joint.train_joint(rows, joint.Shape(4, 1 << 11, 8), (1.0, 0.5), 4)
+    last = rows.agg(F.max("category")).first()[0]
+    classes = 1 if last is None else last + 1
+    model = joint.train_joint(rows, joint.Shape(classes, 1 << 11, 8), (1.0, 0.5), 4)
     steady = all(b < a for a, b in zip(model.history, model.history[1:])) and len(model.history) > 2
     scored = joint.joint_scores(model, rows)
     return scored.select(F.col("ident").alias("doc_id"), "n_words", (F.col("flags_right") <= F.col("n_words")).alias("within"), F.lit(steady).alias("loss_falls"))

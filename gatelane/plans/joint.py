@@ -25,6 +25,7 @@ PER_WORD = 5  # the word, its shape, the shape without repeats, and both neighbo
 BLOCK = 8192  # parameters summed together
 FAN_IN = 32  # partial sums added by one task of the first level
 PIECE_WORDS = 1 << 15  # words of whole texts that a task works on at once; a longer text goes alone
+PIECE_SHARES = 1 << 20  # class shares of texts that a task holds at once
 
 
 @dataclass(frozen=True)
@@ -70,13 +71,14 @@ def word_indices(words: list[str], features: int) -> np.ndarray:
     return (np.array(columns, np.int64).T % features).astype(np.int32) if words else np.zeros((0, PER_WORD), np.int32)
 
 
-def _pieces(batches, column: str):
-    """The rows of the batches in runs of at most ``PIECE_WORDS`` entries of the list column together."""
+def _pieces(batches, column: str, classes: int = 1):
+    """The rows of the batches in runs of at most ``PIECE_WORDS`` entries of the list column and ``PIECE_SHARES`` class shares together."""
+    most = max(1, PIECE_SHARES // classes)
     for batch in batches:
         ends = np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         begin = done = 0
         while begin < len(ends):
-            end = max(begin + 1, int(np.searchsorted(ends, done + PIECE_WORDS, "right")))
+            end = min(max(begin + 1, int(np.searchsorted(ends, done + PIECE_WORDS, "right"))), begin + most)
             yield batch.slice(begin, end - begin)
             begin, done = end, ends[end - 1]
 
@@ -140,7 +142,7 @@ def _partial(shape: Shape, flat: np.ndarray):
 
     def run(batches):
         loss, grads = np.zeros(4), np.zeros((2, total))
-        for batch in _pieces(batches, "flags"):
+        for batch in _pieces(batches, "flags", shape.classes):
             idx, of, sizes, words, docs, own, known, flags, by_text, by_word = _forward(shape, flat, batch)
             (table_t, head_t, _), (table_w, _, head_w) = shape.split(grads[0]), shape.split(grads[1])
             _, text_head, word_head = shape.split(flat)
@@ -216,7 +218,7 @@ def joint_scores(model: JointModel, rows: DataFrame) -> DataFrame:
     shape, flat, kind = model.shape, model.flat, rows.schema["ident"].dataType.simpleString()
 
     def run(batches):
-        for batch in _pieces(batches, "flags"):
+        for batch in _pieces(batches, "flags", shape.classes):
             _, of, sizes, _, _, own, known, flags, by_text, by_word = _forward(shape, flat, batch)
             told = by_word.argmax(axis=1)
             seen = (flags == 0) | (flags == 1)
@@ -226,7 +228,7 @@ def joint_scores(model: JointModel, rows: DataFrame) -> DataFrame:
                 [
                     batch.column("ident"), pa.array(sizes), pa.array(by_text[np.arange(len(own)), np.where(known, own, 0)], mask=~known),
                     pa.array(by_text.argmax(axis=1) == own, mask=~known), pa.array(count(told).astype(np.int64)),
-                    pa.array(count((told == flags) & seen).astype(np.int64)), pa.array(count(loss)),
+                    pa.array(count((told == flags) & seen).astype(np.int64)), pa.array(count(loss).astype(float)),
                 ],
                 ["ident", "n_words", "category_share", "right", "flagged", "flags_right", "word_loss"],
             )
