@@ -128,7 +128,9 @@ def _joint_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every language found in the data has its place; a document without one has no category.
     places = corpus.label_index(docs.filter(F.col("lang").isNotNull()), "lang")
     marked = docs.join(places, "lang", "left").withColumnRenamed("label_id", "category")
-    return joint.features(marked.withColumn("flags", texts.word_pii_labels(F.col("text"))), "doc_id", "text", "category", "flags", 1 << 11)
+    split = marked.withColumn("words", texts.words(F.col("text")))
+    flagged = split.withColumn("flags", texts.word_pii_labels(F.col("text"), F.col("words")))
+    return joint.features(flagged, "doc_id", "text", "category", "flags", 1 << 11, "words")
 
 
 @query

@@ -28,6 +28,8 @@ MAX_TOKENS = 512
 
 # Characters that separate words, including the non-ASCII spaces.
 SPACES = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+# The same set, which tells letters and digits apart by two ranges.
+_CUT = r"[\x{0}-\x{20}\x{7F}-\x{10FFFF}&&" + SPACES[:-1] + "]+"
 LETTERS = "ABCDEFGHIJ"
 
 
@@ -111,7 +113,7 @@ def base_model(name: Column, faithful: bool = False) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    return F.array_remove(F.split(text, _CUT), "")
 
 
 def word_windows(text: Column, size: int) -> Column:
@@ -126,19 +128,22 @@ def word_windows(text: Column, size: int) -> Column:
 def mentions_known_name(text: Column) -> Column:
     """Any part of a known name occurs anywhere in the text."""
     parts = sorted({part for name in KNOWN_NAMES for part in name.split()})
-    return text.rlike("|".join(parts))
+    firsts = "".join(sorted({part[0] for part in parts}))  # looked at before any of the names
+    return text.rlike(f"(?=[{firsts}])(?:{'|'.join(parts)})")
 
 
-def word_pii_labels(text: Column) -> Column:
+def word_pii_labels(text: Column, found: Column | None = None) -> Column:
     """0/1 per word: personal-data patterns, and capitalised words once a known name occurs.
 
     The name test reads the whole text, so it chooses between two rules once per row
-    instead of standing inside the rule for every word.
+    instead of standing inside the rule for every word. ``found`` has the words of the
+    text where they are at hand. Every pattern has an at sign or a digit.
     """
     pattern = f"{EMAIL}|{PHONE}|{SSN}"
-    named = lambda w: (w.rlike(pattern) | (w.rlike(r"^\p{Lu}") & (F.length(w) > 1))).cast("int")
-    plain = lambda w: w.rlike(pattern).cast("int")
-    found = words(text)
+    personal = lambda w: w.rlike("[@0-9]") & w.rlike(pattern)
+    named = lambda w: (personal(w) | (w.rlike(r"^\p{Lu}") & (F.length(w) > 1))).cast("int")
+    plain = lambda w: personal(w).cast("int")
+    found = words(text) if found is None else found
     return F.when(mentions_known_name(text), F.transform(found, named)).otherwise(F.transform(found, plain))
 
 
