@@ -34,6 +34,11 @@ def test_every_language_is_a_category(spark, many, monkeypatch):
     assert len(out) == 200 and all(r.n_words == 3 and r.within and r.loss_falls for r in out)
 
 
+def test_a_large_vocabulary_is_numbered_alike(spark, many, monkeypatch):
+    monkeypatch.setattr(training.corpus, "FEW_LABELS", 10)
+    assert {r.ident: r.category for r in training._joint_rows(spark, many).collect()} == {i: None if i % 40 == 39 else i % 70 for i in range(200)}
+
+
 def test_tables_without_a_language(spark, tmp_path):
     kind = "doc_id long, text string, lang string"
     spark.createDataFrame([(1, "a b", None), (2, None, None)], kind).write.parquet(f"{tmp_path}/nulls/documents.parquet")
